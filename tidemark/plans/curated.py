@@ -7,6 +7,7 @@ is already durable. An interrupted publication is repeated from staging.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
@@ -16,7 +17,7 @@ from tidemark.operators.merge import (
     affected_partitions, batch_keys, encode_partitions, key_range, restrict_to_partitions, upsert,
 )
 from tidemark.plans.journal import Journal
-from tidemark.storage import delete, is_complete
+from tidemark.storage import delete, delete_uri, exists, read_marker, write_marker
 
 # Settings that decide how values are written and compared; a new session
 # starts without what the caller has set.
@@ -41,7 +42,6 @@ class CuratedTable:
         self.journal = Journal(spark, state)
         self._rows = f"{state}/staging/rows"
         self._keys = f"{state}/staging/keys"
-        self._affected = f"{state}/staging/affected"
         self._ready = f"{state}/staging/ready"
 
     # ------------------------------------------------------------ reading
@@ -118,7 +118,7 @@ class CuratedTable:
 
     def recover(self) -> None:
         """Finish a publication that was cut short. Call before any other write."""
-        if is_complete(self.spark, self._ready):
+        if exists(self.spark, self._ready):
             self._publish()
 
     # ---------------------------------------------------- schema evolution
@@ -195,15 +195,14 @@ class CuratedTable:
         return encode_partitions(partitions, self.partitions).collect()
 
     def _stage(self, rows: DataFrame, affected: list[Row], load_id: str | None) -> None:
-        delete(self.spark, self._ready)
+        """Write the new rows, then the marker that says they may be published:
+        the load they belong to and the partitions they replace."""
         writer = self._spread(rows).write.mode("overwrite").option("compression", "snappy")
         if self.partitions:
             writer = writer.partitionBy(*self.partitions)
-            schema = ", ".join(f"{quote(p)} string" for p in self.partitions)
-            self.spark.createDataFrame(affected, schema).write.mode("overwrite").parquet(self._affected)
         writer.parquet(self._rows)
-        note = self.spark.range(1).select(F.lit(load_id).cast("string").alias("load_id"))
-        note.coalesce(1).write.mode("overwrite").parquet(self._ready)
+        replaced = [[row[p] for p in self.partitions] for row in affected]
+        write_marker(self.spark, self._ready, json.dumps({"load_id": load_id, "replaced": replaced}))
 
     def _publish(self) -> None:
         """Overwrite the table, or only the staged partitions, from staging.
@@ -211,6 +210,7 @@ class CuratedTable:
         In a session of its own: for a catalog table only the session setting
         makes an overwrite dynamic, and the caller's must not change.
         """
+        ready = json.loads(read_marker(self.spark, self._ready))
         session = self.spark.newSession()
         for key in _CARRIED:
             session.conf.set(key, self.spark.conf.get(key))
@@ -222,29 +222,25 @@ class CuratedTable:
         if self.partitions:
             # A dynamic overwrite leaves alone what it has no row for.
             filled = set(self._values(staged.select(*self.partitions).distinct()))
-            affected = session.read.parquet(self._affected).select(*self.partitions).collect()
-            self._empty([row for row in affected if row not in filled])
+            replaced = [Row(*self.partitions)(*values) for values in ready["replaced"]]
+            self._empty([row for row in replaced if row not in filled])
         self._refresh()
-        load_id = session.read.parquet(self._ready).first()["load_id"]
-        if load_id is not None:
-            self.journal.finish(load_id)
+        if ready["load_id"] is not None:
+            self.journal.finish(ready["load_id"])
         delete(self.spark, self._ready)
         delete(self.spark, f"{self.state}/staging")
 
     def _empty(self, partitions: list[Row]) -> None:
-        """Remove the files of partitions; dropping them would leave the files of
-        an external table behind, to come back with the next append."""
-        schema = self.read().schema
-        columns = [f for f in schema.fields if f.name not in self.partitions]
-        nothing = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS {quote(f.name)}" for f in columns)
-        for row in partitions:
-            values = ", ".join(f"{quote(p)} = {sql_text(self._static_value(row[p], schema[p].dataType))}"
-                               for p in self.partitions)
-            self.spark.sql(f"INSERT OVERWRITE TABLE {self.name} PARTITION ({values}) "
-                           f"SELECT {nothing} WHERE false")
-
-    def _static_value(self, text: str | None, data_type: T.DataType) -> str | None:
-        if text is None or not isinstance(data_type, T.TimestampType):
-            return text
-        instant = F.timestamp_micros(F.lit(int(text))).cast("string")
-        return self.spark.range(1).select(instant.alias("t")).first()["t"]
+        """Remove the folders of partitions that are to have no rows.
+
+        Dropping the partitions would leave the files of an external table
+        behind, to come back with the next append. One job finds the folders of
+        all of them, reading footers only; their catalog entries stay, empty.
+        """
+        if not partitions:
+            return
+        folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_folder")
+        stored = self.read().select(*self.partitions, folder)
+        stored = restrict_to_partitions(stored, partitions, self.partitions)
+        for row in stored.select("_folder").distinct().collect():
+            delete_uri(self.spark, row["_folder"])

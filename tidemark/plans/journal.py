@@ -1,7 +1,7 @@
 """Which loads of a table have started and finished.
 
-Two tiny parquet records per load. They let a replayed load be skipped, and
-tell it after a crash which files of the table are its own leftovers.
+Two marker files per load. They let a replayed load be skipped, and tell it
+after a crash which files of the table are its own leftovers.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import time
 
 from pyspark.sql import Column, SparkSession, functions as F
 
-from tidemark.storage import has_coarse_clock, is_complete
+from tidemark.storage import exists, has_coarse_clock, modified_millis, read_marker, write_marker
 
 
 class Journal:
@@ -18,36 +18,26 @@ class Journal:
         self.spark = spark
         self.folder = folder
 
-    def _path(self, step: str, load_id: str) -> str:
-        return f"{self.folder}/journal/{step}/load={load_id}"
-
-    def _record(self, step: str, load_id: str, mode: str) -> None:
-        row = self.spark.range(1).select(F.lit(mode).alias("mode"))
-        row.coalesce(1).write.mode("overwrite").parquet(self._path(step, load_id))
+    def _path(self, load_id: str, step: str) -> str:
+        return f"{self.folder}/journal/{load_id}/{step}"
 
     def start(self, load_id: str, mode: str) -> None:
-        self._record("started", load_id, mode)
+        write_marker(self.spark, self._path(load_id, "started"), mode)
         if has_coarse_clock(self.spark, self.folder):
-            time.sleep(1.1)  # files of this load get a later stamp than the record
+            time.sleep(1.1)  # files of this load get a later stamp than the marker
 
     def finish(self, load_id: str) -> None:
-        self._record("finished", load_id, "done")
+        write_marker(self.spark, self._path(load_id, "finished"))
 
     def finished(self, load_id: str) -> bool:
-        return is_complete(self.spark, self._path("finished", load_id))
+        return exists(self.spark, self._path(load_id, "finished"))
 
     def interrupted_mode(self, load_id: str) -> str | None:
         """The mode of a load that started but did not finish."""
-        path = self._path("started", load_id)
-        if not is_complete(self.spark, path):
-            return None
-        return self.spark.read.parquet(path).first()["mode"]
+        return read_marker(self.spark, self._path(load_id, "started"))
 
     def written_before(self, load_id: str) -> Column:
-        """True for rows in files that are older than the start of the load.
-
-        Compared inside Spark and by the clock of the store, which stamped both.
-        """
-        record = self.spark.read.parquet(self._path("started", load_id))
-        micros = record.select(F.unix_micros("_metadata.file_modification_time")).first()[0]
-        return F.col("_metadata.file_modification_time") <= F.timestamp_micros(F.lit(micros))
+        """True for rows in files that are older than the start of the load, by
+        the clock of the store that stamped both."""
+        millis = modified_millis(self.spark, self._path(load_id, "started"))
+        return F.col("_metadata.file_modification_time") <= F.timestamp_millis(F.lit(millis))

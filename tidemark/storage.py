@@ -1,6 +1,7 @@
-"""Shared folders: where working data may live, and the two file operations
-(exists, delete) that the DataFrame API does not offer. Both go through the
-file system that Spark itself uses, so any store Spark can write to works.
+"""Shared folders: where working data may live, and the few file operations
+that the DataFrame API does not offer (does a file exist, delete it, a marker
+file with a line of text). They go through the file system that Spark itself
+uses, so any store Spark can write to works.
 """
 
 from __future__ import annotations
@@ -24,16 +25,47 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
-def is_complete(spark: SparkSession, path: str) -> bool:
-    """Whether a Spark job that wrote `path` has committed."""
-    return exists(spark, f"{path}/_SUCCESS")
-
-
 def delete(spark: SparkSession, path: str) -> None:
     fs, hadoop_path = _resolve(spark, path)
     fs.delete(hadoop_path, True)
 
 
+def delete_uri(spark: SparkSession, uri: str) -> None:
+    """As `delete`, for the encoded form that `_metadata.file_path` has."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri))
+    delete(spark, hadoop_path.toString())
+
+
+def write_marker(spark: SparkSession, path: str, text: str = "") -> None:
+    """A small file that is either complete or absent."""
+    fs, final = _resolve(spark, path)
+    part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+    stream = fs.create(part, True)
+    stream.write(text.encode())
+    stream.close()
+    fs.delete(final, False)
+    if not fs.rename(part, final):
+        raise OSError(f"cannot write {path}")
+
+
+def read_marker(spark: SparkSession, path: str) -> str | None:
+    """The text of a marker file, None if there is no such file."""
+    fs, hadoop_path = _resolve(spark, path)
+    if not fs.exists(hadoop_path):
+        return None
+    stream = fs.open(hadoop_path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def modified_millis(spark: SparkSession, path: str) -> int:
+    """When the store says the file was written."""
+    fs, hadoop_path = _resolve(spark, path)
+    return fs.getFileStatus(hadoop_path).getModificationTime()
+
+
 def has_coarse_clock(spark: SparkSession, path: str) -> bool:
     """Object stores stamp files in whole seconds; local disks and HDFS in ms."""
     fs, _ = _resolve(spark, path)
