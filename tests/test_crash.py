@@ -1,0 +1,136 @@
+"""A load that dies anywhere and is repeated takes effect exactly once."""
+
+import shutil
+from pathlib import Path
+
+import pytest
+
+from tidemark.plans.curated import CuratedTable
+from tidemark.plans.journal import Journal
+
+SCHEMA = "id int, v string, p string"
+STORED = [(1, "a", "p1"), (2, "b", "p2"), (3, "c", None)]
+BATCH = [(2, "B", "p1"), (4, "d", None)]
+MERGED = [(1, "a", "p1"), (2, "B", "p1"), (3, "c", None), (4, "d", None)]
+APPENDED = sorted(STORED + BATCH, key=repr)
+
+
+class Crash(Exception):
+    pass
+
+
+def crash_after(monkeypatch, owner, name, *, before=False):
+    """The next call of `owner.name` does its work (or not) and then dies."""
+    original = getattr(owner, name)
+
+    def dies(self, *args, **kwargs):
+        monkeypatch.setattr(owner, name, original)
+        if not before:
+            original(self, *args, **kwargs)
+        raise Crash(name)
+
+    monkeypatch.setattr(owner, name, dies)
+
+
+def prepared(spark, lake, spec):
+    lake.load(spec, spark.createDataFrame(STORED, SCHEMA), "1")
+    return spark.createDataFrame(BATCH, SCHEMA)
+
+
+@pytest.mark.parametrize("partitions", ["p", "None"])
+@pytest.mark.parametrize("name, before", [
+    ("_stage", False), ("_publish", True), ("_publish", False), ("_empty", True), ("_empty", False), ("_refresh", True)])
+def test_merge(spark, lake, monkeypatch, partitions, name, before):
+    if partitions == "None" and name == "_empty":
+        pytest.skip("only partitioned tables empty partitions")
+    spec = lake.mutable(partitions)
+    batch = prepared(spark, lake, spec)
+    crash_after(monkeypatch, CuratedTable, name, before=before)
+    with pytest.raises(Crash):
+        lake.load(spec, batch, "2")
+    for _ in range(2):
+        lake.load(spec, batch, "2")
+        assert lake.rows(spec, "id", "v", "p") == MERGED
+
+
+@pytest.mark.parametrize("partitions", ["p", "None"])
+def test_merge_that_dies_while_it_swaps_files(spark, lake, monkeypatch, partitions):
+    spec = lake.mutable(partitions)
+    batch = prepared(spark, lake, spec)
+    crash_after(monkeypatch, CuratedTable, "_publish", before=True)
+    with pytest.raises(Crash):
+        lake.load(spec, batch, "2")
+    # Stored rows are already gone, and only staging knows what was to come.
+    for name in lake.files(spec):
+        Path(lake.layout.curated(spec).removeprefix("file:"), name).unlink()
+    lake.load(spec, batch, "2")
+    assert lake.rows(spec, "id", "v", "p") == MERGED
+
+
+@pytest.mark.parametrize("partitions", ["p", "None"])
+def test_append_that_dies_before_it_is_recorded(spark, lake, monkeypatch, partitions):
+    spec = lake.spec(nature_of_data="immutable", type_of_pull="incremental", bookmark_key="id",
+                     bookmark_key_order="asc", target_partition_columns=partitions)
+    batch = prepared(spark, lake, spec)
+    crash_after(monkeypatch, Journal, "finish", before=True)
+    with pytest.raises(Crash):
+        lake.load(spec, batch, "2")
+    assert lake.rows(spec, "id", "v", "p") == APPENDED  # written, but not recorded
+    # The repetition dies as well: with the rows staged, then while it publishes them.
+    for name, before in (("_stage", True), ("_stage", False), ("_publish", True)):
+        crash_after(monkeypatch, CuratedTable, name, before=before)
+        with pytest.raises(Crash):
+            lake.load(spec, batch, "2")
+    for _ in range(2):
+        lake.load(spec, batch, "2")
+        assert lake.rows(spec, "id", "v", "p") == APPENDED
+
+
+def test_append_that_leaves_half_of_its_files(spark, lake, monkeypatch):
+    spec = lake.spec(nature_of_data="immutable", type_of_pull="incremental", bookmark_key="id",
+                     bookmark_key_order="asc", target_partition_columns="p")
+    batch = prepared(spark, lake, spec)
+    original = CuratedTable.append
+
+    def half(self, rows):
+        original(self, rows.filter("id = 4"))
+        raise Crash
+
+    monkeypatch.setattr(CuratedTable, "append", half)
+    with pytest.raises(Crash):
+        lake.load(spec, batch, "2")
+    lake.load(spec, batch, "2")
+    assert lake.rows(spec, "id", "v", "p") == APPENDED
+
+
+@pytest.mark.parametrize("partitions", ["p", "None"])
+def test_first_load(spark, lake, monkeypatch, partitions):
+    spec = lake.spec(nature_of_data="immutable", type_of_pull="incremental", bookmark_key="id",
+                     bookmark_key_order="asc", target_partition_columns=partitions)
+    batch = spark.createDataFrame(STORED, SCHEMA)
+    crash_after(monkeypatch, CuratedTable, "create")
+    with pytest.raises(Crash):
+        lake.load(spec, batch, "1")
+    for _ in range(2):
+        lake.load(spec, batch, "1")
+        assert lake.rows(spec, "id", "v", "p") == sorted(STORED, key=repr)
+
+
+def test_first_load_replaces_leftovers(spark, lake):
+    spec = lake.mutable("p")
+    leftover = Path(lake.layout.curated(spec).removeprefix("file:"))
+    spark.createDataFrame([(9, "x", "p9")], SCHEMA).write.partitionBy("p").parquet(str(leftover))
+    lake.load(spec, spark.createDataFrame(STORED, SCHEMA), "1")
+    assert lake.rows(spec, "id", "v", "p") == sorted(STORED, key=repr)
+
+
+def test_replace(spark, lake, monkeypatch):
+    spec = lake.spec(target_partition_columns="p")
+    batch = prepared(spark, lake, spec)
+    crash_after(monkeypatch, CuratedTable, "replace", before=True)
+    shutil.rmtree(Path(lake.layout.curated(spec).removeprefix("file:"), "p=p1"))
+    with pytest.raises(Crash):
+        lake.load(spec, batch, "2")
+    for _ in range(2):
+        lake.load(spec, batch, "2")
+        assert lake.rows(spec, "id", "v", "p") == sorted(BATCH, key=repr)

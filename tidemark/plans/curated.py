@@ -118,6 +118,8 @@ class CuratedTable:
 
     def recover(self) -> None:
         """Finish a publication that was cut short. Call before any other write."""
+        if self.exists():
+            self._refresh()  # whoever wrote last may have been another session
         if exists(self.spark, self._ready):
             self._publish()
 
@@ -219,12 +221,13 @@ class CuratedTable:
         table = session.table(self.name)
         staged = session.read.schema(table.schema).parquet(self._rows).select(*table.columns)
         staged.write.mode("overwrite").insertInto(self.name)
+        self._refresh()
         if self.partitions:
             # A dynamic overwrite leaves alone what it has no row for.
             filled = set(self._values(staged.select(*self.partitions).distinct()))
             replaced = [Row(*self.partitions)(*values) for values in ready["replaced"]]
             self._empty([row for row in replaced if row not in filled])
-        self._refresh()
+            self._refresh()
         if ready["load_id"] is not None:
             self.journal.finish(ready["load_id"])
         delete(self.spark, self._ready)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -10,7 +11,7 @@ from tidemark.plans.bookmarks import LOG_SCHEMA
 from tidemark.plans.load import curated_table, load_batch
 from tidemark.sources.raw import BATCH, read_batches
 from tidemark.spec import Layout, TableSpec
-from tidemark.storage import exists
+from tidemark.storage import exists, read_marker, write_marker
 
 
 def new_files(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -34,12 +35,20 @@ def load_new_files(spark: SparkSession, spec: TableSpec, layout: Layout,
                    schema: T.StructType | str, workflow: str = "files") -> None:
     """Load the files that have appeared in the raw folder since the last run.
 
-    For a folder without batches. All new files form one load.
+    For a folder without batches. All new files form one load. Deleting the
+    checkpoint folder makes every file new again.
     """
+    checkpoint = layout.checkpoint(spec, workflow)
+    stream_id = read_marker(spark, f"{checkpoint}/id")
+    if stream_id is None:
+        # Batch numbers start again with a new checkpoint, so they need a name.
+        stream_id = uuid.uuid4().hex
+        write_marker(spark, f"{checkpoint}/id", stream_id)
+
     def apply(batch: DataFrame, epoch: int) -> None:
-        load_batch(batch, spec, layout, load_id=f"{workflow}-{epoch}")
+        load_batch(batch, spec, layout, load_id=f"{stream_id}-{epoch}")
 
-    run_available(new_files(spark, layout.raw(spec), schema), layout.checkpoint(spec, workflow), apply)
+    run_available(new_files(spark, layout.raw(spec), schema), f"{checkpoint}/stream", apply)
     _refresh(spark, spec, layout)
 
 
@@ -71,7 +80,7 @@ def load_logged_batches(spark: SparkSession, spec: TableSpec, layout: Layout, wo
                 batch = read_batches(session, layout.raw(spec), group)
                 modes.append(load_batch(batch, spec, layout, load_id=f"{workflow}-{group[-1]}"))
 
-    run_available(new_files(spark, entries, LOG_SCHEMA), layout.checkpoint(spec, workflow), apply)
+    run_available(new_files(spark, entries, LOG_SCHEMA), f"{layout.checkpoint(spec, workflow)}/stream", apply)
     _refresh(spark, spec, layout)
     return [mode for mode in modes if mode]
 
