@@ -14,8 +14,11 @@ from tidemark.storage import working_folder  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = (SparkSession.builder.master("local[4]").appName("tests")
-               .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+    session = (SparkSession.builder.master("local[8]").appName("tests")
+               .config("spark.sql.shuffle.partitions", "2").config("spark.default.parallelism", "2")
+               # Tiny inputs: compiling a plan takes longer than running it.
+               .config("spark.sql.codegen.wholeStage", "false")
+               .config("spark.sql.codegen.factoryMode", "NO_CODEGEN").config("spark.ui.enabled", "false")
                .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session

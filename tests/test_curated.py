@@ -33,8 +33,11 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("partitions", ["p", "None"])
-@pytest.mark.parametrize("case", CASES)
+WITHOUT_PARTITIONS = ("insert", "empty text partition", "duplicate batch keys", "duplicate stored keys replaced",
+                      "null key matches nothing", "empty batch")
+
+
+@pytest.mark.parametrize("case, partitions", [(c, "p") for c in CASES] + [(c, "None") for c in WITHOUT_PARTITIONS])
 def test_merge(spark, lake, case, partitions):
     stored, batch, expected = CASES[case]
     if partitions == "None" and case == "empty text partition":

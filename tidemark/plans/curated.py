@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
@@ -17,13 +18,8 @@ from tidemark.operators.merge import (
     affected_partitions, batch_keys, encode_partitions, key_range, restrict_to_partitions, upsert,
 )
 from tidemark.plans.journal import Journal
-from tidemark.storage import delete, delete_uri, exists, read_marker, write_marker
-
-# Settings that decide how values are written and compared; a new session
-# starts without what the caller has set.
-_CARRIED = ("spark.sql.session.timeZone", "spark.sql.caseSensitive", "spark.sql.ansi.enabled",
-            "spark.sql.storeAssignmentPolicy", "spark.sql.shuffle.partitions",
-            "spark.sql.files.maxPartitionBytes")
+from tidemark.sessions import adopt, planned_bytes, private_session, size_shuffles
+from tidemark.storage import delete, delete_uri, exists, folder_bytes, read_marker, write_marker
 
 
 def ensure_database(spark: SparkSession, name: str, location: str | None = None) -> None:
@@ -32,6 +28,8 @@ def ensure_database(spark: SparkSession, name: str, location: str | None = None)
 
 
 class CuratedTable:
+    """One curated table. All its writes run in a session of its own."""
+
     def __init__(self, spark: SparkSession, database: str, table: str, path: str,
                  partitions: Sequence[str], state: str) -> None:
         self.spark = spark
@@ -44,6 +42,10 @@ class CuratedTable:
         self._keys = f"{state}/staging/keys"
         self._ready = f"{state}/staging/ready"
 
+    @cached_property
+    def _session(self) -> SparkSession:
+        return private_session(self.spark)
+
     # ------------------------------------------------------------ reading
 
     def exists(self) -> bool:
@@ -58,11 +60,13 @@ class CuratedTable:
         """First load. Leftovers of an earlier, interrupted one are replaced."""
         if self.exists():
             self.spark.sql(f"DROP TABLE {self.name}")
-        writer = self._spread(self._normalised(batch)).write.mode("overwrite").format("parquet")
+        batch = self._normalised(adopt(self._session, batch))
+        writer = self._spread(batch).write.mode("overwrite").format("parquet")
         writer = writer.option("path", self.path).option("compression", "snappy")
         if self.partitions:
             writer = writer.partitionBy(*self.partitions)
         writer.saveAsTable(self.name)
+        self._refresh()
 
     def append(self, batch: DataFrame) -> None:
         """Add the batch; the stored rows are neither read nor touched."""
@@ -71,21 +75,19 @@ class CuratedTable:
 
     def replace(self, batch: DataFrame) -> None:
         """Replace all rows of the table."""
-        self._spread(self._aligned(batch)).write.mode("overwrite").insertInto(self.name)
-        self._refresh()
+        self._insert_overwrite(self._spread(self._aligned(batch)), "static")
 
     def merge(self, batch: DataFrame, primary_key: Sequence[str], load_id: str | None = None) -> None:
         """Upsert by key, rewriting the affected partitions (or the whole table
         if it has none)."""
         batch = self._aligned(batch)
-        batch_keys(batch, primary_key, self.partitions).write.mode("overwrite").parquet(self._keys)
-        keys = self.spark.read.schema(self._schema_of([*primary_key, *self.partitions])).parquet(self._keys)
-        target = self.read()
+        keys = self._stage_keys(batch, primary_key)
+        target = self._stored()
+        affected = []
         if self.partitions:
             affected = self._affected_by(keys, primary_key)
             target = restrict_to_partitions(target, affected, self.partitions)
-        else:
-            affected = []
+        self._size_shuffles(target, batch)
         self._stage(upsert(target, batch, primary_key, keys), affected, load_id)
         self._publish()
 
@@ -96,9 +98,10 @@ class CuratedTable:
         than the load, plus the batch; whatever the load had added goes.
         """
         batch = self._aligned(batch)
-        older = self.read().filter(self.journal.written_before(load_id))
-        affected = self._values(batch.select(*self.partitions).distinct()) if self.partitions else []
+        older = self._stored().filter(self.journal.written_before(load_id))
+        affected = []
         if self.partitions:
+            affected = self._values(batch.select(*self.partitions).distinct())
             older = restrict_to_partitions(older, affected, self.partitions)
         self._stage(older.unionByName(batch), affected, load_id)
         self._publish()
@@ -107,13 +110,13 @@ class CuratedTable:
         """Remove whole partitions, those for which `condition` on partition
         columns holds, or every row if there is no condition."""
         if condition is None:
-            nothing = self.spark.createDataFrame([], self.read().schema)
-            nothing.write.mode("overwrite").insertInto(self.name)
-        else:
-            if not self.partitions:
-                raise ValueError("a table without partitions can only be purged as a whole")
-            present = self.read().select(*self.partitions).distinct()
-            self._empty(self._values(present.filter(condition)))
+            nothing = self._session.createDataFrame([], self._stored().schema)
+            self._insert_overwrite(nothing, "static")
+            return
+        if not self.partitions:
+            raise ValueError("a table without partitions can only be purged as a whole")
+        present = self._stored().select(*self.partitions).distinct()
+        self._empty(self._values(present.filter(condition)))
         self._refresh()
 
     def recover(self) -> None:
@@ -132,30 +135,34 @@ class CuratedTable:
                  if self._fold(f.name) not in known]
         if added:
             self.spark.sql(f"ALTER TABLE {self.name} ADD COLUMNS ({T.StructType(added).toDDL()})")
+            self._refresh()
         return [f.name for f in added]
 
     # ------------------------------------------------------------- helpers
 
+    def _stored(self) -> DataFrame:
+        return self._session.table(self.name)
+
+    def _refresh(self) -> None:
+        """Both sessions cache listings of their own."""
+        for session in (self.spark, self._session):
+            session.catalog.refreshTable(self.name)
+
     def _fold(self, name: str) -> str:
         return name if self.spark.conf.get("spark.sql.caseSensitive") == "true" else name.lower()
 
-    def _schema_of(self, columns: Sequence[str]) -> T.StructType:
-        schema = self.read().schema
-        fields = {self._fold(f.name): f for f in schema.fields}
-        return T.StructType([fields[self._fold(c)] for c in dict.fromkeys(columns)])
-
     def _normalised(self, batch: DataFrame) -> DataFrame:
         """Spark stores an empty partition value as NULL. Doing so beforehand
         keeps the value in step with the partition it ends up in."""
-        types_ = {self._fold(f.name): f.dataType for f in batch.schema.fields}
-        text = [p for p in self.partitions if isinstance(types_[self._fold(p)], T.StringType)]
+        kinds = {self._fold(f.name): f.dataType for f in batch.schema.fields}
+        text = [p for p in self.partitions if isinstance(kinds[self._fold(p)], T.StringType)]
         return batch.withColumns({p: F.nullif(F.col(p), F.lit("")) for p in text}) if text else batch
 
     def _aligned(self, batch: DataFrame) -> DataFrame:
         """The batch with the table's columns, order and types, after the table
         has been given the batch's new columns."""
         self.evolve(batch.schema)
-        batch = self._normalised(batch)
+        batch = self._normalised(adopt(self._session, batch))
         present = {self._fold(f.name): f for f in batch.schema.fields}
         columns = []
         for wanted in self.read().schema.fields:
@@ -174,12 +181,23 @@ class CuratedTable:
         adaptive execution splits a partition that holds much of the data."""
         return df.hint("rebalance", *self.partitions) if self.partitions else df
 
-    def _refresh(self) -> None:
-        self.spark.catalog.refreshTable(self.name)
+    def _size_shuffles(self, *inputs: DataFrame) -> None:
+        sizes = [planned_bytes(df) for df in inputs]
+        if None in sizes:
+            sizes = [folder_bytes(self.spark, self.path) if s is None else s for s in sizes]
+        size_shuffles(self._session, self.spark.conf.get("spark.sql.shuffle.partitions"), sum(sizes))
+
+    def _stage_keys(self, batch: DataFrame, primary_key: Sequence[str]) -> DataFrame:
+        """The batch's keys as a table of their own: read twice, small, and of a
+        size the optimizer knows when it chooses how to join."""
+        keys = batch_keys(batch, primary_key, self.partitions)
+        self._size_shuffles(keys)
+        keys.write.mode("overwrite").parquet(self._keys)
+        return self._session.read.schema(keys.schema).parquet(self._keys)
 
     def _affected_by(self, keys: DataFrame, primary_key: Sequence[str]) -> list[Row]:
         """Affected partitions as text: bounded by the number of partitions."""
-        target = self.read()
+        target = self._stored()
         fixed = [p for p in self.partitions if p in primary_key]
         if fixed == self.partitions:
             # The key decides the partition: no stored row can be elsewhere.
@@ -191,6 +209,7 @@ class CuratedTable:
         bounds = key_range(keys, primary_key)
         if bounds is not None:
             target = target.filter(bounds)
+        self._size_shuffles(target.select(*primary_key, *self.partitions), keys)
         return self._values(affected_partitions(target, keys, primary_key, self.partitions))
 
     def _values(self, partitions: DataFrame) -> list[Row]:
@@ -209,19 +228,11 @@ class CuratedTable:
     def _publish(self) -> None:
         """Overwrite the table, or only the staged partitions, from staging.
 
-        In a session of its own: for a catalog table only the session setting
-        makes an overwrite dynamic, and the caller's must not change.
+        Staging is laid out like the table, so this copies without a shuffle.
         """
         ready = json.loads(read_marker(self.spark, self._ready))
-        session = self.spark.newSession()
-        for key in _CARRIED:
-            session.conf.set(key, self.spark.conf.get(key))
-        session.conf.set("spark.sql.sources.partitionOverwriteMode",
-                         "dynamic" if self.partitions else "static")
-        table = session.table(self.name)
-        staged = session.read.schema(table.schema).parquet(self._rows).select(*table.columns)
-        staged.write.mode("overwrite").insertInto(self.name)
-        self._refresh()
+        staged = self._session.read.schema(self.read().schema).parquet(self._rows)
+        self._insert_overwrite(staged.select(*self.read().columns), "dynamic" if self.partitions else "static")
         if self.partitions:
             # A dynamic overwrite leaves alone what it has no row for.
             filled = set(self._values(staged.select(*self.partitions).distinct()))
@@ -233,6 +244,12 @@ class CuratedTable:
         delete(self.spark, self._ready)
         delete(self.spark, f"{self.state}/staging")
 
+    def _insert_overwrite(self, rows: DataFrame, mode: str) -> None:
+        # For a catalog table only the session setting makes an overwrite dynamic.
+        self._session.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+        rows.write.mode("overwrite").insertInto(self.name)
+        self._refresh()
+
     def _empty(self, partitions: list[Row]) -> None:
         """Remove the folders of partitions that are to have no rows.
 
@@ -243,7 +260,6 @@ class CuratedTable:
         if not partitions:
             return
         folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_folder")
-        stored = self.read().select(*self.partitions, folder)
-        stored = restrict_to_partitions(stored, partitions, self.partitions)
+        stored = restrict_to_partitions(self._stored().select(*self.partitions, folder), partitions, self.partitions)
         for row in stored.select("_folder").distinct().collect():
             delete_uri(self.spark, row["_folder"])

@@ -66,6 +66,11 @@ def modified_millis(spark: SparkSession, path: str) -> int:
     return fs.getFileStatus(hadoop_path).getModificationTime()
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    fs, hadoop_path = _resolve(spark, path)
+    return fs.getContentSummary(hadoop_path).getLength()
+
+
 def has_coarse_clock(spark: SparkSession, path: str) -> bool:
     """Object stores stamp files in whole seconds; local disks and HDFS in ms."""
     fs, _ = _resolve(spark, path)
