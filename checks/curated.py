@@ -154,7 +154,8 @@ def affected(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = lake.spec("orders", **KEY, **BY_STATUS)
     lake.load(spec, orders, "1")
     keys = batch_keys(order_changes(orders), spec.primary_keys, spec.partitions)
-    return affected_partitions(lake.rows(spec), keys, spec.primary_keys, spec.partitions)
+    rows = affected_partitions(lake.rows(spec), keys, spec.primary_keys, spec.partitions)
+    return rows.select("o_orderstatus", "in_batch")
 
 
 def pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,9 +297,10 @@ SELECT *, 'web' AS channel FROM changes""",
     "matched_key_partitions": f"""WITH {CHANGES}
 SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM changes)""",
     "affected_partitions": f"""WITH {CHANGES}
-SELECT o_orderstatus FROM changes
-UNION
-SELECT o_orderstatus FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM changes)""",
+SELECT o_orderstatus, o_orderstatus IN (SELECT o_orderstatus FROM changes) AS in_batch
+FROM (SELECT o_orderstatus FROM changes
+      UNION
+      SELECT o_orderstatus FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM changes))""",
     "pruned_scan": f"""WITH {CHANGES}
 SELECT * FROM orders WHERE o_orderstatus IN (SELECT o_orderstatus FROM changes)""",
     "purge_partitions": "SELECT * FROM orders WHERE o_orderstatus <> 'F'",

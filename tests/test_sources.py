@@ -4,7 +4,7 @@ import uuid
 import pytest
 from pyspark.sql import types as T
 
-from tidemark import JdbcSource, Layout, TableSpec, pull, pull_to_raw
+from tidemark import JdbcSource, Layout, TableSpec, pull, pull_to_raw, run_file
 from tidemark.sources import hash_bucket, hash_predicates, pull_table, spec_rows, validate_specs
 
 
@@ -104,6 +104,33 @@ def test_a_clean_document(spark, tmp_path):
     assert Layout("/x/").raw(events) == "/x/raw/shop/events"
 
 
+def test_a_parameter_file_runs_from_end_to_end(spark, tmp_path, lake, database):
+    entry = {**DOCUMENT["job_parameters"][1], "source_schema_name": "app", "source_table_name": "t",
+             "target_db_name": lake.database, "bookmark_key": "id", "bookmark_key_order": "asc",
+             "hashfield": "id"}
+    path = tmp_path / "good.json"
+    path.write_text(json.dumps({"job_parameters": [entry]}))
+    for modes in (("create",), ()):
+        result, = run_file(spark, str(path), lake.layout, "wf", database, str(tmp_path / "report"))
+        assert (result.error, result.modes) == (None, modes)
+    assert spark.table(f"{lake.database}.t").count() == 400
+    path = tmp_path / "bad.json"
+    path.write_text(json.dumps({"job_parameters": [entry, {**entry, "type_of_pull": "some"}]}))
+    with pytest.raises(ValueError):
+        run_file(spark, str(path), lake.layout, "wf", database, str(tmp_path / "report"))
+    text = "".join(f.read_text() for f in (tmp_path / "report").glob("*.csv"))
+    assert "app|t|type_of_pull must be one of: full, incremental" in text
+
+
+def test_the_database_must_be_of_the_declared_kind(spark, lake, database):
+    spec = lake.spec(source_db_type="mysql")
+    with pytest.raises(ValueError, match="not in derby"):
+        pull(spark, spec, lake.layout, "wf", database)
+    assert JdbcSource.of("postgres", "h", 5432, "d", user="u").url == "jdbc:postgresql://h:5432/d"
+    with pytest.raises(ValueError):
+        JdbcSource.of("oracle", "h", 1, "d")
+
+
 DEFECTS = [
     ({"source_raw_job_type": "bash"}, 0, 1), ({"type_of_pull": None}, 0, 1), ({"source_schema_name": " "}, 0, 1),
     ({"source_table_name": ""}, 0, 1), ({"nature_of_data": "x"}, 0, 1), ({"target_partition_columns": None}, 0, 1),

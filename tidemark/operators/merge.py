@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from tidemark.functions.literals import decode, decode_column, encode
 
-# Above this many partitions a composite predicate becomes a semi-join.
-PREDICATE_LIMIT = 1000
+# Above this many alternatives a composite predicate becomes a semi-join.
+PREDICATE_LIMIT = 200
+IN_BATCH = "in_batch"
 
 _RANGE_TYPES = (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -64,9 +65,15 @@ def matched_key_partitions(target: DataFrame, keys: DataFrame, primary_key: Sequ
 
 def affected_partitions(target: DataFrame, keys: DataFrame, primary_key: Sequence[str],
                         partitions: Sequence[str]) -> DataFrame:
-    """Partitions a merge must rewrite: those in the batch, and those its keys leave."""
+    """Partitions a merge must rewrite: those in the batch, and those its keys leave.
+
+    One row per partition; `in_batch` says whether the batch has rows for it.
+    Without such rows a partition may be left with none at all.
+    """
     stored = matched_key_partitions(target, keys, primary_key, partitions).select(*partitions)
-    return keys.select(*partitions).unionByName(stored).distinct()
+    both = keys.select(*partitions, F.lit(True).alias(IN_BATCH)).unionByName(
+        stored.withColumn(IN_BATCH, F.lit(False)))
+    return both.groupBy(*partitions).agg(F.max(IN_BATCH).alias(IN_BATCH))
 
 
 def upsert(target: DataFrame, batch: DataFrame, primary_key: Sequence[str],
@@ -81,10 +88,10 @@ def upsert(target: DataFrame, batch: DataFrame, primary_key: Sequence[str],
     return kept.select(*target.columns).unionByName(batch, allowMissingColumns=True)
 
 
-def encode_partitions(df: DataFrame, partitions: Sequence[str]) -> DataFrame:
+def encode_partitions(df: DataFrame, partitions: Sequence[str], *others: str) -> DataFrame:
     """The partition columns as text, for a trip to the driver or to disk."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    return df.select(*(encode(F.col(p), types[p]).alias(p) for p in partitions))
+    return df.select(*(encode(F.col(p), types[p]).alias(p) for p in partitions), *others)
 
 
 def partition_predicate(values: Sequence[Row], schema: T.StructType,
@@ -92,23 +99,23 @@ def partition_predicate(values: Sequence[Row], schema: T.StructType,
     """OR over partitions of AND over columns, with typed null-safe equality.
 
     `values` are encoded (`encode_partitions`). Literals, because they prune
-    partitions before anything is listed or read.
+    partitions before anything is listed or read. Partitions that differ in the
+    last column only share one alternative.
     """
     types = {f.name: f.dataType for f in schema.fields}
-    if not values:
-        return F.lit(False)
-    if len(partitions) == 1:
-        return _one_of(partitions[0], {v[partitions[0]] for v in values}, types[partitions[0]])
-    return reduce(or_, [
-        reduce(and_, [F.col(p).eqNullSafe(decode(v[p], types[p])) for p in partitions])
-        for v in values
-    ])
+    *leading, last = partitions
+    alternatives = [
+        reduce(and_, [F.col(p).eqNullSafe(decode(text, types[p])) for p, text in zip(leading, prefix)]
+               + [_one_of(last, texts, types[last])])
+        for prefix, texts in _by_prefix(values, partitions).items()
+    ]
+    return _any(alternatives) if alternatives else F.lit(False)
 
 
 def restrict_to_partitions(df: DataFrame, values: Sequence[Row],
                            partitions: Sequence[str]) -> DataFrame:
     """The rows of `df` in the given (encoded) partitions, read from those only."""
-    if len(partitions) == 1 or len(values) <= PREDICATE_LIMIT:
+    if len(_by_prefix(values, partitions)) <= PREDICATE_LIMIT:
         return df.filter(partition_predicate(values, df.schema, partitions))
     # Too many combinations for one predicate: prune per column, which keeps a
     # superset, then decide exactly with a semi-join on the list of partitions.
@@ -123,9 +130,25 @@ def restrict_to_partitions(df: DataFrame, values: Sequence[Row],
     return pruned.join(wanted, same, "left_semi")
 
 
+def _by_prefix(values: Sequence[Row], partitions: Sequence[str]) -> dict[tuple, set[str | None]]:
+    grouped: dict[tuple, set[str | None]] = {}
+    for value in values:
+        *prefix, last = (value[p] for p in partitions)
+        grouped.setdefault(tuple(prefix), set()).add(last)
+    return grouped
+
+
 def _one_of(column: str, texts: set[str | None], data_type: T.DataType) -> Column:
     literals = [decode(text, data_type) for text in sorted(t for t in texts if t is not None)]
     tests = [F.col(column).isin(*literals)] if literals else []
     if None in texts:
         tests.append(F.col(column).isNull())
     return reduce(or_, tests)
+
+
+def _any(tests: list[Column]) -> Column:
+    """OR of all, nested no deeper than it must be."""
+    if len(tests) == 1:
+        return tests[0]
+    middle = len(tests) // 2
+    return _any(tests[:middle]) | _any(tests[middle:])

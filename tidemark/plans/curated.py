@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, ty
 
 from tidemark.functions.literals import quote, sql_text
 from tidemark.operators.merge import (
-    affected_partitions, batch_keys, encode_partitions, key_range, restrict_to_partitions, upsert,
+    IN_BATCH, affected_partitions, batch_keys, encode_partitions, key_range, restrict_to_partitions,
+    upsert,
 )
 from tidemark.plans.journal import Journal
 from tidemark.sessions import adopt, planned_bytes, private_session, size_shuffles
@@ -83,12 +84,12 @@ class CuratedTable:
         batch = self._aligned(batch)
         keys = self._stage_keys(batch, primary_key)
         target = self._stored()
-        affected = []
+        left = []
         if self.partitions:
-            affected = self._affected_by(keys, primary_key)
+            affected, left = self._affected_by(keys, primary_key)
             target = restrict_to_partitions(target, affected, self.partitions)
         self._size_shuffles(target, batch)
-        self._stage(upsert(target, batch, primary_key, keys), affected, load_id)
+        self._stage(upsert(target, batch, primary_key, keys), load_id, left)
         self._publish()
 
     def append_again(self, batch: DataFrame, load_id: str) -> None:
@@ -99,11 +100,10 @@ class CuratedTable:
         """
         batch = self._aligned(batch)
         older = self._stored().filter(self.journal.written_before(load_id))
-        affected = []
         if self.partitions:
             affected = self._values(batch.select(*self.partitions).distinct())
             older = restrict_to_partitions(older, affected, self.partitions)
-        self._stage(older.unionByName(batch), affected, load_id)
+        self._stage(older.unionByName(batch), load_id)
         self._publish()
 
     def purge(self, condition: Column | None = None) -> None:
@@ -195,13 +195,14 @@ class CuratedTable:
         keys.write.mode("overwrite").parquet(self._keys)
         return self._session.read.schema(keys.schema).parquet(self._keys)
 
-    def _affected_by(self, keys: DataFrame, primary_key: Sequence[str]) -> list[Row]:
-        """Affected partitions as text: bounded by the number of partitions."""
+    def _affected_by(self, keys: DataFrame, primary_key: Sequence[str]) -> tuple[list[Row], list[Row]]:
+        """Affected partitions, and those of them that only lose rows; as text,
+        and bounded by the number of partitions."""
         target = self._stored()
         fixed = [p for p in self.partitions if p in primary_key]
         if fixed == self.partitions:
             # The key decides the partition: no stored row can be elsewhere.
-            return self._values(keys.select(*self.partitions).distinct())
+            return self._values(keys.select(*self.partitions).distinct()), []
         if fixed:
             # Stored matches agree with the batch in these columns: read no more.
             reachable = encode_partitions(keys, fixed).distinct().collect()
@@ -210,20 +211,22 @@ class CuratedTable:
         if bounds is not None:
             target = target.filter(bounds)
         self._size_shuffles(target.select(*primary_key, *self.partitions), keys)
-        return self._values(affected_partitions(target, keys, primary_key, self.partitions))
+        affected = affected_partitions(target, keys, primary_key, self.partitions)
+        rows = encode_partitions(affected, self.partitions, IN_BATCH).collect()
+        return rows, [row for row in rows if not row[IN_BATCH]]
 
     def _values(self, partitions: DataFrame) -> list[Row]:
         return encode_partitions(partitions, self.partitions).collect()
 
-    def _stage(self, rows: DataFrame, affected: list[Row], load_id: str | None) -> None:
+    def _stage(self, rows: DataFrame, load_id: str | None, left: list[Row] = ()) -> None:
         """Write the new rows, then the marker that says they may be published:
-        the load they belong to and the partitions they replace."""
+        the load they belong to, and the partitions that may have none."""
         writer = self._spread(rows).write.mode("overwrite").option("compression", "snappy")
         if self.partitions:
             writer = writer.partitionBy(*self.partitions)
         writer.parquet(self._rows)
-        replaced = [[row[p] for p in self.partitions] for row in affected]
-        write_marker(self.spark, self._ready, json.dumps({"load_id": load_id, "replaced": replaced}))
+        left = [[row[p] for p in self.partitions] for row in left]
+        write_marker(self.spark, self._ready, json.dumps({"load_id": load_id, "left": left}))
 
     def _publish(self) -> None:
         """Overwrite the table, or only the staged partitions, from staging.
@@ -233,11 +236,12 @@ class CuratedTable:
         ready = json.loads(read_marker(self.spark, self._ready))
         staged = self._session.read.schema(self.read().schema).parquet(self._rows)
         self._insert_overwrite(staged.select(*self.read().columns), "dynamic" if self.partitions else "static")
-        if self.partitions:
+        if ready["left"]:
             # A dynamic overwrite leaves alone what it has no row for.
-            filled = set(self._values(staged.select(*self.partitions).distinct()))
-            replaced = [Row(*self.partitions)(*values) for values in ready["replaced"]]
-            self._empty([row for row in replaced if row not in filled])
+            left = [Row(*self.partitions)(*values) for values in ready["left"]]
+            among = restrict_to_partitions(staged.select(*self.partitions), left, self.partitions)
+            filled = set(self._values(among.distinct()))
+            self._empty([row for row in left if row not in filled])
             self._refresh()
         if ready["load_id"] is not None:
             self.journal.finish(ready["load_id"])

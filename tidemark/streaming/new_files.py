@@ -15,8 +15,12 @@ from tidemark.storage import exists, read_marker, write_marker
 
 
 def new_files(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Stream of the parquet files below `path`, for folders that other tools fill."""
-    return spark.readStream.schema(schema).parquet(path)
+    """Stream of the parquet files below `path`, for folders that other tools fill.
+
+    However old a file's stamp is: by default a stream passes over files that
+    are a week older than the newest one.
+    """
+    return spark.readStream.schema(schema).option("maxFileAge", "36500d").parquet(path)
 
 
 def run_available(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], None]) -> None:
