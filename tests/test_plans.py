@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import decode, lex_gt
-from tidemark.operators import batch_keys, key_range, matched_key_partitions, upsert
+from tidemark.operators import batch_keys, encode_partitions, key_range, matched_key_partitions, upsert
+from tidemark.operators import merge as merge_module
 from tidemark.operators.marks import high_water
+from tidemark.sessions import adopt, planned_bytes, private_session, size_shuffles
 
 
 def plan(df):
@@ -92,3 +94,44 @@ def test_a_bookmark_reaches_the_scan(spark, hot):
 def test_a_water_mark_is_combined_before_its_exchange(hot):
     text = plan(high_water(hot, ["k", "v"]))
     assert text.count("Exchange SinglePartition") == 1 and "partial_max" in text
+
+
+def test_adopted_rows_keep_their_plan_and_size(spark, hot):
+    session = private_session(spark)
+    adopted = adopt(session, hot)
+    assert plan(adopted.filter("k > 5").select("k")).count("Scan") == 1
+    assert "Union" not in plan(adopted) and "GreaterThan(k,5)" in plan(adopted.filter("k > 5"))
+    assert planned_bytes(adopted) == planned_bytes(hot) < 1 << 30
+
+
+def test_a_private_session_splits_skew_whatever_the_caller_has_set(spark):
+    caller = spark.newSession()
+    caller.conf.set("spark.sql.adaptive.enabled", "false")
+    caller.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    caller.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    session = private_session(caller)
+    assert session.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert session.conf.get("spark.sql.sources.partitionOverwriteMode") == "static"
+    assert session.conf.get("spark.sql.session.timeZone") == "Asia/Kolkata"
+    assert caller.conf.get("spark.sql.adaptive.enabled") == "false"
+
+
+def test_shuffles_grow_with_the_input(spark):
+    session = private_session(spark)
+    for n_bytes, expected in ((0, "7"), (64 << 30, "1025"), (100 << 40, "20000")):
+        size_shuffles(session, "7", n_bytes)
+        assert session.conf.get("spark.sql.shuffle.partitions") == expected
+
+
+def test_a_long_list_of_partitions_prunes_and_is_not_shuffled(spark, lake, monkeypatch):
+    monkeypatch.setattr(merge_module, "PREDICATE_LIMIT", 1)
+    spec = lake.mutable("p,q")
+    rows = spark.range(40).select(F.col("id").cast("int"), (F.col("id") % 4).alias("p"), (F.col("id") % 5).alias("q"))
+    lake.load(spec, rows)
+    table = lake.table(spec).read()
+    wanted = encode_partitions(table.filter("p < 3 and p = q"), ["p", "q"]).distinct().collect()
+    found = merge_module.restrict_to_partitions(table, wanted, ["p", "q"])
+    text = plan(found)
+    assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
+    assert "p#" in text.split("PartitionFilters: [")[1].split("]")[0]
+    assert sorted({(r.p, r.q) for r in found.collect()}) == [(0, 0), (1, 1), (2, 2)]

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from tidemark.functions.literals import decode, decode_column, encode
@@ -123,8 +124,9 @@ def restrict_to_partitions(df: DataFrame, values: Sequence[Row],
     pruned = df.filter(reduce(and_, [
         _one_of(p, {v[p] for v in values}, types[p]) for p in partitions
     ]))
-    text = T.StructType([T.StructField(f"_{p}", T.StringType()) for p in partitions])
-    wanted = df.sparkSession.createDataFrame([tuple(v[p] for p in partitions) for v in values], text)
+    # From Arrow, so that the optimizer knows the size of the list.
+    text = pa.table({f"_{p}": pa.array([v[p] for v in values], pa.string()) for p in partitions})
+    wanted = df.sparkSession.createDataFrame(text)
     wanted = wanted.select(*(decode_column(F.col(f"_{p}"), types[p]).alias(f"_{p}") for p in partitions))
     same = reduce(and_, [F.col(p).eqNullSafe(F.col(f"_{p}")) for p in partitions])
     return pruned.join(wanted, same, "left_semi")

@@ -7,7 +7,7 @@ what the caller has set.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Input bytes per shuffle partition (columnar files grow about threefold as
 # shuffled rows), and the most partitions a shuffle starts with. Adaptive
@@ -37,8 +37,13 @@ def private_session(spark: SparkSession) -> SparkSession:
 
 
 def adopt(session: SparkSession, df: DataFrame) -> DataFrame:
-    """The same rows, planned and run under the settings of `session`."""
-    return session.createDataFrame([], df.schema).unionByName(df)
+    """The same rows, planned and run under the settings of `session`.
+
+    A union belongs to the session of its first part; the optimizer removes the
+    part that has no rows.
+    """
+    columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
+    return session.range(1).filter(F.lit(False)).select(*columns).unionByName(df)
 
 
 def planned_bytes(df: DataFrame) -> int | None:
