@@ -78,16 +78,21 @@ def has_coarse_clock(spark: SparkSession, path: str) -> bool:
 
 
 def working_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder that every executor can reach.
+    """A fresh scratch folder that every executor can reach.
 
     It lies in the folder the cluster names in ``spark.checkpoint.dir``. Only a
     local session without that setting gets a temporary folder of its machine.
+    On a mounted file system the folder goes when this process ends; elsewhere
+    it is left to the retention rules of the store.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
-        return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
+        folder = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    elif spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix=f"{label}-")
+    else:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix=f"{label}-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    mounted = folder.removeprefix("file:")
+    if "://" not in mounted:
+        atexit.register(shutil.rmtree, mounted, ignore_errors=True)
     return folder
