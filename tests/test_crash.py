@@ -76,16 +76,49 @@ def test_append_that_dies_before_it_is_recorded(spark, lake, monkeypatch, partit
     with pytest.raises(Crash):
         lake.load(spec, batch, "2")
     assert lake.rows(spec, "id", "v", "p") == APPENDED  # written, but not recorded
-    # The repetition dies as well: with the rows staged, then while it publishes them.
-    for name, before in (("_stage", True), ("_stage", False), ("_publish", True)):
-        crash_after(monkeypatch, CuratedTable, name, before=before)
-        with pytest.raises(Crash):
-            lake.load(spec, batch, "2")
+    crash_after(monkeypatch, CuratedTable, "_undo_append")
+    with pytest.raises(Crash):
+        lake.load(spec, batch, "2")
+    crash_after(monkeypatch, CuratedTable, "append", before=True)
+    with pytest.raises(Crash):
+        lake.load(spec, batch, "2")
+    assert lake.rows(spec, "id", "v", "p") == sorted(STORED, key=repr)
     for _ in range(2):
         lake.load(spec, batch, "2")
         assert lake.rows(spec, "id", "v", "p") == APPENDED
 
 
+def test_an_interrupted_append_is_undone_before_another_load(spark, lake, monkeypatch):
+    spec = lake.spec(nature_of_data="immutable", type_of_pull="incremental", bookmark_key="id",
+                     bookmark_key_order="asc", target_partition_columns="p")
+    batch = prepared(spark, lake, spec)
+    crash_after(monkeypatch, Journal, "finish", before=True)
+    with pytest.raises(Crash):
+        lake.load(spec, batch, "2")
+    other = [(8, "x", "p1"), (9, "y", "p9")]
+    lake.load(spec, spark.createDataFrame(other, SCHEMA))
+    assert lake.rows(spec, "id", "v", "p") == sorted(STORED + other, key=repr)
+    lake.load(spec, batch, "2")
+    assert lake.rows(spec, "id", "v", "p") == sorted(STORED + other + BATCH, key=repr)
+
+
+def test_files_in_a_partition_that_was_not_registered_are_undone(spark, lake, monkeypatch):
+    spec = lake.spec(nature_of_data="immutable", type_of_pull="incremental", bookmark_key="id",
+                     bookmark_key_order="asc", target_partition_columns="p")
+    prepared(spark, lake, spec)
+    batch = spark.createDataFrame([(5, "e", "new")], SCHEMA)
+
+    def unregistered(self, rows):
+        rows.drop("p").coalesce(1).write.parquet(f"{self.path}/p=new")
+        raise Crash
+
+    with monkeypatch.context() as patch, pytest.raises(Crash):
+        patch.setattr(CuratedTable, "append", unregistered)
+        lake.load(spec, batch, "2")
+    lake.load(spec, batch, "2")
+    assert lake.rows(spec, "id", "v", "p") == sorted(STORED + [(5, "e", "new")], key=repr)
+
+
 def test_append_that_leaves_half_of_its_files(spark, lake, monkeypatch):
     spec = lake.spec(nature_of_data="immutable", type_of_pull="incremental", bookmark_key="id",
                      bookmark_key_order="asc", target_partition_columns="p")
@@ -96,8 +129,8 @@ def test_append_that_leaves_half_of_its_files(spark, lake, monkeypatch):
         original(self, rows.filter("id = 4"))
         raise Crash
 
-    monkeypatch.setattr(CuratedTable, "append", half)
-    with pytest.raises(Crash):
+    with monkeypatch.context() as patch, pytest.raises(Crash):
+        patch.setattr(CuratedTable, "append", half)
         lake.load(spec, batch, "2")
     lake.load(spec, batch, "2")
     assert lake.rows(spec, "id", "v", "p") == APPENDED

@@ -27,6 +27,8 @@ def ensure_database(spark: SparkSession, name: str, location: str | None = None)
     where = f" LOCATION {sql_text(location)}" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {quote(name)}{where}")
 
+CREATE, APPEND, REPLACE, MERGE = "create", "append", "replace", "merge"
+
 
 class CuratedTable:
     """One curated table. All its writes run in a session of its own."""
@@ -59,8 +61,6 @@ class CuratedTable:
 
     def create(self, batch: DataFrame) -> None:
         """First load. Leftovers of an earlier, interrupted one are replaced."""
-        if self.exists():
-            self.spark.sql(f"DROP TABLE {self.name}")
         batch = self._normalised(adopt(self._session, batch))
         writer = self._spread(batch).write.mode("overwrite").format("parquet")
         writer = writer.option("path", self.path).option("compression", "snappy")
@@ -92,20 +92,6 @@ class CuratedTable:
         self._stage(upsert(target, batch, primary_key, keys), load_id, left)
         self._publish()
 
-    def append_again(self, batch: DataFrame, load_id: str) -> None:
-        """Repeat an append that was cut short and may have left some files.
-
-        The partitions of the batch are rewritten from the files that are older
-        than the load, plus the batch; whatever the load had added goes.
-        """
-        batch = self._aligned(batch)
-        older = self._stored().filter(self.journal.written_before(load_id))
-        if self.partitions:
-            affected = self._values(batch.select(*self.partitions).distinct())
-            older = restrict_to_partitions(older, affected, self.partitions)
-        self._stage(older.unionByName(batch), load_id)
-        self._publish()
-
     def purge(self, condition: Column | None = None) -> None:
         """Remove whole partitions, those for which `condition` on partition
         columns holds, or every row if there is no condition."""
@@ -120,11 +106,19 @@ class CuratedTable:
         self._refresh()
 
     def recover(self) -> None:
-        """Finish a publication that was cut short. Call before any other write."""
+        """Bring the table back to a state between two loads: finish a
+        publication that was cut short, undo any other load that was. Call
+        before a load."""
         if self.exists():
             self._refresh()  # whoever wrote last may have been another session
         if exists(self.spark, self._ready):
             self._publish()
+        mode = self.journal.interrupted()
+        if mode == APPEND and self.exists():
+            self._undo_append()
+        elif mode == CREATE and self.exists():
+            self.spark.sql(f"DROP TABLE {self.name}")
+        self.journal.clear()
 
     # ---------------------------------------------------- schema evolution
 
@@ -254,6 +248,15 @@ class CuratedTable:
         rows.write.mode("overwrite").insertInto(self.name)
         self._refresh()
 
+    def _undo_append(self) -> None:
+        """Delete the files that an interrupted append has added. They are looked
+        for by path, since it may not have come to register new partitions."""
+        files = self._session.read.schema(self.read().schema).parquet(self.path)
+        added = files.filter(self.journal.written_since()).select(F.col("_metadata.file_path").alias("file"))
+        for row in added.distinct().collect():
+            delete_uri(self.spark, row["file"])
+        self._refresh()
+
     def _empty(self, partitions: list[Row]) -> None:
         """Remove the folders of partitions that are to have no rows.
 

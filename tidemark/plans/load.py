@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import logging
+import uuid
 
 from pyspark.sql import DataFrame
 
-from tidemark.plans.curated import CuratedTable, ensure_database
+from tidemark.plans.curated import APPEND, CREATE, MERGE, REPLACE, CuratedTable, ensure_database
 from tidemark.spec import Layout, TableSpec
 
 log = logging.getLogger(__name__)
 
-CREATE, APPEND, REPLACE, MERGE = "create", "append", "replace", "merge"
-
 
 def choose_mode(table_exists: bool, nature_of_data: str, type_of_pull: str) -> str:
     """The first load creates; full pulls replace; incremental pulls append
@@ -36,29 +35,26 @@ def load_batch(batch: DataFrame, spec: TableSpec, layout: Layout, load_id: str |
     load takes effect exactly once, however often it is repeated after a crash.
     """
     spark = batch.sparkSession
+    load_id = load_id or uuid.uuid4().hex
     table = curated_table(spark, spec, layout)
     table.recover()
-    if load_id is not None and table.journal.finished(load_id):
+    if table.journal.finished(load_id):
         return None
     if batch.isEmpty():
         log.info("%s: no rows, nothing loaded", spec.source)
         return None
     ensure_database(spark, spec.database, f"{layout.root}/databases/{spec.database}")
-    repeated = table.journal.interrupted_mode(load_id) if load_id is not None else None
-    mode = repeated or choose_mode(table.exists(), spec.nature_of_data, spec.type_of_pull)
-    if load_id is not None and repeated is None:
-        table.journal.start(load_id, mode)
+    mode = choose_mode(table.exists(), spec.nature_of_data, spec.type_of_pull)
+    table.journal.start(load_id, mode)
     if mode == CREATE:
         table.create(batch)
+    elif mode == APPEND:
+        table.append(batch)
     elif mode == REPLACE:
         table.replace(batch)
-    elif mode == MERGE:
-        table.merge(batch, spec.primary_keys, load_id)
-    elif repeated:
-        table.append_again(batch, load_id)
     else:
-        table.append(batch)
-    if load_id is not None and not table.journal.finished(load_id):
+        table.merge(batch, spec.primary_keys, load_id)
+    if mode != MERGE:
         table.journal.finish(load_id)
     log.info("%s: %s", spec.source, mode)
     return mode
