@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,6 +19,7 @@ WORKFLOW = "wf"
 JDBC_URL_SETTING = "spark.tidemark.jdbc.url"
 
 _loaded: set[tuple[str, str]] = set()
+_loading = Lock()
 
 
 class Lake:
@@ -73,17 +75,19 @@ def relational(spark: SparkSession, sf_dir: str, name: str) -> JdbcSource:
     read; a cluster names its own database in ``spark.tidemark.jdbc.url``.
     """
     url = spark.conf.get(JDBC_URL_SETTING, None)
-    if url is None:
+    embedded = url is None
+    if embedded:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {JDBC_URL_SETTING}: executors cannot reach an in-process database")
         label = uuid.uuid5(uuid.NAMESPACE_URL, spark.sparkContext.applicationId + sf_dir).hex
         url = f"jdbc:derby:memory:tidemark_{label};create=true"
     source = JdbcSource(url)
-    if (url, name) not in _loaded:
-        rows = read(spark, sf_dir, name)
-        text = ", ".join(f"{f.name} VARCHAR(200)" for f in rows.schema.fields
-                         if f.dataType.simpleString() == "string")
-        (rows.write.mode("overwrite").option("createTableColumnTypes", text)
-         .option("batchsize", 10000).jdbc(source.url, f"app.{name}", properties=source.properties))
-        _loaded.add((url, name))
+    with _loading:
+        if embedded and (url, name) not in _loaded:
+            rows = read(spark, sf_dir, name)
+            text = ", ".join(f"{f.name} VARCHAR(200)" for f in rows.schema.fields
+                             if f.dataType.simpleString() == "string")
+            (rows.write.mode("overwrite").option("createTableColumnTypes", text)
+             .option("batchsize", 10000).jdbc(source.url, f"app.{name}", properties=source.properties))
+            _loaded.add((url, name))
     return source

@@ -48,7 +48,9 @@ class Lake:
         return curated_table(self.spark, spec, self.layout)
 
     def rows(self, spec, *columns):
-        df = self.table(spec).read()
+        table = self.table(spec)
+        self.spark.catalog.refreshTable(table.name)  # the load may have run in another session
+        df = table.read()
         return sorted((tuple(r) for r in df.select(*(columns or df.columns)).collect()), key=repr)
 
     def files(self, spec):

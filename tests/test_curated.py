@@ -193,9 +193,17 @@ def test_purge(spark, lake):
     assert lake.rows(spec, "id") == [(1,), (2,), (3,)]
 
 
-def test_wider_values_fail_instead_of_being_cut(spark, lake):
-    spec = lake.mutable()
-    lake.load(spec, spark.createDataFrame([(1, "a", "p")], SCHEMA))
-    with pytest.raises(Exception, match="OVERFLOW"):
-        lake.load(spec, spark.createDataFrame([(1 << 40, "a", "p")], "id bigint, v string, p string"))
-    assert lake.rows(spec) == [(1, "a", "p")]
+@pytest.mark.parametrize("partitions", ["None", "p"])
+def test_wider_values_fail_instead_of_being_cut(spark, lake, partitions):
+    session = spark.newSession()
+    session.conf.set("spark.sql.ansi.enabled", "false")
+    merged = lake.mutable(partitions)
+    appended = lake.spec(source_table_name="u", type_of_pull="incremental", nature_of_data="immutable",
+                         bookmark_key="id", bookmark_key_order="asc", target_partition_columns=partitions)
+    for spec in (merged, appended):
+        lake.load(spec, session.createDataFrame([(1, "a", "p")], SCHEMA))
+        with pytest.raises(Exception, match="OVERFLOW"):
+            lake.load(spec, session.createDataFrame([(1 << 40, "a", "p")], "id bigint, v string, p string"))
+        assert lake.rows(spec) == [(1, "a", "p")]
+        lake.load(spec, session.createDataFrame([(2, "a", "p")], "id bigint, v string, p string"))
+        assert lake.rows(spec) == [(1, "a", "p"), (2, "a", "p")]

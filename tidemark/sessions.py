@@ -1,8 +1,8 @@
 """Sessions of our own: the caller's settings, plus those that a load relies on.
 
-Adaptive execution is what splits a hot key or a hot partition, and the
-overwrite mode decides what a write deletes; neither may depend on, or change,
-what the caller has set.
+Adaptive execution is what splits a hot key or a hot partition, the overwrite
+mode decides what a write deletes, and ANSI mode what becomes of values that do
+not fit; none of them may depend on, or change, what the caller has set.
 """
 
 from __future__ import annotations
@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 # execution merges the ones that turn out small.
 SHUFFLE_BYTES = 64 << 20
 SHUFFLE_LIMIT = 20_000
+# What adaptive execution makes of one output file, unless the caller has said:
+# Spark's own 64 MB of shuffled rows leave files that are small for large tables.
+FILE_BYTES_SETTING = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+FILE_BYTES = "256MB"
 # Spark's "unknown" is around 8 EiB.
 _UNKNOWN = 1 << 60
 
@@ -23,11 +27,15 @@ _REQUIRED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "static",
+    # A value that does not fit the table's type must fail, not become NULL.
+    "spark.sql.ansi.enabled": "true",
+    "spark.sql.storeAssignmentPolicy": "ANSI",
 }
 
 
 def private_session(spark: SparkSession) -> SparkSession:
     session = spark.newSession()
+    session.conf.set(FILE_BYTES_SETTING, FILE_BYTES)
     for key, value in spark.conf.getAll.items():
         if spark.conf.isModifiable(key):
             session.conf.set(key, value)
