@@ -180,3 +180,18 @@ def test_batch_ids_stay_text(spark, lake):
 def test_equal_table_names_can_be_told_apart(lake):
     spec = TableSpec("a-b", "orders", "curated-db", target_table_name="a_orders")
     assert (spec.database, spec.table) == ("curated_db", "a_orders")
+
+
+def test_names_in_another_case_and_with_dots(spark, lake):
+    spec = lake.spec(type_of_pull="incremental", bookmark_key="VERSION", bookmark_key_order="asc",
+                     primary_key="ID", target_partition_columns="P")
+    schema = "id int, `a.b` string, `c d` string, p string, version int"
+    run_table(spark, spec, lake.layout, "wf", spark.createDataFrame([(1, "x", "y", "p1", 1)], schema))
+    both = spark.createDataFrame([(1, "x", "y", "p1", 1), (1, "X", "Y", "p2", 2)], schema)
+    assert run_table(spark, spec, lake.layout, "wf", both).modes == ("merge",)
+    assert lake.rows(spec, "id", "`a.b`", "`c d`", "p", "version") == [(1, "X", "Y", "p2", 2)]
+
+
+def test_a_missing_column_is_named(spark, lake):
+    with pytest.raises(ValueError, match="no such column: nope"):
+        lake.load(lake.mutable("nope"), spark.createDataFrame([(1, "a", "p")], SCHEMA))

@@ -207,3 +207,17 @@ def test_wider_values_fail_instead_of_being_cut(spark, lake, partitions):
         assert lake.rows(spec) == [(1, "a", "p")]
         lake.load(spec, session.createDataFrame([(2, "a", "p")], "id bigint, v string, p string"))
         assert lake.rows(spec) == [(1, "a", "p"), (2, "a", "p")]
+
+
+@pytest.mark.parametrize("first, then", [("None", "p"), ("p", "None"), ("p", "p,v")])
+def test_a_table_keeps_its_partitioning(spark, lake, first, then):
+    lake.load(lake.mutable(first), spark.createDataFrame([(1, "a", "p")], SCHEMA))
+    with pytest.raises(ValueError, match="is partitioned by"):
+        lake.load(lake.mutable(then), spark.createDataFrame([(2, "a", "p")], SCHEMA))
+    assert lake.rows(lake.mutable(first), "id") == [(1,)]
+
+
+def test_partition_columns_may_be_given_in_another_order(spark, lake):
+    lake.load(lake.mutable("p,v"), spark.createDataFrame([(1, "a", "p"), (2, "b", "q")], SCHEMA))
+    lake.load(lake.mutable("V,P"), spark.createDataFrame([(1, "b", "q")], SCHEMA))
+    assert lake.rows(lake.mutable("p,v"), "id", "v", "p") == [(1, "b", "q"), (2, "b", "q")]

@@ -9,6 +9,7 @@ from operator import and_, or_
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
+from tidemark.functions.columns import columns_of
 from tidemark.functions.literals import decode, decode_column, encode
 
 # Above this many alternatives a composite predicate becomes a semi-join.
@@ -86,7 +87,7 @@ def upsert(target: DataFrame, batch: DataFrame, primary_key: Sequence[str],
     """
     keys = batch if keys is None else keys
     kept = target.join(keys.select(*primary_key), list(primary_key), "left_anti")
-    return kept.select(*target.columns).unionByName(batch, allowMissingColumns=True)
+    return kept.select(*columns_of(target)).unionByName(batch, allowMissingColumns=True)
 
 
 def encode_partitions(df: DataFrame, partitions: Sequence[str], *others: str) -> DataFrame:

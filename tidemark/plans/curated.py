@@ -13,6 +13,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
+from tidemark.functions.columns import columns_of, fold, resolve
 from tidemark.functions.literals import quote, sql_text
 from tidemark.operators.merge import (
     IN_BATCH, affected_partitions, batch_keys, encode_partitions, key_range, restrict_to_partitions,
@@ -39,6 +40,8 @@ class CuratedTable:
         self.name = quote(database, table)
         self.path = path
         self.partitions = list(partitions)
+        if self.exists():
+            self._take_partitions_of_table()
         self.state = state
         self.journal = Journal(spark, state)
         self._rows = f"{state}/staging/rows"
@@ -61,6 +64,7 @@ class CuratedTable:
 
     def create(self, batch: DataFrame) -> None:
         """First load. Leftovers of an earlier, interrupted one are replaced."""
+        self.partitions = resolve(batch, self.partitions)
         batch = self._normalised(adopt(self._session, batch))
         writer = self._spread(batch).write.mode("overwrite").format("parquet")
         writer = writer.option("path", self.path).option("compression", "snappy")
@@ -82,6 +86,7 @@ class CuratedTable:
         """Upsert by key, rewriting the affected partitions (or the whole table
         if it has none)."""
         batch = self._aligned(batch)
+        primary_key = resolve(batch, primary_key)
         keys = self._stage_keys(batch, primary_key)
         target = self._stored()
         left = []
@@ -124,9 +129,9 @@ class CuratedTable:
 
     def evolve(self, schema: T.StructType) -> list[str]:
         """Add the columns the table lacks; stored rows read NULL in them."""
-        known = {self._fold(c) for c in self.read().columns}
+        known = {fold(self.spark, c) for c in self.read().columns}
         added = [T.StructField(f.name, f.dataType, True) for f in schema.fields
-                 if self._fold(f.name) not in known]
+                 if fold(self.spark, f.name) not in known]
         if added:
             self.spark.sql(f"ALTER TABLE {self.name} ADD COLUMNS ({T.StructType(added).toDDL()})")
             self._refresh()
@@ -134,6 +139,14 @@ class CuratedTable:
 
     # ------------------------------------------------------------- helpers
 
+    def _take_partitions_of_table(self) -> None:
+        """The stored order and spelling. Writing by other partitions than the
+        table has would replace the wrong rows."""
+        stored = [c.name for c in self.spark.catalog.listColumns(self.name) if c.isPartition]
+        if {fold(self.spark, p) for p in stored} != {fold(self.spark, p) for p in self.partitions}:
+            raise ValueError(f"{self.name} is partitioned by {stored}, not by {self.partitions}")
+        self.partitions = stored
+
     def _stored(self) -> DataFrame:
         return self._session.table(self.name)
 
@@ -142,14 +155,11 @@ class CuratedTable:
         for session in (self.spark, self._session):
             session.catalog.refreshTable(self.name)
 
-    def _fold(self, name: str) -> str:
-        return name if self.spark.conf.get("spark.sql.caseSensitive") == "true" else name.lower()
-
     def _normalised(self, batch: DataFrame) -> DataFrame:
         """Spark stores an empty partition value as NULL. Doing so beforehand
         keeps the value in step with the partition it ends up in."""
-        kinds = {self._fold(f.name): f.dataType for f in batch.schema.fields}
-        text = [p for p in self.partitions if isinstance(kinds[self._fold(p)], T.StringType)]
+        kinds = {fold(self.spark, f.name): f.dataType for f in batch.schema.fields}
+        text = [p for p in self.partitions if isinstance(kinds[fold(self.spark, p)], T.StringType)]
         return batch.withColumns({p: F.nullif(F.col(p), F.lit("")) for p in text}) if text else batch
 
     def _aligned(self, batch: DataFrame) -> DataFrame:
@@ -157,14 +167,14 @@ class CuratedTable:
         has been given the batch's new columns."""
         self.evolve(batch.schema)
         batch = self._normalised(adopt(self._session, batch))
-        present = {self._fold(f.name): f for f in batch.schema.fields}
+        present = {fold(self.spark, f.name): f for f in batch.schema.fields}
         columns = []
         for wanted in self.read().schema.fields:
-            given = present.get(self._fold(wanted.name))
+            given = present.get(fold(self.spark, wanted.name))
             if given is None:
                 column = F.lit(None).cast(wanted.dataType)
             else:
-                column = batch[given.name]
+                column = F.col(quote(given.name))
                 if given.dataType.simpleString() != wanted.dataType.simpleString():
                     column = column.cast(wanted.dataType)
             columns.append(column.alias(wanted.name))
@@ -229,7 +239,7 @@ class CuratedTable:
         """
         ready = json.loads(read_marker(self.spark, self._ready))
         staged = self._session.read.schema(self.read().schema).parquet(self._rows)
-        self._insert_overwrite(staged.select(*self.read().columns), "dynamic" if self.partitions else "static")
+        self._insert_overwrite(staged.select(*columns_of(self.read())), "dynamic" if self.partitions else "static")
         if ready["left"]:
             # A dynamic overwrite leaves alone what it has no row for.
             left = [Row(*self.partitions)(*values) for values in ready["left"]]

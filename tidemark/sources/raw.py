@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.storage import delete
 
@@ -46,10 +46,9 @@ def read_batches(spark: SparkSession, path: str, batch_ids: Sequence[str]) -> Da
 
 def batches(spark: SparkSession, path: str) -> DataFrame:
     """All batches with their `batch_id`, kept as text."""
-    data = spark.read.option("mergeSchema", True).parquet(path)
-    columns = [f for f in data.schema.fields if f.name != BATCH]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns)
-    return spark.read.schema(f"{schema}, {BATCH} string").parquet(path)
+    fields = raw_scan(spark, path).schema.fields
+    schema = T.StructType([*fields, T.StructField(BATCH, T.StringType())])
+    return spark.read.schema(schema).parquet(path)
 
 
 def batch_counts(spark: SparkSession, path: str) -> DataFrame:
