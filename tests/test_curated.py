@@ -11,7 +11,7 @@ from tidemark.operators.merge import encode_partitions, partition_predicate, res
 from tidemark.operators import merge as merge_module
 from tidemark.plans.load import choose_mode
 
-few = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+few = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 SCHEMA = "id int, v string, p string"
 
 CASES = {
