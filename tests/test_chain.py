@@ -195,3 +195,12 @@ def test_names_in_another_case_and_with_dots(spark, lake):
 def test_a_missing_column_is_named(spark, lake):
     with pytest.raises(ValueError, match="no such column: nope"):
         lake.load(lake.mutable("nope"), spark.createDataFrame([(1, "a", "p")], SCHEMA))
+
+
+def test_batch_folders_can_be_read_as_plain_files(spark, lake):
+    spec = appended(lake)
+    for i in range(2):
+        land(spark.createDataFrame([(i, "a", "p")], SCHEMA), lake.layout.raw(spec), f"00000000000{i}")
+        load_new_files(spark, spec, lake.layout, SCHEMA)
+    assert lake.table(spec).read().columns == ["id", "v", "p"]
+    assert lake.rows(spec, "id") == [(0,), (1,)]

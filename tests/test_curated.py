@@ -21,6 +21,8 @@ CASES = {
     "null partition": ([(9, "z", None), (8, "y", None)], [(9, "Z", None)], [(8, "y", None), (9, "Z", None)]),
     "out of the null partition": ([(9, "z", None)], [(9, "Z", "p1")], [(9, "Z", "p1")]),
     "empty text partition": ([(8, "y", None)], [(9, "Z", "")], [(8, "y", None), (9, "Z", None)]),
+    "text that stands for null": ([(8, "y", None)], [(9, "Z", "__HIVE_DEFAULT_PARTITION__")],
+                                  [(8, "y", None), (9, "Z", None)]),
     "quote in value": ([(1, "a", "o'k")], [(1, "A", "o'k")], [(1, "A", "o'k")]),
     "odd value is emptied": ([(1, "a", "o'k \\ =/%#")], [(1, "A", "p")], [(1, "A", "p")]),
     "duplicate batch keys": ([(1, "a", "p1")], [(1, "x", "p1"), (1, "y", "p1")], [(1, "x", "p1"), (1, "y", "p1")]),

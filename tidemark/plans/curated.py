@@ -29,6 +29,8 @@ def ensure_database(spark: SparkSession, name: str, location: str | None = None)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {quote(name)}{where}")
 
 CREATE, APPEND, REPLACE, MERGE = "create", "append", "replace", "merge"
+# An empty text, and the folder name that stands for NULL.
+STORED_AS_NULL = ("", "__HIVE_DEFAULT_PARTITION__")
 
 
 class CuratedTable:
@@ -156,11 +158,12 @@ class CuratedTable:
             session.catalog.refreshTable(self.name)
 
     def _normalised(self, batch: DataFrame) -> DataFrame:
-        """Spark stores an empty partition value as NULL. Doing so beforehand
-        keeps the value in step with the partition it ends up in."""
+        """Spark stores some partition values as NULL. Making them NULL beforehand
+        keeps a row's value in step with the partition it ends up in."""
         kinds = {fold(self.spark, f.name): f.dataType for f in batch.schema.fields}
         text = [p for p in self.partitions if isinstance(kinds[fold(self.spark, p)], T.StringType)]
-        return batch.withColumns({p: F.nullif(F.col(p), F.lit("")) for p in text}) if text else batch
+        stored = {p: F.when(~F.col(quote(p)).isin(*STORED_AS_NULL), F.col(quote(p))) for p in text}
+        return batch.withColumns(stored) if text else batch
 
     def _aligned(self, batch: DataFrame) -> DataFrame:
         """The batch with the table's columns, order and types, after the table

@@ -50,7 +50,7 @@ def load_new_files(spark: SparkSession, spec: TableSpec, layout: Layout,
         write_marker(spark, f"{checkpoint}/id", stream_id)
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        load_batch(batch, spec, layout, load_id=f"{stream_id}-{epoch}")
+        load_batch(batch.drop(BATCH), spec, layout, load_id=f"{stream_id}-{epoch}")
 
     run_available(new_files(spark, layout.raw(spec), schema), f"{checkpoint}/stream", apply)
     _refresh(spark, spec, layout)
