@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm.common import table
+from tidemark.llm.knn_quality import fit_neighbours, held_out, quality_scores
 from tidemark.llm.mixing import mix_plan
+from tidemark.llm.piece_codec import piece_digests, read_model
+from tidemark.llm.quality_rules import fit_rules, quality_verdicts
+from tidemark.llm.secret_scan import secret_spans
 from tidemark.llm.sharding import stratified_shards
+from tidemark.llm.token_counts import piece_vocabulary, token_counts
 from tidemark.llm.url_filter import url_verdicts
 
 #: Host labels (between dots and dashes) that put a host on the block list.
@@ -14,12 +20,45 @@ LISTED_WORDS = ("adult", "ads", "bets", "casino", "pills", "spam")
 _LISTED = rf"(^|[.-])({'|'.join(LISTED_WORDS)})([.-]|$)"
 
 
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+#: A score from here on is predicted as label 1.
+QUALITY_THRESHOLD = 0.3
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = fit_rules(docs, table(spark, sf_dir, "labels"))
+    return quality_verdicts(docs, rules).withColumnRenamed("id", "doc_id").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"), read_model(PIECE_MODEL)).withColumnRenamed("id", "doc_id")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op4_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_neighbours(docs, table(spark, sf_dir, "labels"))
+    return quality_scores(docs, model).select(
+        F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score",
+        (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(table(spark, sf_dir, "documents"))
     return (plan.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
             .select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    initial, continuing = piece_vocabulary(PIECE_MODEL)
+    return token_counts(table(spark, sf_dir, "documents"), initial, continuing).withColumnRenamed("id", "doc_id")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = stratified_shards(table(spark, sf_dir, "documents"))
     return shards.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard",
@@ -36,7 +75,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_piece_codec": op2_piece_codec,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_quality_neighbours": op4_quality_neighbours,
     "op6_mixing": op6_mixing,
+    "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
     "op10_url_filters": op10_url_filters,
 }
