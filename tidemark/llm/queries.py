@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemark.llm.common import table
 from tidemark.llm.knn_quality import fit_neighbours, held_out, quality_scores
 from tidemark.llm.mixing import mix_plan
+from tidemark.llm.ngram_join import similar_documents
 from tidemark.llm.piece_codec import piece_digests, read_model
 from tidemark.llm.quality_rules import fit_rules, quality_verdicts
 from tidemark.llm.secret_scan import secret_spans
@@ -65,6 +66,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def listed_host(host: Column) -> Column:
     return host.rlike(_LISTED)
 
@@ -82,6 +87,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
+    "op9_ngram_join": op9_ngram_join,
     "op10_url_filters": op10_url_filters,
 }
 

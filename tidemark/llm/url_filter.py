@@ -56,11 +56,16 @@ def _probes(key: Column, level: int, n_bits: int) -> list[Column]:
 
 
 class BloomLevel:
-    """One Bloom filter: a saved one-row table with an array of 64-bit words."""
+    """One Bloom filter: a saved one-row table with an array of 64-bit words.
 
-    def __init__(self, keys: DataFrame, n_keys: int, level: int):
+    With `most_words` a filter for many keys stays that small and lets more others pass.
+    """
+
+    def __init__(self, keys: DataFrame, n_keys: int, level: int, most_words: int | None = None):
         self.level = level
         self.n_words = max(1, math.ceil(n_keys * BITS_PER_KEY / 64))
+        if most_words:
+            self.n_words = min(self.n_words, most_words)
         spark = keys.sparkSession
         bits = keys.select(F.explode(F.array(*_probes(F.col("key"), level, self.n_words * 64))).alias("bit"))
         words = bits.select(F.shiftright("bit", 6).alias("word"),
