@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.llm.cap_filters import near_vectors
 from tidemark.llm.common import table
 from tidemark.llm.knn_quality import fit_neighbours, held_out, quality_scores
 from tidemark.llm.mixing import mix_plan
@@ -49,6 +50,10 @@ def op4_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(table(spark, sf_dir, "documents"))
     return (plan.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
@@ -84,6 +89,7 @@ QUERIES = {
     "op2_piece_codec": op2_piece_codec,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_neighbours": op4_quality_neighbours,
+    "op5_cap_filters": op5_cap_filters,
     "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
