@@ -129,8 +129,9 @@ def fit_neighbours(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE
     return NeighbourModel.fit(dense, known["label"].to_numpy(float), **options)
 
 
-def quality_scores(docs: DataFrame, model: NeighbourModel, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """`id` and score of every whole text."""
+def quality_scores(docs: DataFrame, model: NeighbourModel, id_col: str = "doc_id", text: str = "text",
+                   carry: bool = False) -> DataFrame:
+    """`id` and score of every whole text; with `carry` also `row`, the input's columns."""
     # Bounded by the model's sample and rank.
     shared = docs.sparkSession.sparkContext.broadcast((model.projection, model.vectors, model.labels, model.k))
 
@@ -143,4 +144,4 @@ def quality_scores(docs: DataFrame, model: NeighbourModel, id_col: str = "doc_id
             return {"score": np.concatenate(blocks)}
         return scores
 
-    return map_texts(docs, id_col, text, start, "score double")
+    return map_texts(docs, id_col, text, start, "score double", carry=carry)

@@ -183,12 +183,13 @@ def scan_text(text: str | None) -> tuple:
     return *count, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), len(spans)
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """`id`, counts and digest of the base spans, all spans, and their number."""
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """`id`, counts and digest of the base spans, all spans, and their number; with
+    `carry` also `row`, the input's columns."""
     names = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans")
 
     def start():
         return lambda texts: dict(zip(names, zip(*map(scan_text, texts))))
 
     return map_texts(docs, id_col, text, start, "n_assign long, n_access long, n_hex long, base_sha256 string, "
-                                                "spans string, n_spans long")
+                                                "spans string, n_spans long", carry=carry)
