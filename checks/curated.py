@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks.lake import Lake, order_changes
@@ -107,6 +109,57 @@ def merge_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake.rows(spec, items)
 
 
+def merge_many_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hundreds of affected combinations: order month, priority and status."""
+    lake = Lake(spark, sf_dir)
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    orders = lake.table("orders")
+    spec = lake.spec("orders", **KEY, target_partition_columns="month, o_orderpriority, o_orderstatus")
+    lake.load(spec, orders.withColumn("month", month), "1")
+    lake.load(spec, order_changes(orders).withColumn("month", month), "2")
+    return lake.rows(spec, orders)
+
+
+def merge_struct_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch has a struct's fields, and those of structs in an array, in another order."""
+    lake = Lake(spark, sf_dir)
+    events = lake.table("events")
+    spec = lake.spec("events", type_of_pull="incremental", bookmark_key="event_id", bookmark_key_order="asc",
+                     primary_key="event_id")
+
+    def nested(rows: DataFrame, *order: str) -> DataFrame:
+        one = F.struct(*order)
+        return rows.select("event_id", one.alias("one"), F.array(one).alias("many"))
+
+    lake.load(spec, nested(events, "user_id", "event_type", "value"), "1")
+    clicks = events.filter("event_type = 'click'").withColumn("value", F.col("value") + 1)
+    lake.load(spec, nested(clicks, "value", "user_id", "event_type"), "2")
+    return lake.rows(spec).select("event_id", "one.user_id", "one.event_type", "one.value",
+                                  F.col("many")[0]["value"].alias("value_in_array"))
+
+
+def replace_failure_keeps_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full pull with one key that does not fit fails, and leaves both layouts as they are."""
+    lake = Lake(spark, sf_dir)
+    orders = lake.table("orders")
+    small = orders.withColumn("o_custkey", F.col("o_custkey").cast("int"))
+    kept = []
+    for name, layout in (("plain", {}), ("parted", BY_STATUS)):
+        spec = lake.spec("orders", target_table_name=name, **layout)
+        spec = replace(spec, source_table_name=name)
+        lake.load(spec, small, "1")
+        wide = orders.withColumn("o_custkey", F.when(F.col("o_orderkey") == 0, 1 << 40).otherwise(F.col("o_custkey")))
+        try:
+            lake.load(spec, wide, "2")
+        except Exception as error:
+            if "CAST_OVERFLOW" not in str(error):
+                raise
+        else:
+            raise AssertionError("a value that does not fit was stored")
+        kept.append(lake.rows(spec, orders).withColumn("layout", F.lit(name)))
+    return kept[0].unionByName(kept[1])
+
+
 def merge_new_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake = Lake(spark, sf_dir)
     orders = lake.table("orders")
@@ -239,6 +292,9 @@ def empty_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "merge_many_partitions": merge_many_partitions,
+    "merge_struct_by_name": merge_struct_by_name,
+    "replace_failure_keeps_rows": replace_failure_keeps_rows,
     "merge_partitioned": merge_partitioned,
     "merge_two_partition_columns": merge_two_partition_columns,
     "merge_unpartitioned": merge_unpartitioned,
@@ -269,6 +325,12 @@ FROM conversations"""
 _REPLACED = "SELECT * REPLACE (o_totalprice + 1 AS o_totalprice, 'F' AS o_orderstatus) FROM orders"
 
 SQL = {
+    "merge_many_partitions": f"WITH {MERGED} SELECT * FROM merged",
+    "merge_struct_by_name": """SELECT event_id, user_id, event_type, value, value AS value_in_array FROM (
+  SELECT event_id, user_id, event_type, CASE WHEN event_type = 'click' THEN value + 1 ELSE value END AS value
+  FROM events)""",
+    "replace_failure_keeps_rows": """SELECT * REPLACE (o_custkey::INTEGER AS o_custkey)
+FROM orders, (VALUES ('plain'), ('parted')) AS t (layout)""",
     "merge_partitioned": f"WITH {MERGED} SELECT * FROM merged",
     "merge_two_partition_columns": f"WITH {MERGED} SELECT * FROM merged",
     "merge_unpartitioned": f"WITH {MERGED} SELECT * FROM merged",

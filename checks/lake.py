@@ -85,8 +85,9 @@ def relational(spark: SparkSession, sf_dir: str, name: str) -> JdbcSource:
     with _loading:
         if embedded and (url, name) not in _loaded:
             rows = read(spark, sf_dir, name)
-            text = ", ".join(f"{f.name} VARCHAR(200)" for f in rows.schema.fields
-                             if f.dataType.simpleString() == "string")
+            texts = [f.name for f in rows.schema.fields if f.dataType.simpleString() == "string"]
+            longest = rows.agg(*(F.max(F.length(c)).alias(c) for c in texts)).first() if texts else None
+            text = ", ".join(f"{c} VARCHAR({max(1, longest[c] or 0)})" for c in texts)
             (rows.write.mode("overwrite").option("createTableColumnTypes", text)
              .option("batchsize", 10000).jdbc(source.url, f"app.{name}", properties=source.properties))
             _loaded.add((url, name))

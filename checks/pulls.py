@@ -13,7 +13,8 @@ from tidemark.plans.chain import pull, pull_to_raw, run_all, run_table
 from tidemark.sources.jdbc import hash_predicates, pull_table
 from tidemark.sources.raw import append_files, batch_counts, land, raw_scan as scan_raw
 from tidemark.spec import TableSpec
-from tidemark.streaming.new_files import load_new_files
+from tidemark.storage import delete
+from tidemark.streaming.new_files import load_logged_batches, load_new_files
 
 MID_MONTH = "timestamp_ntz'2024-01-15 00:00:00'"
 NEW_YEAR = "timestamp_ntz'1998-01-01 00:00:00'"
@@ -172,6 +173,29 @@ def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake.rows(spec, orders)
 
 
+def append_after_lost_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs; in between, the stream forgets what it has loaded."""
+    lake = Lake(spark, sf_dir)
+    events = lake.table("events")
+    spec = _incremental(lake, "events", "ts,event_id")
+    run_table(spark, spec, lake.layout, WORKFLOW, events.filter(f"ts <= {MID_MONTH}"))
+    delete(spark, lake.layout.checkpoint(spec, WORKFLOW))
+    run_table(spark, spec, lake.layout, WORKFLOW, events)
+    return lake.rows(spec, events)
+
+
+def two_workflows_one_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two workflows land a half each before either loads."""
+    lake = Lake(spark, sf_dir)
+    events = lake.table("events")
+    spec = _incremental(lake, "events", "ts,event_id")
+    pull_to_raw(spark, spec, lake.layout, "w1", events.filter(f"ts <= {MID_MONTH}"))
+    pull_to_raw(spark, spec, lake.layout, "w2", events.filter(f"ts > {MID_MONTH}"))
+    for workflow in ("w1", "w2"):
+        load_logged_batches(spark, spec, lake.layout, workflow)
+    return lake.rows(spec, events)
+
+
 def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_rows({name: read(spark, sf_dir, name) for name in ("orders", "events", "lineitem")})
 
@@ -200,6 +224,8 @@ def chain_two_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "append_after_lost_checkpoint": append_after_lost_checkpoint,
+    "two_workflows_one_source": two_workflows_one_source,
     "incremental_first_run": incremental_first_run,
     "incremental_asc": incremental_asc,
     "incremental_desc": incremental_desc,
@@ -230,6 +256,8 @@ _MARK_DESC = f"""(SELECT o_orderpriority, o_orderkey FROM orders
   ORDER BY 1, 2 LIMIT 1)"""
 
 SQL = {
+    "append_after_lost_checkpoint": "SELECT * FROM events",
+    "two_workflows_one_source": "SELECT * FROM events",
     "incremental_first_run": "SELECT * FROM events",
     "incremental_asc": """SELECT * FROM events
 WHERE ts > (SELECT max(ts) FROM events WHERE ts <= TIMESTAMP '2024-01-15 00:00:00')""",

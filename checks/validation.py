@@ -58,10 +58,11 @@ SPEC_ENTRIES = {
     "shop_catalog_db_name": "CASE WHEN c_nationkey <> 11 THEN 'shop' END",
     "shop_catalog_table_name": "CASE WHEN c_nationkey <> 12 THEN c_name END",
     "hashfield": "CASE WHEN c_nationkey <> 13 THEN 'id' END",
-    "hashpartitions": "CASE WHEN c_nationkey <> 14 THEN '3' END",
+    "hashpartitions": "CASE WHEN c_nationkey = 17 THEN 'many' WHEN c_nationkey <> 14 THEN '3' END",
     "bookmark_key": "CASE WHEN c_nationkey <> 15 THEN 'changed_at, id' END",
     "bookmark_key_order": "CASE WHEN c_nationkey = 16 THEN 'up' ELSE 'asc' END",
     "primary_key": "CASE WHEN c_nationkey NOT IN (0, 17) THEN 'id' END",
+    "target_table_name": "CASE WHEN c_nationkey = 20 THEN 'shared-' || c_mktsegment END",
 }
 
 
@@ -130,12 +131,19 @@ _SPEC_RULES = [
      "the catalog database name is needed for a pyspark source"),
     ("source_raw_job_type = 'pyspark' AND catalog_table_name IS NULL",
      "the catalog table name is needed for a pyspark source"),
-    ("source_raw_job_type = 'pyspark' AND parallel_pull = 'true' AND (hashfield IS NULL OR hashpartitions IS NULL)",
+    ("parallel_pull = 'true' AND (hashfield IS NULL OR hashpartitions IS NULL)",
      "hashfield and hashpartitions are needed for a parallel pull"),
+    ("parallel_pull = 'true' AND NOT regexp_full_match(hashpartitions, '0*[1-9][0-9]*')",
+     "hashpartitions must be a positive integer"),
+    ("source_raw_job_type <> 'pyspark' AND parallel_pull NOT IN ('true', 'false')",
+     "parallel_pull must be true or false"),
     ("type_of_pull = 'incremental' AND (bookmark_key IS NULL OR bookmark_key_order NOT IN ('asc', 'desc'))",
      "bookmark_key and an order of asc or desc are needed for an incremental pull"),
     ("nature_of_data = 'mutable' AND type_of_pull = 'incremental' AND primary_key IS NULL",
      "primary_key is needed for an incremental pull of mutable data"),
+    ("""count(*) OVER (PARTITION BY regexp_replace(trim(target_db_name), '[^A-Za-z0-9_]', '_', 'g'), lower(
+        regexp_replace(coalesce(target_table_name, source_table_name), '[^A-Za-z0-9_]', '_', 'g'))) > 1""",
+     "another spec has the same target table"),
 ]
 
 SQL = {

@@ -1,3 +1,4 @@
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
@@ -9,6 +10,7 @@ from tidemark.plans.bookmarks import bookmark, log_entries, next_batch_id
 from tidemark.plans.curated import CuratedTable
 from tidemark.plans import chain
 from tidemark.sources.raw import append_files, batches, land, raw_scan
+from tidemark.storage import delete
 from tidemark.streaming import load_logged_batches, load_new_files
 
 SCHEMA = "id int, v string, p string"
@@ -42,7 +44,7 @@ def test_a_batch_without_any_key_keeps_the_old_bookmark(spark, lake):
     first = spark.createDataFrame([(5, "a", "p")], SCHEMA)
     pull_to_raw(spark, spec, lake.layout, "wf", first)
     from tidemark.plans.bookmarks import save_bookmark
-    nulls = land(spark.createDataFrame([(None, "b", "p")], SCHEMA), lake.layout.raw(spec), "000000000002")
+    nulls = land(spark.createDataFrame([(None, "b", "p")], SCHEMA), lake.layout.raw(spec, "wf"), "000000000002")
     save_bookmark(nulls, log, "000000000002", ["id"], "asc")
     assert bookmark(spark, log, keys_of(first, spec)).first()["id"] == 5
     assert {r.batch_id: r.n_rows for r in log_entries(spark, log).collect()} == {
@@ -80,7 +82,7 @@ def test_a_retried_pull_lands_once(spark, lake, monkeypatch):
     monkeypatch.undo()
     assert not lake.table(spec).exists()  # a failed pull is not loaded
     run_table(spark, spec, lake.layout, "wf", source)
-    assert raw_scan(spark, lake.layout.raw(spec)).count() == 1
+    assert raw_scan(spark, lake.layout.raw(spec, "wf")).count() == 1
     assert lake.rows(spec) == [(1, "a", "p")]
 
 
@@ -91,7 +93,7 @@ def test_unread_increments_are_merged_in_order(spark, lake):
         spec_all = lake.mutable("p")
         batch_id = next_batch_id(spark, lake.layout.bookmarks(spec_all, "wf"))
         from tidemark.plans.bookmarks import save_bookmark
-        landed = land(rows, lake.layout.raw(spec), batch_id)
+        landed = land(rows, lake.layout.raw(spec, "wf"), batch_id)
         save_bookmark(landed, lake.layout.bookmarks(spec, "wf"), batch_id, ["id"], "asc")
     assert load_logged_batches(spark, spec, lake.layout, "wf") == ["create", "merge", "merge"]
     assert lake.rows(spec, "id", "v") == [(1, "c"), (97, "a"), (98, "b"), (99, "c")]
@@ -109,7 +111,7 @@ def test_of_unread_full_pulls_the_newest_counts(spark, lake):
 def test_a_batch_that_is_still_landing_is_not_lost(spark, lake):
     spec = appended(lake)
     run_table(spark, spec, lake.layout, "wf", spark.createDataFrame([(1, "a", "p")], SCHEMA))
-    landed = land(spark.createDataFrame([(2, "b", "p")], SCHEMA), lake.layout.raw(spec), "000000000002")
+    landed = land(spark.createDataFrame([(2, "b", "p")], SCHEMA), lake.layout.raw(spec, "wf"), "000000000002")
     assert load_logged_batches(spark, spec, lake.layout, "wf") == []
     from tidemark.plans.bookmarks import save_bookmark
     save_bookmark(landed, lake.layout.bookmarks(spec, "wf"), "000000000002", ["id"], "asc")
@@ -204,3 +206,69 @@ def test_batch_folders_can_be_read_as_plain_files(spark, lake):
         load_new_files(spark, spec, lake.layout, SCHEMA)
     assert lake.table(spec).read().columns == ["id", "v", "p"]
     assert lake.rows(spec, "id") == [(0,), (1,)]
+
+
+def test_rows_are_counted(spark, lake):
+    spec = appended(lake)
+    rows = spark.createDataFrame([(i, "a", "p") for i in range(3)], SCHEMA)
+    result = run_table(spark, spec, lake.layout, "wf", rows)
+    assert (result.rows_pulled, result.rows_loaded) == (3, 3)
+    again = run_table(spark, spec, lake.layout, "wf", rows)
+    assert (again.batch_id, again.rows_pulled, again.rows_loaded) == (None, 0, 0)
+
+
+@pytest.mark.parametrize("pull_type", ["incremental", "full"])
+def test_a_lost_checkpoint_doubles_nothing(spark, lake, pull_type):
+    spec = appended(lake) if pull_type == "incremental" else lake.spec(nature_of_data="immutable")
+    for i in range(1, 4):
+        pull_to_raw(spark, spec, lake.layout, "wf", spark.createDataFrame([(n, "a", "p") for n in range(i)], SCHEMA))
+    load_logged_batches(spark, spec, lake.layout, "wf")
+    delete(spark, lake.layout.checkpoint(spec, "wf"))
+    pull_to_raw(spark, spec, lake.layout, "wf", spark.createDataFrame([(n, "a", "p") for n in range(5)], SCHEMA))
+    assert len(load_logged_batches(spark, spec, lake.layout, "wf")) == 1
+    assert lake.rows(spec, "id") == [(n,) for n in range(5)]
+
+
+def test_workflows_keep_their_batches_apart(spark, lake):
+    spec = appended(lake)
+    pull_to_raw(spark, spec, lake.layout, "w1", spark.createDataFrame([(n, "a", "p") for n in range(5)], SCHEMA))
+    pull_to_raw(spark, spec, lake.layout, "w2", spark.createDataFrame([(n, "a", "p") for n in (100, 101)], SCHEMA))
+    for workflow in ("w1", "w2"):
+        load_logged_batches(spark, spec, lake.layout, workflow)
+    assert sorted(lake.rows(spec, "id")) == [(0,), (1,), (2,), (3,), (4,), (100,), (101,)]
+
+
+@pytest.mark.parametrize("other", [dict(source_schema_name="z"), dict(target_table_name="T ", source_table_name="t2")])
+def test_colliding_specs_do_not_run(spark, lake, other):
+    spec = lake.spec()
+    second = replace(spec, **other)
+    with pytest.raises(ValueError, match="the same target"):
+        run_all(spark, [spec, second], lake.layout, "wf")
+    with pytest.raises(ValueError, match="the same source"):
+        run_all(spark, [spec, replace(spec, target_table_name="u")], lake.layout, "wf")
+    assert not lake.table(spec).exists()
+
+
+def test_a_type_change_between_unread_batches(spark, lake):
+    spec = appended(lake)
+    pull_to_raw(spark, spec, lake.layout, "wf", spark.createDataFrame([(1, "a", "p")], SCHEMA))
+    wider = spark.createDataFrame([(1, "a", "p"), (2, "b", "p")], SCHEMA.replace("id int", "id bigint"))
+    pull_to_raw(spark, spec, lake.layout, "wf", wider)
+    assert load_logged_batches(spark, spec, lake.layout, "wf") == ["create", "append"]
+    assert lake.rows(spec, "id") == [(1,), (2,)]
+
+
+def test_full_pulls_need_batches(spark, lake):
+    with pytest.raises(ValueError, match="full pulls need batches"):
+        load_new_files(spark, lake.spec(), lake.layout, SCHEMA)
+
+
+def test_reading_the_bookmark_opens_one_file(spark, lake, monkeypatch):
+    spec = appended(lake)
+    log = lake.layout.bookmarks(spec, "wf")
+    spark.range(1, 1001).select(F.col("id").cast("int"), F.current_timestamp().alias("landed_at"),
+                                F.col("id").alias("n_rows"), F.lpad("id", 12, "0").alias("batch_id")
+                                ).repartition(4).write.partitionBy("batch_id").parquet(log)
+    mark = bookmark(spark, log, spark.createDataFrame([], "id int").schema.fields)
+    assert [r.id for r in mark.collect()] == [1000] and len(mark.inputFiles()) == 1
+    assert next_batch_id(spark, log) == "000000001001"

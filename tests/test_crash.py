@@ -167,3 +167,29 @@ def test_replace(spark, lake, monkeypatch):
     for _ in range(2):
         lake.load(spec, batch, "2")
         assert lake.rows(spec, "id", "v", "p") == sorted(BATCH, key=repr)
+
+
+@pytest.mark.parametrize("partitions", ["p", "None"])
+@pytest.mark.parametrize("name, before", [
+    ("_stage", True), ("_stage", False), ("_publish", True), ("_publish", False), ("_refresh", True)])
+def test_replace(spark, lake, monkeypatch, partitions, name, before):
+    spec = lake.spec(target_partition_columns=partitions)
+    batch = prepared(spark, lake, spec)
+    crash_after(monkeypatch, CuratedTable, name, before=before)
+    with pytest.raises(Crash):
+        lake.load(spec, batch, "2")
+    if name == "_stage":
+        assert lake.rows(spec, "id", "v", "p") == sorted(STORED, key=repr)
+    for _ in range(2):
+        lake.load(spec, batch, "2")
+        assert lake.rows(spec, "id", "v", "p") == sorted(BATCH, key=repr)
+
+
+@pytest.mark.parametrize("partitions", ["p", "None"])
+def test_a_replacement_that_does_not_fit_changes_nothing(spark, lake, partitions):
+    spec = lake.spec(target_partition_columns=partitions)
+    prepared(spark, lake, spec)
+    for _ in range(2):
+        with pytest.raises(Exception, match="CAST_OVERFLOW"):
+            lake.load(spec, spark.createDataFrame([(1 << 40, "x", "p1")], SCHEMA.replace("int", "bigint")), "2")
+        assert lake.rows(spec, "id", "v", "p") == sorted(STORED, key=repr)

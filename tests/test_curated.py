@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tests.conftest import Lake
 from tidemark.operators.merge import encode_partitions, partition_predicate, restrict_to_partitions
-from tidemark.operators import merge as merge_module
 from tidemark.plans.load import choose_mode
 
 few = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
@@ -124,8 +123,7 @@ def test_partition_predicate_prunes_and_handles_nulls(spark, lake):
     assert table.filter(partition_predicate([], table.schema, ["p", "q"])).count() == 0
 
 
-def test_many_partitions_are_decided_by_a_semi_join(spark, lake, monkeypatch):
-    monkeypatch.setattr(merge_module, "PREDICATE_LIMIT", 1)
+def test_combinations_of_partition_values_are_exact(spark, lake):
     spec = lake.mutable("p,q")
     rows = [(i, "v", f"p{i % 3}" if i % 3 else None, i % 2) for i in range(12)]
     lake.load(spec, spark.createDataFrame(rows, "id int, v string, p string, q int"))
@@ -223,3 +221,24 @@ def test_partition_columns_may_be_given_in_another_order(spark, lake):
     lake.load(lake.mutable("p,v"), spark.createDataFrame([(1, "a", "p"), (2, "b", "q")], SCHEMA))
     lake.load(lake.mutable("V,P"), spark.createDataFrame([(1, "b", "q")], SCHEMA))
     assert lake.rows(lake.mutable("p,v"), "id", "v", "p") == [(1, "b", "q"), (2, "b", "q")]
+
+
+def test_struct_fields_are_aligned_by_name(spark, lake):
+    spec = lake.mutable("p")
+    inner = "struct<a:int,b:struct<x:int,y:string>>"
+    lake.load(spec, spark.createDataFrame([(1, (1, (2, "y")), [(1, (2, "y"))], {"k": (1, (2, "y"))}, "p")],
+                                          f"id int, s {inner}, l array<{inner}>, m map<string,{inner}>, p string"))
+    turned = "struct<b:struct<y:string,x:bigint>,a:int>"
+    value = (("why", 20), 10)
+    lake.load(spec, spark.createDataFrame([(2, value, [value, None], {"k": value}, "p"), (3, None, None, None, "p")],
+                                          f"id int, s {turned}, l array<{turned}>, m map<string,{turned}>, p string"))
+    one = (10, (20, "why"))
+    rows = {r.id: r for r in lake.table(spec).read().collect()}
+    assert rows[2].s == one and rows[2].l == [one, None] and rows[2].m == {"k": one}
+    assert rows[3].s is None and rows[3].l is None and rows[3].m is None and rows[1].s == (1, (2, "y"))
+    lacking = spark.createDataFrame([(4, (7,), "p")], "id int, s struct<a:int>, p string")
+    lake.load(spec, lacking)
+    assert lake.table(spec).read().filter("id = 4").first().s == (7, None)
+    unknown = spark.createDataFrame([(5, (7, 8), "p")], "id int, s struct<a:int,z:int>, p string")
+    with pytest.raises(ValueError, match="fields that the table lacks: z"):
+        lake.load(spec, unknown)

@@ -4,6 +4,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from tidemark.__main__ import main
 from tidemark import JdbcSource, Layout, TableSpec, pull, pull_to_raw, run_file
 from tidemark.sources import hash_bucket, hash_predicates, pull_table, spec_rows, validate_specs
 
@@ -162,3 +163,66 @@ def test_every_defect_is_reported(spark, tmp_path):
 def test_contradicting_specs_fail_at_once(values):
     with pytest.raises(ValueError):
         TableSpec(**{"source_schema_name": "s", "source_table_name": "t", "target_db_name": "d", **values})
+
+
+def test_a_broken_document_stops_the_run(spark, tmp_path):
+    (tmp_path / "good.json").write_text(json.dumps(DOCUMENT))
+    for text in (json.dumps(DOCUMENT)[:-40], json.dumps({"other": 1})):
+        (tmp_path / "other.json").write_text(text)
+        with pytest.raises(Exception, match="MALFORMED|job_parameters"):
+            spec_rows(spark, str(tmp_path)).collect()
+
+
+def test_every_prefix_counts(spark, tmp_path):
+    entry = {k: v for k, v in DOCUMENT["job_parameters"][1].items() if "catalog" not in k}
+    a = {**entry, "a_catalog_db_name": "da", "a_catalog_table_name": "ta", "source_table_name": "one"}
+    b = {**entry, "b_catalog_db_name": "db", "b_catalog_table_name": "tb", "source_table_name": "two"}
+    rows = specs_of(spark, tmp_path, [a, b])
+    assert validate_specs(rows).count() == 0
+    assert [(r.catalog_db_name, r.catalog_table_name) for r in rows.collect()] == [("da", "ta"), ("db", "tb")]
+
+
+@pytest.mark.parametrize("change, base", [
+    ({"hashpartitions": "many"}, 1), ({"hashpartitions": "0"}, 1), ({"parallel_pull": "maybe"}, 0),
+    ({"parallel_pull": "true"}, 0), ({"source_db_type": "oracle"}, 1)])
+def test_what_a_run_would_refuse_is_reported(spark, tmp_path, change, base):
+    row = specs_of(spark, tmp_path, [{**DOCUMENT["job_parameters"][base], **change}])
+    with pytest.raises(ValueError):
+        TableSpec.from_row(row.first())
+    assert validate_specs(row).count() == 1
+
+
+def test_specs_with_one_target_are_reported(spark, tmp_path):
+    entry = DOCUMENT["job_parameters"][1]
+    twins = [{**entry, "target_table_name": "x-y"}, {**entry, "source_table_name": "u", "target_table_name": "X_y"},
+             {**entry, "source_table_name": "v"}]
+    report = validate_specs(specs_of(spark, tmp_path, twins)).collect()
+    assert sorted(r.source_table_name for r in report) == sorted([entry["source_table_name"], "u"])
+
+
+def test_credentials_are_not_shown():
+    assert "hidden" not in repr(JdbcSource.of("mysql", "h", 1, "d", password="hidden"))
+
+
+def test_a_hot_hash_value_is_salted_by_an_integer_key(spark, database):
+    rows = pull_table(spark, database, "app.t").schema
+    text = next(f.name for f in rows if f.dataType.simpleString() == "string")
+    salted = hash_predicates(spark, database, "app.t", ["id"], 4, [text])
+    assert salted == hash_predicates(spark, database, "app.t", ["id"], 4)
+    column = next((f.name for f in rows if f.name != "id" and "int" in f.dataType.simpleString()), None)
+    if column:
+        assert hash_predicates(spark, database, "app.t", [column], 4, ["id"]) == \
+            hash_predicates(spark, database, "app.t", [column, "id"], 4)
+
+
+def test_the_command_line(spark, tmp_path, lake, database, capsys, monkeypatch):
+    entry = {**DOCUMENT["job_parameters"][1], "source_schema_name": "app", "source_table_name": "t",
+             "target_db_name": lake.database, "bookmark_key": "id", "hashfield": "id"}
+    missing = {**entry, "source_table_name": "no_such_table"}
+    path = tmp_path / "tables.json"
+    monkeypatch.setenv("DB_USER", "app")
+    arguments = [str(path), lake.layout.root, "--workflow", "wf", "--url", database.url, "--option", "user=env:DB_USER"]
+    for entries, code in (([entry], 0), ([entry, missing], 1), ([{**entry, "type_of_pull": ""}], 2)):
+        path.write_text(json.dumps({"job_parameters": entries}))
+        assert main(arguments) == code
+    assert "app.t\tpulled 400\tloaded 400\tcreate\tok" in capsys.readouterr().out

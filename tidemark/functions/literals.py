@@ -31,13 +31,6 @@ def decode(text: str | None, data_type: T.DataType) -> Column:
     return F.lit(text).cast(data_type)
 
 
-def decode_column(column: Column, data_type: T.DataType) -> Column:
-    """Column form of `decode`, for encoded values held in a DataFrame."""
-    if isinstance(data_type, T.TimestampType):
-        return F.timestamp_micros(column.cast("bigint"))
-    return column.cast(data_type)
-
-
 def sql_text(text: str | None) -> str:
     """A static partition value for `PARTITION (p = …)`."""
     if text is None:

@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from tidemark.functions.columns import columns_of
-from tidemark.functions.literals import decode, decode_column, encode
+from tidemark.functions.literals import decode, encode
 
-# Above this many alternatives a composite predicate becomes a semi-join.
-PREDICATE_LIMIT = 200
 IN_BATCH = "in_batch"
 
 _RANGE_TYPES = (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -98,60 +95,30 @@ def encode_partitions(df: DataFrame, partitions: Sequence[str], *others: str) ->
 
 def partition_predicate(values: Sequence[Row], schema: T.StructType,
                         partitions: Sequence[str]) -> Column:
-    """OR over partitions of AND over columns, with typed null-safe equality.
+    """Whether a row is in one of the given partitions.
 
-    `values` are encoded (`encode_partitions`). Literals, because they prune
-    partitions before anything is listed or read. Partitions that differ in the
-    last column only share one alternative.
+    `values` are encoded (`encode_partitions`). The partition columns are
+    written as one text and looked up in a set of literals: one test whatever the number
+    of partitions, exact for every combination, and made before anything is
+    listed or read, since it names partition columns only.
     """
     types = {f.name: f.dataType for f in schema.fields}
-    *leading, last = partitions
-    alternatives = [
-        reduce(and_, [F.col(p).eqNullSafe(decode(text, types[p])) for p, text in zip(leading, prefix)]
-               + [_one_of(last, texts, types[last])])
-        for prefix, texts in _by_prefix(values, partitions).items()
-    ]
-    return _any(alternatives) if alternatives else F.lit(False)
+    names = [_named(encode(F.col(p), types[p])) for p in partitions]
+    return F.concat(*names).isin(sorted({"".join(_name(v[p]) for p in partitions) for v in values}))
 
 
 def restrict_to_partitions(df: DataFrame, values: Sequence[Row],
                            partitions: Sequence[str]) -> DataFrame:
     """The rows of `df` in the given (encoded) partitions, read from those only."""
-    if len(_by_prefix(values, partitions)) <= PREDICATE_LIMIT:
-        return df.filter(partition_predicate(values, df.schema, partitions))
-    # Too many combinations for one predicate: prune per column, which keeps a
-    # superset, then decide exactly with a semi-join on the list of partitions.
-    types = {f.name: f.dataType for f in df.schema.fields}
-    pruned = df.filter(reduce(and_, [
-        _one_of(p, {v[p] for v in values}, types[p]) for p in partitions
-    ]))
-    # From Arrow, so that the optimizer knows the size of the list.
-    text = pa.table({f"_{p}": pa.array([v[p] for v in values], pa.string()) for p in partitions})
-    wanted = df.sparkSession.createDataFrame(text)
-    wanted = wanted.select(*(decode_column(F.col(f"_{p}"), types[p]).alias(f"_{p}") for p in partitions))
-    same = reduce(and_, [F.col(p).eqNullSafe(F.col(f"_{p}")) for p in partitions])
-    return pruned.join(wanted, same, "left_semi")
-
-
-def _by_prefix(values: Sequence[Row], partitions: Sequence[str]) -> dict[tuple, set[str | None]]:
-    grouped: dict[tuple, set[str | None]] = {}
-    for value in values:
-        *prefix, last = (value[p] for p in partitions)
-        grouped.setdefault(tuple(prefix), set()).add(last)
-    return grouped
-
-
-def _one_of(column: str, texts: set[str | None], data_type: T.DataType) -> Column:
-    literals = [decode(text, data_type) for text in sorted(t for t in texts if t is not None)]
-    tests = [F.col(column).isin(*literals)] if literals else []
-    if None in texts:
-        tests.append(F.col(column).isNull())
-    return reduce(or_, tests)
-
-
-def _any(tests: list[Column]) -> Column:
-    """OR of all, nested no deeper than it must be."""
-    if len(tests) == 1:
-        return tests[0]
-    middle = len(tests) // 2
-    return _any(tests[:middle]) | _any(tests[middle:])
+    if not values:
+        return df.filter(F.lit(False))
+    return df.filter(partition_predicate(values, df.schema, partitions))
+
+
+def _named(text: Column) -> Column:
+    """Texts one after the other stay apart: each is led by its length."""
+    return F.coalesce(F.concat(F.length(text), F.lit(":"), text), F.lit("~"))
+
+
+def _name(text: str | None) -> str:
+    return "~" if text is None else f"{len(text)}:{text}"

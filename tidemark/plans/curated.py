@@ -13,7 +13,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
-from tidemark.functions.columns import columns_of, fold, resolve
+from tidemark.functions.columns import columns_of, conform, fold, resolve
 from tidemark.functions.literals import quote, sql_text
 from tidemark.operators.merge import (
     IN_BATCH, affected_partitions, batch_keys, encode_partitions, key_range, restrict_to_partitions,
@@ -80,9 +80,11 @@ class CuratedTable:
         self._spread(self._aligned(batch)).write.mode("append").insertInto(self.name)
         self._refresh()
 
-    def replace(self, batch: DataFrame) -> None:
-        """Replace all rows of the table."""
-        self._insert_overwrite(self._spread(self._aligned(batch)), "static")
+    def replace(self, batch: DataFrame, load_id: str | None = None) -> None:
+        """Replace all rows of the table, once their successors are staged: a batch
+        that cannot be written leaves the table as it is."""
+        self._stage(self._aligned(batch), load_id, whole=True)
+        self._publish()
 
     def merge(self, batch: DataFrame, primary_key: Sequence[str], load_id: str | None = None) -> None:
         """Upsert by key, rewriting the affected partitions (or the whole table
@@ -177,9 +179,7 @@ class CuratedTable:
             if given is None:
                 column = F.lit(None).cast(wanted.dataType)
             else:
-                column = F.col(quote(given.name))
-                if given.dataType.simpleString() != wanted.dataType.simpleString():
-                    column = column.cast(wanted.dataType)
+                column = conform(F.col(quote(given.name)), given.dataType, wanted.dataType)
             columns.append(column.alias(wanted.name))
         return batch.select(*columns)
 
@@ -225,24 +225,26 @@ class CuratedTable:
     def _values(self, partitions: DataFrame) -> list[Row]:
         return encode_partitions(partitions, self.partitions).collect()
 
-    def _stage(self, rows: DataFrame, load_id: str | None, left: list[Row] = ()) -> None:
+    def _stage(self, rows: DataFrame, load_id: str | None, left: list[Row] = (), whole: bool = False) -> None:
         """Write the new rows, then the marker that says they may be published:
-        the load they belong to, and the partitions that may have none."""
+        the load they belong to, the partitions that may have none, and whether
+        they are all rows of the table."""
         writer = self._spread(rows).write.mode("overwrite").option("compression", "snappy")
         if self.partitions:
             writer = writer.partitionBy(*self.partitions)
         writer.parquet(self._rows)
         left = [[row[p] for p in self.partitions] for row in left]
-        write_marker(self.spark, self._ready, json.dumps({"load_id": load_id, "left": left}))
+        write_marker(self.spark, self._ready, json.dumps({"load_id": load_id, "left": left, "whole": whole}))
 
     def _publish(self) -> None:
-        """Overwrite the table, or only the staged partitions, from staging.
+        """Overwrite the table, or only the partitions a merge has staged, from staging.
 
         Staging is laid out like the table, so this copies without a shuffle.
         """
         ready = json.loads(read_marker(self.spark, self._ready))
         staged = self._session.read.schema(self.read().schema).parquet(self._rows)
-        self._insert_overwrite(staged.select(*columns_of(self.read())), "dynamic" if self.partitions else "static")
+        mode = "dynamic" if self.partitions and not ready["whole"] else "static"
+        self._insert_overwrite(staged.select(*columns_of(self.read())), mode)
         if ready["left"]:
             # A dynamic overwrite leaves alone what it has no row for.
             left = [Row(*self.partitions)(*values) for values in ready["left"]]

@@ -33,6 +33,8 @@ def load_batch(batch: DataFrame, spec: TableSpec, layout: Layout, load_id: str |
 
     An empty batch changes nothing, even as a full pull. With a `load_id` the
     load takes effect exactly once, however often it is repeated after a crash.
+    The batch is read several times: it must be one that is landed, not a view of
+    a source where rows can arrive in between.
     """
     spark = batch.sparkSession
     load_id = load_id or uuid.uuid4().hex
@@ -51,10 +53,10 @@ def load_batch(batch: DataFrame, spec: TableSpec, layout: Layout, load_id: str |
     elif mode == APPEND:
         table.append(batch)
     elif mode == REPLACE:
-        table.replace(batch)
+        table.replace(batch, load_id)
     else:
         table.merge(batch, spec.primary_keys, load_id)
-    if mode != MERGE:
+    if mode in (CREATE, APPEND):  # the others are finished by their publication
         table.journal.finish(load_id)
     log.info("%s: %s", spec.source, mode)
     return mode

@@ -10,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Input bytes per shuffle partition (columnar files grow about threefold as
-# shuffled rows), and the most partitions a shuffle starts with. Adaptive
-# execution merges the ones that turn out small.
+# shuffled rows), however many that makes: partitions that are all too large are
+# not skewed, so adaptive execution would not split them. It merges small ones.
 SHUFFLE_BYTES = 64 << 20
-SHUFFLE_LIMIT = 20_000
 # What adaptive execution makes of one output file, unless the caller has said:
 # Spark's own 64 MB of shuffled rows leave files that are small for large tables.
 FILE_BYTES_SETTING = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
@@ -62,5 +61,5 @@ def planned_bytes(df: DataFrame) -> int | None:
 
 def size_shuffles(session: SparkSession, default: str, n_bytes: int) -> None:
     """As many shuffle partitions as the input needs, at least `default`."""
-    needed = min(SHUFFLE_LIMIT, n_bytes // SHUFFLE_BYTES + 1)
+    needed = n_bytes // SHUFFLE_BYTES + 1
     session.conf.set("spark.sql.shuffle.partitions", str(max(int(default), needed)))

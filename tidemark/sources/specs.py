@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from dataclasses import fields
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidemark.functions.rules import Rule, allowed, not_blank, positive, requires
+from tidemark.functions.rules import Rule, allowed, not_blank, positive, requires, violation
 from tidemark.functions.text import is_blank
 from tidemark.operators.validate import validate
 from tidemark.spec import (
@@ -23,21 +23,28 @@ def spec_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFr
 
     A parameter file is one document (`multi_line`); a folder of one document
     per line is read in parallel with ``multi_line=False``. Fields may carry a
-    prefix, as in ``<vendor>_catalog_db_name``.
+    prefix, as in ``<vendor>_catalog_db_name``. A document that is no JSON, or
+    lacks the array, stops the run: its tables would go unnoticed otherwise.
     """
     document = (spark.read.option("multiLine", multi_line).option("primitivesAsString", True)
-                .json(path))
+                .option("mode", "FAILFAST").json(path))
+    if "job_parameters" not in document.columns:
+        raise ValueError(f"{path} has no job_parameters")
+    document = document.withColumn("job_parameters", F.coalesce("job_parameters", F.raise_error(
+        F.lit(f"a document in {path} has no job_parameters")).cast(document.schema["job_parameters"].dataType)))
     rows = document.select(F.explode("job_parameters").alias("p")).select("p.*")
     return conform_specs(rows)
 
 
 def conform_specs(rows: DataFrame) -> DataFrame:
-    """All spec columns in a fixed order; those the document lacks are NULL."""
+    """All spec columns in a fixed order; those the document lacks are NULL.
+
+    Rows of several documents may carry several prefixes; each row's own counts.
+    """
     def source_of(name: str):
-        if name in rows.columns:
-            return F.col(f"`{name}`").cast("string")
         prefixed = [c for c in rows.columns if name.startswith("catalog_") and c.endswith(f"_{name}")]
-        return F.col(f"`{prefixed[0]}`").cast("string") if prefixed else F.lit(None).cast("string")
+        given = [F.col(f"`{c}`").cast("string") for c in (name, *prefixed) if c in rows.columns]
+        return F.coalesce(*given) if given else F.lit(None).cast("string")
 
     return rows.select(*(source_of(name).alias(name) for name in SPEC_COLUMNS))
 
@@ -46,7 +53,7 @@ def spec_rules() -> list[Rule]:
     job, pull, nature = (F.col(c) for c in ("source_raw_job_type", "type_of_pull", "nature_of_data"))
     spark_job = job == "pyspark"
     incremental = pull == "incremental"
-    parallel = spark_job & (F.col("parallel_pull") == "true")
+    parallel = F.col("parallel_pull") == "true"
 
     def given(column: str):
         return ~is_blank(column)
@@ -72,6 +79,12 @@ def spec_rules() -> list[Rule]:
                  "the catalog table name is needed for a pyspark source"),
         requires(parallel, given("hashfield") & given("hashpartitions"),
                  "hashfield and hashpartitions are needed for a parallel pull"),
+        requires(parallel & given("hashpartitions"), F.col("hashpartitions").rlike(r"^\s*0*[1-9][0-9]*\s*$"),
+                 "hashpartitions must be a positive integer"),
+        requires(~spark_job & given("parallel_pull"), F.col("parallel_pull").isin("true", "false"),
+                 "parallel_pull must be true or false"),
+        requires((job != "python-shell") & given("source_db_type"), F.col("source_db_type").isin(*DATABASE_TYPES),
+                 "source_db_type must be mysql or postgres"),
         requires(incremental, given("bookmark_key") & F.col("bookmark_key_order").isin(*KEY_ORDERS),
                  "bookmark_key and an order of asc or desc are needed for an incremental pull"),
         requires((nature == "mutable") & incremental, given("primary_key"),
@@ -80,5 +93,21 @@ def spec_rules() -> list[Rule]:
 
 
 def validate_specs(specs: DataFrame) -> DataFrame:
-    """`(source_schema_name, source_table_name, Errors)` of the failing specs."""
-    return validate(specs, ["source_schema_name", "source_table_name"], spec_rules(), errors="Errors")
+    """`(source_schema_name, source_table_name, Errors)` of the failing specs.
+
+    Besides the rules for one spec, no two may have the same target table, or the same
+    source, whose name is that of their folders. This is what shuffles the specs.
+    """
+    def name(*columns: Column) -> Column:
+        return F.lower(F.concat_ws(".", *(F.regexp_replace(F.trim(c), "[^A-Za-z0-9_]", "_") for c in columns)))
+
+    table = F.when(is_blank("target_table_name"), F.col("source_table_name")).otherwise(F.col("target_table_name"))
+    source = F.lower(F.concat_ws(".", "source_schema_name", "source_table_name"))
+    counted = specs.withColumns({
+        "_same_target": F.count("*").over(Window.partitionBy(name(F.col("target_db_name"), table))),
+        "_same_source": F.count("*").over(Window.partitionBy(source)),
+    })
+    rules = [*spec_rules(),
+             violation(F.col("_same_target") > 1, "another spec has the same target table"),
+             violation(F.col("_same_source") > 1, "another spec has the same source table")]
+    return validate(counted, ["source_schema_name", "source_table_name"], rules, errors="Errors")

@@ -131,8 +131,10 @@ class Layout:
     def _below(self, area: str, spec: TableSpec) -> str:
         return f"{self.root.rstrip('/')}/{area}/{spec.source_schema_name}/{spec.source_table_name}"
 
-    def raw(self, spec: TableSpec) -> str:
-        return self._below("raw", spec)
+    def raw(self, spec: TableSpec, workflow: str | None = None) -> str:
+        """Batches are numbered within a workflow, so each has folders of its own;
+        files of other producers belong to none."""
+        return self._below(f"raw/{workflow}" if workflow else "raw", spec)
 
     def curated(self, spec: TableSpec) -> str:
         return self._below("curated", spec)

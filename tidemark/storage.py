@@ -77,6 +77,12 @@ def has_coarse_clock(spark: SparkSession, path: str) -> bool:
     return fs.getUri().getScheme() not in ("file", "hdfs")
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly below a folder, none if there is no such folder."""
+    fs, hadoop_path = _resolve(spark, path)
+    return [status.getPath().getName() for status in fs.listStatus(hadoop_path)] if fs.exists(hadoop_path) else []
+
+
 def working_folder(spark: SparkSession, label: str) -> str:
     """A fresh scratch folder that every executor can reach.
 

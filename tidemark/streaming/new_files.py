@@ -39,9 +39,13 @@ def load_new_files(spark: SparkSession, spec: TableSpec, layout: Layout,
                    schema: T.StructType | str, workflow: str = "files") -> None:
     """Load the files that have appeared in the raw folder since the last run.
 
-    For a folder without batches. All new files form one load. Deleting the
-    checkpoint folder makes every file new again.
+    For a folder without batches, and for increments: files do not say which of them
+    belong to one full pull. All new files form one load, so of a mutable row
+    that several of them hold all versions stay; land such files as batches.
+    Deleting the checkpoint folder makes every file new again.
     """
+    if spec.type_of_pull == "full":
+        raise ValueError(f"{spec.source}: full pulls need batches, plain files may be several of them")
     checkpoint = layout.checkpoint(spec, workflow)
     stream_id = read_marker(spark, f"{checkpoint}/id")
     if stream_id is None:
@@ -57,36 +61,40 @@ def load_new_files(spark: SparkSession, spec: TableSpec, layout: Layout,
 
 
 def load_logged_batches(spark: SparkSession, spec: TableSpec, layout: Layout, workflow: str) -> list[str]:
-    """Load the batches that have been logged since the last run.
+    """`logged_loads`, and only how each batch was loaded."""
+    return [mode for _, mode in logged_loads(spark, spec, layout, workflow)]
+
+
+def logged_loads(spark: SparkSession, spec: TableSpec, layout: Layout, workflow: str) -> list[tuple[str, str]]:
+    """Load the batches that have been logged since the last run: their ids, and how.
 
     The stream is over the bookmark log, one tiny file per batch, so that a run
     never lists the raw history and never sees a batch that is still landing.
-    Unread full pulls are overtaken by the newest one; unread increments of
-    mutable data are merged one by one in order, so that the later version of a
-    row wins; those of immutable data are appended together.
+    Unread full pulls are overtaken by the newest one; unread increments are
+    loaded one by one in order, each by its own schema, so that the later
+    version of a row wins. Batches are loaded in order, so what is not newer than
+    the last finished one is done, also when the checkpoint is lost.
     """
-    modes: list[str] = []
+    loads: list[tuple[str, str]] = []
     entries = layout.bookmarks(spec, workflow)
     if not exists(spark, entries):
-        return modes
+        return loads
 
     def apply(log: DataFrame, _epoch: int) -> None:
         session = log.sparkSession
         ids = sorted(row[BATCH] for row in log.select(BATCH).distinct().collect())
-        if spec.type_of_pull == "full":
-            groups = [ids[-1:]]
-        elif spec.nature_of_data == "immutable":
-            groups = [ids]
-        else:
-            groups = [[one] for one in ids]
-        for group in groups:
-            if group:
-                batch = read_batches(session, layout.raw(spec), group)
-                modes.append(load_batch(batch, spec, layout, load_id=f"{workflow}-{group[-1]}"))
+        journal = curated_table(session, spec, layout).journal
+        finished = next((i for i in reversed(ids) if journal.finished(f"{workflow}-{i}")), "")
+        ids = [i for i in ids if i > finished]
+        for batch_id in ids[-1:] if spec.type_of_pull == "full" else ids:
+            batch = read_batches(session, layout.raw(spec, workflow), [batch_id])
+            mode = load_batch(batch, spec, layout, load_id=f"{workflow}-{batch_id}")
+            if mode is not None:
+                loads.append((batch_id, mode))
 
     run_available(new_files(spark, entries, LOG_SCHEMA), f"{layout.checkpoint(spec, workflow)}/stream", apply)
     _refresh(spark, spec, layout)
-    return [mode for mode in modes if mode]
+    return loads
 
 
 def _refresh(spark: SparkSession, spec: TableSpec, layout: Layout) -> None:
