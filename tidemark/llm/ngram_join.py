@@ -5,8 +5,9 @@ with equal sets are one node. All nodes share a global order of n-grams: those
 that a mergeable frequent-items summary over the whole corpus counts come last, by
 count; the rest are in hash order, so rare n-grams lead.
 
-Candidates: two sets of the required similarity share n-grams among the first
-fifth of each in that order, and so many that the rest can make up the overlap.
+Candidates: two sets of the required similarity share at least `LEADING` n-grams
+among the first of each in that order, where "first" ends the sooner the more
+they must overlap, given their sizes.
 To keep groups of near copies from emitting all their pairs, each n-gram's nodes
 are first compared with one leader, the node with the most shared n-grams; then
 only pairs across the components found so far are candidates, all of them.
@@ -41,6 +42,8 @@ from tidemark.llm.url_filter import BloomLevel
 WORDS = 5
 PERCENT = 80
 FRAGMENTS = 8
+#: Common leading n-grams that make two nodes a candidate.
+LEADING = 2
 #: N-grams that the frequency summary keeps; its error is the corpus's n-grams divided by this.
 SUMMARY = 1 << 18
 _BUFFER = 1 << 22
@@ -152,7 +155,8 @@ def _merged(summaries: DataFrame, fan_in: int = 32) -> tuple[np.ndarray, np.ndar
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - (n * percent + 99) // 100 + 1
+    """Of two similar sets, whatever the other's size, the LEADING first common n-grams lie within this."""
+    return min(n, n - (n * percent + 99) // 100 + LEADING)
 
 
 def _prefixes(docs: DataFrame, summary, percent: int) -> DataFrame:
@@ -227,13 +231,25 @@ def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -
                  .select("a", "b"), "linked")
 
 
+def _overlap(a: str, b: str, percent: int) -> str:
+    """The overlap that two nodes of these sizes need, in SQL."""
+    return f"(({percent} * ({a}.n + {b}.n) + {99 + percent}) div {100 + percent})"
+
+
+def _leads(node: str, a: str, b: str, percent: int) -> str:
+    """Whether a common n-gram can be among the LEADING first of a similar pair: past this place in
+    either set too few are left for the overlap. A pair needs least(LEADING, overlap) of these."""
+    need = _overlap(a, b, percent)
+    return f"{node}.place < {node}.n - {need} + least({LEADING}, {need})"
+
+
 def _missing(a: str, b: str, percent: int) -> Column:
     """Common leading n-grams that a pair needs at least.
 
     All n-grams up to the earlier of the two last ones are in both prefixes, so beyond
     the common ones only what follows that set's own prefix can add to the overlap.
     """
-    need = F.expr(f"({percent} * ({a}.n + {b}.n) + {99 + percent}) div {100 + percent}")
+    need = F.expr(_overlap(a, b, percent))
     earlier = F.struct(f"{a}.last_count", f"{a}.last_gram") < F.struct(f"{b}.last_count", f"{b}.last_gram")
     return F.greatest(need - F.when(earlier, F.col(f"{a}.rest")).otherwise(F.col(f"{b}.rest")), F.lit(1))
 
@@ -257,7 +273,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     shared = saved(grams.join(several, "gram"), "shared")
     degree = shared.groupBy("node").agg(F.count("*").alias("degree"))
     info = nodes.select("node", "n", "last_count", "last_gram", "rest").join(degree, "node")
-    member = F.struct("degree", "node", "n", "last_count", "last_gram", "rest")
+    member = F.struct("degree", "node", "n", "last_count", "last_gram", "rest", "place")
     shared = saved(shared.drop("n").join(info, "node").select("gram", member.alias("m")), "members")
 
     # One leader a gram. Pairs that this filter drops for want of grams under the
@@ -276,10 +292,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
                    .select("gram", "m", F.coalesce("component", "node").alias("c")), "placed")
     x, y = placed.alias("x"), placed.alias("y")
     across = (x.join(y, F.expr("x.gram = y.gram AND x.c <> y.c AND (x.m.n < y.m.n OR x.m.n = y.m.n AND "
-                               f"x.m.node < y.m.node) AND y.m.n * {percent} <= x.m.n * 100"))
+                               f"x.m.node < y.m.node) AND y.m.n * {percent} <= x.m.n * 100 AND "
+                               f"{_leads('x.m', 'x.m', 'y.m', percent)} AND {_leads('y.m', 'x.m', 'y.m', percent)}"))
               .select(F.col("x.m").alias("s"), F.col("y.m").alias("t"))
               .select(F.col("s.node").alias("a"), F.col("t.node").alias("b"), F.col("s.n").alias("na"),
-                      F.col("t.n").alias("nb"), _missing("s", "t", percent).alias("need")))
+                      F.col("t.n").alias("nb"), F.expr(f"least({LEADING}, {_overlap('s', 't', percent)})").alias("need")))
     links = links.unionAll(_linked(docs, nodes, enough(across), percent))
 
     of_node = nodes.select("digest", "node", "id").join(saved(components(links), "components"), "node", "left")
