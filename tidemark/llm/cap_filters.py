@@ -6,10 +6,11 @@ block's code. Decoding lists all filters whose cosine with a vector exceeds the
 cap's threshold. Vectors meet in the filters they share, and every pair that
 meets is verified in double precision.
 
-The number of filters and the threshold follow from the number of vectors: a
-filter expects about `OCCUPANCY` vectors at any size, and a pair at the wanted
-cosine expects `COMMON` common filters, so about exp(-COMMON) of such pairs are
-missed.
+The threshold follows from the number of vectors, so that a filter expects about
+`OCCUPANCY` of them at any size. The number of filters grows until `RECALL` of
+simulated pairs share one; after the rotation every pair is as random as these, so
+that is the chance to find a pair just at the wanted cosine, whatever the data.
+Closer pairs are found more often.
 
 A filter's vectors are dealt over blocks of `BLOCK` rows and compared block by
 block, so no filter is gathered whole. A pair counts only in the smallest filter
@@ -26,6 +27,7 @@ id are linked, but give no component its name.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,9 +41,10 @@ from tidemark.llm.common import saved
 from tidemark.llm.components import components
 
 OCCUPANCY = 24
-COMMON = 9.0
+RECALL = 0.95
 BLOCK = 1024
-_LARGEST_CODE = 512
+_TRIALS = 600
+_LARGEST_CODE = 2048
 
 
 @dataclass(frozen=True)
@@ -61,9 +64,20 @@ class CapFilters:
         z = normal.inv_cdf(1 - p)
         # How often the second vector of a pair is in a filter of the first, which is about 1/z beyond the cap.
         stays = 1 - normal.cdf((z - cosine * (z + 1 / z)) / math.sqrt(1 - cosine ** 2))
-        n_filters = COMMON / stays / p
-        n_blocks = min(dim, max(2, math.ceil(math.log(n_filters) / math.log(_LARGEST_CODE))))
-        return CapFilters(dim, n_blocks, math.ceil(n_filters ** (1 / n_blocks)), z / math.sqrt(dim), seed)
+        first, second = _pairs_at(cosine, dim, _TRIALS, seed + 1)
+        n_filters = 8 / stays / p
+        for step in itertools.count():
+            # Short vectors are not cut: their blocks would differ too much in length.
+            n_blocks = 1 if dim < 16 else max(2, math.ceil(math.log(n_filters) / math.log(_LARGEST_CODE)))
+            plan = CapFilters(dim, n_blocks, math.ceil(n_filters ** (1 / n_blocks)), z / math.sqrt(dim), seed)
+            prepared = plan.prepared()
+            names = zip(plan.decode(first, prepared), plan.decode(second, prepared))
+            if np.mean([len(np.intersect1d(a, b)) > 0 for a, b in names]) >= RECALL:
+                return plan
+            if step < 8:
+                n_filters *= 1.4
+            else:  # more filters alone do not help
+                z *= 0.8
 
     def prepared(self):
         rng = np.random.default_rng(self.seed)
@@ -95,8 +109,25 @@ class CapFilters:
         return found
 
 
-def _as_units(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision, and which of the input they are."""
+def _pairs_at(cosine: float, dim: int, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random unit vectors, and others at exactly this cosine from them."""
+    rng = np.random.default_rng(seed)
+    a, off = rng.standard_normal((2, n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    off -= (off * a).sum(axis=1, keepdims=True) * a
+    return a, cosine * a + math.sqrt(1 - cosine ** 2) * off / np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-300)
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """In double precision; scaled first, so that squares neither vanish nor overflow."""
+    rows = rows.astype(np.float64)
+    if len(rows):
+        rows /= np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def _usable(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors that can link, and which of the input they are."""
     out = np.zeros((len(vectors), dim))
     good = np.zeros(len(vectors), bool)
     for i, v in enumerate(vectors):
@@ -104,41 +135,40 @@ def _as_units(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
             out[i] = [math.nan if x is None else x for x in v]
             with np.errstate(over="ignore"):
                 good[i] = np.isfinite(out[i]).all() and bool(out[i].any())
-    out = out[good]
-    out /= np.abs(out).max(axis=1, keepdims=True) if len(out) else 1.0  # so that squares neither vanish nor overflow
-    return out / np.linalg.norm(out, axis=1, keepdims=True), good
+    return out[good], good
 
 
-def _nodes(vectors: DataFrame, dim: int) -> DataFrame:
-    """(id, digest, unit): the digest names equal vectors and is NULL where nothing can link."""
+def _nodes(vectors: DataFrame, dim: int, number: str) -> DataFrame:
+    """(id, digest, raw): the digest names equal directions and is NULL where nothing can
+    link; `raw` has the numbers as the column's type."""
     id_type = vectors.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units, good = _as_units(batch.column("vector").to_pylist(), dim)
-            rows, at = [], 0
-            for ok in good:
-                rows.append((units[at] + 0.0).tobytes() if ok else None)
-                at += bool(ok)
-            digests = [None if r is None else hashlib.blake2b(r, digest_size=16).digest() for r in rows]
+            found, good = _usable(batch.column("vector").to_pylist(), dim)
+            digests, rows = [None] * len(good), [None] * len(good)
+            for i, row, unit in zip(np.flatnonzero(good), found.astype(number), _unit(found) + 0.0):
+                digests[i], rows[i] = hashlib.blake2b(unit.tobytes(), digest_size=16).digest(), row.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary()),
-                                              pa.array(rows, pa.binary())], ["id", "digest", "unit"])
+                                              pa.array(rows, pa.binary())], ["id", "digest", "raw"])
+
+    return vectors.mapInArrow(run, f"id {id_type}, digest binary, raw binary")
 
-    return vectors.mapInArrow(run, f"id {id_type}, digest binary, unit binary")
 
+def _filtered(nodes: DataFrame, filters: CapFilters, number: str) -> DataFrame:
+    """(node, copies, raw, filters)"""
+    small = filters.code_size ** filters.n_blocks < 1 << 31
+    kind, name = (pa.int32(), "int") if small else (pa.int64(), "long")
 
-def _filtered(nodes: DataFrame, filters: CapFilters) -> DataFrame:
-    """(node, copies, unit, filters)"""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prepared = filters.prepared()
         for batch in batches:
-            units = np.frombuffer(b"".join(batch.column("unit").to_pylist())).reshape(-1, filters.dim)
-            names = [n.tolist() for n in filters.decode(units, prepared)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "copies", "unit")),
-                                              pa.array(names, pa.list_(pa.int64()))],
-                                             ["node", "copies", "unit", "filters"])
+            raw = np.frombuffer(b"".join(batch.column("raw").to_pylist()), number).reshape(-1, filters.dim)
+            names = [n.tolist() for n in filters.decode(_unit(raw), prepared)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "copies", "raw")),
+                                              pa.array(names, pa.list_(kind))], ["node", "copies", "raw", "filters"])
 
-    return nodes.mapInArrow(run, "node long, copies long, unit binary, filters array<long>")
+    return nodes.mapInArrow(run, f"node long, copies long, raw binary, filters array<{name}>")
 
 
 def _shares_earlier(name: int, left: list, right: list) -> np.ndarray | None:
@@ -155,13 +185,16 @@ def _shares_earlier(name: int, left: list, right: list) -> np.ndarray | None:
     return has[0] @ has[1].T > 0
 
 
-def _compare(name: int, rows: list[dict], cosine: float) -> tuple[list, list, list]:
+def _compare(name: int, rows: list[dict], cosine: float, number: str) -> tuple[list, list, list]:
     """node, links, root of the rows of one pair of blocks; side 0 against side 1, or side 2 with itself."""
     left = [r for r in rows if r["side"] != 1]
     right = [r for r in rows if r["side"] != 0]
-    units = [np.frombuffer(b"".join([r["unit"] for r in side])).reshape(len(side), -1) for side in (left, right)]
+    if not left or not right:
+        return [], [], []
+    units = [_unit(np.frombuffer(b"".join([r["raw"] for r in side]), number).reshape(len(side), -1))
+             for side in (left, right)]
     near = units[0] @ units[1].T >= cosine
-    same = bool(left) and left[0]["side"] == 2
+    same = left[0]["side"] == 2
     if same:
         np.fill_diagonal(near, False)
     if not near.any():
@@ -188,11 +221,11 @@ def _compare(name: int, rows: list[dict], cosine: float) -> tuple[list, list, li
             np.concatenate([own, root]).tolist())
 
 
-def _verified(dealt: DataFrame, cosine: float) -> DataFrame:
+def _verified(dealt: DataFrame, cosine: float, number: str) -> DataFrame:
     """(node, links, root) from rows sorted by (filter, i, j); one pair of blocks is in memory at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(key, rows):
-            node, links, root = _compare(key[0], rows, cosine)
+            node, links, root = _compare(key[0], rows, cosine, number)
             return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(links, pa.int64()),
                                                pa.array(root, pa.int64())], ["node", "links", "root"])
 
@@ -214,17 +247,18 @@ def _verified(dealt: DataFrame, cosine: float) -> DataFrame:
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector: str = "embedding",
                  block: int = BLOCK, seed: int = 42) -> DataFrame:
     """`id`, n_links, component_id, kept."""
+    number = "f4" if vectors.select(vector).dtypes[0][1] == "array<float>" else "f8"
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     usual = (rows.filter("size(vector) > 0").groupBy(F.size("vector").alias("dim")).count()
              .orderBy(F.desc("count"), "dim").first())
     dim = usual["dim"] if usual else 1
-    named = saved(_nodes(rows, dim), "vectors")
+    named = saved(_nodes(rows, dim, number), "vectors")
     nodes = (named.filter("digest IS NOT NULL").groupBy("digest")
-             .agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.first("unit").alias("unit")))
+             .agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.first("raw").alias("raw")))
     nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     filters = CapFilters.plan(nodes.count(), dim, cosine, seed)
 
-    decoded = saved(_filtered(nodes.select("node", "copies", "unit"), filters), "filtered")
+    decoded = saved(_filtered(nodes.select("node", "copies", "raw"), filters, number), "filtered")
     names = decoded.select(F.explode("filters").alias("filter"))
     blocks = (names.groupBy("filter").agg(F.count("*").alias("n")).filter("n > 1")
               .select("filter", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
@@ -234,9 +268,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     # Side 2: both blocks are the same one.
     dealt = met.select("filter", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                        F.expr("CASE WHEN own = other THEN 2 WHEN own < other THEN 0 ELSE 1 END").alias("side"),
-                       "node", "copies", "unit", "filters")
+                       "node", "copies", "raw", "filters")
     dealt = dealt.repartition("filter", "i", "j").sortWithinPartitions("filter", "i", "j")
-    verified = saved(_verified(dealt, cosine), "verified")
+    verified = saved(_verified(dealt, cosine, number), "verified")
 
     classes = saved(components(verified.select(F.col("node").alias("a"), F.col("root").alias("b"))), "components")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))

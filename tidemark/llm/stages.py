@@ -24,9 +24,14 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; of rows with one id and text, one."""
+    """The document with the smallest id of each group; of rows with one id and text, one.
+
+    Rows without an id cannot be told apart by it, and stay, once for each text.
+    """
     groups = similar_documents(docs)
-    first = groups.filter("id <=> component_id").select(F.col("id").alias("__id")).distinct()
+    first = groups.filter("id = component_id").select(F.col("id").alias("__id")).distinct()
+    none = spark.range(1).select(F.lit(None).cast(first.schema["__id"].dataType).alias("__id"))
+    first = first.unionAll(none)
     return docs.join(first, docs["doc_id"].eqNullSafe(first["__id"]), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
