@@ -20,7 +20,9 @@ decode to a replacement character for each byte.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
+import math
 import re
 from heapq import heapify, heappop, heappush
 
@@ -30,7 +32,9 @@ from tidemark.llm.text_map import map_texts
 
 MARK = "▁"
 #: Segments whose ids a task remembers; the older half goes when it is full.
-REMEMBERED = 120_000
+REMEMBERED = 250_000
+#: Symbols up to which a list serves as agenda, faster than a heap.
+SHORT = 32
 
 
 def read_model(path: str) -> bytes:
@@ -61,6 +65,7 @@ class PieceCodec:
                          else b" \xe2\x81\x87 " if p.type == kinds.UNKNOWN
                          else p.piece.replace(MARK, " ").encode() for p in proto.pieces]
         self.segments = self._segment_pattern()
+        codecs.register_error("replace-each-byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
         self.recent: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -81,43 +86,64 @@ class PieceCodec:
 
     def agenda(self, segment: str) -> tuple[int, ...]:
         """Ids of a segment (or of any marked text)."""
-        priority, symbols = self.priority, list(segment)
-        n = len(symbols)
-        if n > 1:
-            heap = []
-            for i in range(n - 1):
-                found = priority.get(symbols[i] + symbols[i + 1])
-                if found is not None:
-                    heap.append((found, i, i + 1, 2))
-            heapify(heap)
-            after, back = list(range(1, n + 1)), list(range(-1, n - 1))
-            while heap:
-                _, i, j, size = heappop(heap)
-                left, right = symbols[i], symbols[j]
-                if not left or not right or len(left) + len(right) != size:
-                    continue  # one of the two was merged meanwhile
-                symbols[i], symbols[j] = joined, _ = left + right, ""
-                following = after[i] = after[j]
-                if following < n:
-                    back[following] = i
-                    found = priority.get(joined + symbols[following])
-                    if found is not None:
-                        heappush(heap, (found, i, following, size + len(symbols[following])))
-                previous = back[i]
-                if previous >= 0:
-                    found = priority.get(symbols[previous] + joined)
-                    if found is not None:
-                        heappush(heap, (found, previous, i, len(symbols[previous]) + size))
+        symbols = list(segment)
+        merged = self._merged_in_list(symbols) if len(symbols) <= SHORT else self._merged_in_heap(symbols)
         ids = []
-        for symbol in symbols:
-            if symbol:
-                found = self.ids.get(symbol)
-                if found is not None:
-                    ids.append(found)
-                else:
-                    ids.extend(self.byte_ids[b] for b in symbol.encode())
+        for symbol in merged:
+            found = self.ids.get(symbol)
+            if found is not None:
+                ids.append(found)
+            else:
+                ids.extend(self.byte_ids[b] for b in symbol.encode())
         return tuple(ids)
 
+    def _merged_in_list(self, symbols: list[str]) -> list[str]:
+        """The agenda as a list with a place for each pair: its first least entry is the next merge."""
+        priority, never = self.priority.get, math.inf
+        agenda = [priority(a + b, never) for a, b in zip(symbols, symbols[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == never:
+                break
+            i = agenda.index(best)
+            joined = symbols[i] + symbols[i + 1]
+            symbols[i:i + 2] = [joined]
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = priority(joined + symbols[i + 1], never)
+            if i:
+                agenda[i - 1] = priority(symbols[i - 1] + joined, never)
+        return symbols
+
+    def _merged_in_heap(self, symbols: list[str]) -> list[str]:
+        """The agenda as a heap, for long segments. Entries of merged symbols are passed over."""
+        priority, n = self.priority, len(symbols)
+        heap = []
+        for i in range(n - 1):
+            found = priority.get(symbols[i] + symbols[i + 1])
+            if found is not None:
+                heap.append((found, i, i + 1, 2))
+        heapify(heap)
+        after, back = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            _, i, j, size = heappop(heap)
+            left, right = symbols[i], symbols[j]
+            if not left or not right or len(left) + len(right) != size:
+                continue
+            symbols[i], symbols[j] = joined, _ = left + right, ""
+            following = after[i] = after[j]
+            if following < n:
+                back[following] = i
+                found = priority.get(joined + symbols[following])
+                if found is not None:
+                    heappush(heap, (found, i, following, size + len(symbols[following])))
+            previous = back[i]
+            if previous >= 0:
+                found = priority.get(symbols[previous] + joined)
+                if found is not None:
+                    heappush(heap, (found, previous, i, len(symbols[previous]) + size))
+        return [symbol for symbol in symbols if symbol]
+
     def cut(self, text: str) -> list[str]:
         """Segments of a text, marked."""
         return self.segments.findall(self.prefix + text.replace(" ", MARK)) if text else []
@@ -157,7 +183,7 @@ class PieceCodec:
         data = b"".join([self.surfaces[i] for i in ids])
         if self.prefix and data[:1] == b" ":
             data = data[1:]
-        return data.decode("utf-8", errors="replace")
+        return data.decode("utf-8", errors="replace-each-byte")
 
 
 def piece_ids(docs: DataFrame, model: bytes, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Texts handed over at a time, so that what a function makes of them stays small.
-SLICE = 10_000
+SLICE = 500
 
 
 def map_texts(docs: DataFrame, id_col: str, text: str, start: Callable[[], Callable[[list], dict]],
