@@ -110,13 +110,13 @@ def merge_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_many_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hundreds of affected combinations: order month, priority and status."""
+    """Hundreds of affected combinations: order quarter, priority and status."""
     lake = Lake(spark, sf_dir)
-    month = F.date_format("o_orderdate", "yyyy-MM")
+    quarter = F.date_format("o_orderdate", "yyyy-'q'q")
     orders = lake.table("orders")
-    spec = lake.spec("orders", **KEY, target_partition_columns="month, o_orderpriority, o_orderstatus")
-    lake.load(spec, orders.withColumn("month", month), "1")
-    lake.load(spec, order_changes(orders).withColumn("month", month), "2")
+    spec = lake.spec("orders", **KEY, target_partition_columns="quarter, o_orderpriority, o_orderstatus")
+    lake.load(spec, orders.withColumn("quarter", quarter), "1")
+    lake.load(spec, order_changes(orders).withColumn("quarter", quarter), "2")
     return lake.rows(spec, orders)
 
 

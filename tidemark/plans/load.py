@@ -28,11 +28,13 @@ def curated_table(spark, spec: TableSpec, layout: Layout) -> CuratedTable:
                         spec.partitions, layout.state(spec))
 
 
-def load_batch(batch: DataFrame, spec: TableSpec, layout: Layout, load_id: str | None = None) -> str | None:
+def load_batch(batch: DataFrame, spec: TableSpec, layout: Layout, load_id: str | None = None,
+               has_rows: bool = False) -> str | None:
     """Apply one batch and return what was done; None if there was nothing to do.
 
     An empty batch changes nothing, even as a full pull. With a `load_id` the
     load takes effect exactly once, however often it is repeated after a crash.
+    `has_rows` says that the batch is known not to be empty, which saves a job.
     The batch is read several times: it must be one that is landed, not a view of
     a source where rows can arrive in between.
     """
@@ -42,7 +44,7 @@ def load_batch(batch: DataFrame, spec: TableSpec, layout: Layout, load_id: str |
     table.recover()
     if table.journal.finished(load_id):
         return None
-    if batch.isEmpty():
+    if not has_rows and batch.isEmpty():
         log.info("%s: no rows, nothing loaded", spec.source)
         return None
     ensure_database(spark, spec.database, f"{layout.root}/databases/{spec.database}")

@@ -88,7 +88,7 @@ def logged_loads(spark: SparkSession, spec: TableSpec, layout: Layout, workflow:
         ids = [i for i in ids if i > finished]
         for batch_id in ids[-1:] if spec.type_of_pull == "full" else ids:
             batch = read_batches(session, layout.raw(spec, workflow), [batch_id])
-            mode = load_batch(batch, spec, layout, load_id=f"{workflow}-{batch_id}")
+            mode = load_batch(batch, spec, layout, load_id=f"{workflow}-{batch_id}", has_rows=True)
             if mode is not None:
                 loads.append((batch_id, mode))
 
