@@ -5,6 +5,12 @@ and parsed: DER private keys by their nested lengths and field types, OpenSSH
 keys by their length-prefixed strings, signed tokens by their JSON header. Only
 what parses to its last byte is reported, so random text is not.
 
+Base64 is joined over lines before it is decoded, whether their breaks are real
+or written out (`\\n`, `%0A`, ...) and whatever leads them (`> `, `# `, `// `, the
+`+` of a diff, quotes); the first line must have 24 characters. How far a key
+reaches follows from its own lengths. Hex may be led by 0x and cut into bytes or
+lines. What decodes to text with PEM lines is scanned in turn, twice at most.
+
 Spans are in code points, end exclusive, of the whole match. Kinds, in order:
 assign, access, hex (the base), der, openssh, jwt (confirmed).
 
@@ -16,7 +22,9 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
+import itertools
 import json
 import re
 
@@ -26,17 +34,36 @@ from tidemark.llm.text_map import map_texts
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "der", "openssh", "jwt")
+#: How often decoded text is decoded again.
+DEPTH = 2
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _LONG = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{24,}+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
-_ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{2}){32,}+(?![0-9A-Za-z])")
+_ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?((?:[0-9A-Fa-f]{2}){32,}+)(?![0-9A-Za-z])")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}+")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]*+")
 _PEM = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}-----\s*+((?:[A-Za-z0-9-]+: [^\n]*\n)*+)\s*+([A-Za-z0-9+/=\s]+?)\s*-----END ")
 
+_WRITTEN = r"\\{1,16}(?:[nrt]|u000[aAdD]|x0[aAdD])|&#(?:10|13|x[aAdD]);|%0[aAdD]|<br ?/?>"
+_NOISE = r"(?:[^\w\r\n\\+/=%&<-]|[&<](?!#|br)|\\{1,16}(?=[\"'\s])|\+(?=[\x20\t\r\n]))"
+_RUN = re.compile(r"(?:(?!-----)[A-Za-z0-9+/_-]|\\{1,16}/|\\{1,16}u002[bBfF]|%2[bBfF])++")
+_RUN_START = re.compile(rf"(?:{_WRITTEN}|-----)*+({_RUN.pattern})")
+_GAP = re.compile(rf"(?:=|%3[dD]|\\{{1,16}}u003[dD]){{0,2}}(?:{_NOISE}*+(?:\r|\n|{_WRITTEN}))++{_NOISE}*+")
+_LEAD = re.compile(rf"(?:^|[\r\n]|{_WRITTEN}){_NOISE}*([+/_-][^\w\r\n\\]*)$")
+_ESCAPED = re.compile(r"(?:\\+u00|%)(2[bBfF])")
+#: How "-----BEGIN " begins in base64 after 0, 1 or 2 other bytes, and the characters of its group before that.
+_BEGIN64 = [(base64.b64encode(b"x" * n + b"-----BEGIN ")[k:14].decode(), k) for n, k in ((0, 0), (1, 2), (2, 3))]
+_SEP = r"""(?:[\s:,;"'>#*|]|\\{1,16}[nrx]|0[xX](?=[0-9A-Fa-f]{2}))*+"""
+_HH = rf"[0-9A-Fa-f]{{2}}{_SEP}"
+_HEX_PAIR = re.compile(rf"{_SEP}([0-9A-Fa-f]{{2}})")
+_HEX_DER = re.compile(rf"30{_SEP}(?:[0-7][0-9A-Fa-f]{_SEP}|81{_SEP}{_HH}|82{_SEP}(?:{_HH}){{2}}|83{_SEP}(?:{_HH}){{3}}"
+                      rf"|84{_SEP}(?:{_HH}){{4}})(?:02{_SEP}01{_SEP}0[01]|30)")
+_HEX_OPENSSH = re.compile(_SEP.join(f"(?:{b:02x}|{b:02X})" for b in b"openssh-key"))
+_HEX_BEFORE = re.compile(r"(?:^|[^0-9A-Za-z]|(?:^|[^0-9A-Za-z])0[xX]|\\[nrx])$")
+
 
 def _decoded64(text: str) -> bytes | None:
     body = text.rstrip("=").replace("-", "+").replace("_", "/")
@@ -70,7 +97,7 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """A private key of PKCS 1, PKCS 8 (plain or encrypted) or SEC 1."""
+    """A private key of PKCS 1, PKCS 8 (plain or encrypted), SEC 1 or traditional DSA."""
     outer = der_items(data) if data[:1] == b"\x30" else None
     if not outer or len(outer) != 1:
         return False
@@ -81,6 +108,9 @@ def is_der_key(data: bytes) -> bool:
     if tags[0] == 2 and items[0][1] in (b"\0", b"\1"):
         if len(tags) >= 9 and all(tag == 2 for tag in tags[:9]) and all(content for _, content in items[:9]):
             return True  # modulus, exponents, primes, coefficient
+        if tags == [2] * 6 and items[0][1] == b"\0":
+            p, q, g, y, x = (len(content) for _, content in items[1:])
+            return p > q >= x > 0 and 0 < g <= p >= y > 0  # prime, its divisor, generator, public and private number
         if tags[1:3] == [0x30, 4]:
             algorithm = der_items(items[1][1])
             return bool(algorithm) and algorithm[0][0] == 6 and bool(items[2][1])
@@ -93,10 +123,19 @@ def is_der_key(data: bytes) -> bool:
     return False
 
 
-def is_openssh_key(data: bytes) -> bool:
+def der_end(data: bytes) -> int | None:
+    """Where the item that `data` begins with ends, by its length."""
+    n = data[1] - 0x80 if len(data) > 1 and data[1] > 0x80 else 0
+    if len(data) < 2 + n or data[1] == 0x80 or n > 4:
+        return None
+    return 2 + n + int.from_bytes(data[2:2 + n], "big") if n else 2 + data[1]
+
+
+def openssh_end(data: bytes) -> int | None:
+    """Where the OpenSSH key that `data` begins with ends."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return False
+        return None
     at, fields = len(magic), []
 
     def string() -> bytes | None:
@@ -114,9 +153,13 @@ def is_openssh_key(data: bytes) -> bool:
     n_keys = int.from_bytes(data[at:at + 4], "big")
     at += 4
     if None in fields or not fields[0] or not 1 <= n_keys <= 64:
-        return False
+        return None
     parts = [string() for _ in range(n_keys + 1)]  # public keys, then the private part
-    return all(parts) and at == len(data)
+    return at if all(parts) else None
+
+
+def is_openssh_key(data: bytes) -> bool:
+    return openssh_end(data) == len(data)
 
 
 def is_signed_token(text: str) -> bool:
@@ -132,12 +175,114 @@ def is_signed_token(text: str) -> bool:
     return True
 
 
-def _key_kind(data: bytes | None) -> str | None:
+def _key_kind(data: bytes | None, depth: int = DEPTH) -> str | None:
+    """With a `depth` below DEPTH also of the first key in decoded text with PEM lines."""
     if data is None or len(data) < 24:
         return None
+    if depth < DEPTH and b"-----BEGIN " in data:
+        inner = _ordered(s for s in confirmed_spans(data.decode("latin-1"), depth + 1) if s[0] != "jwt")
+        return inner[0][0] if inner else None
     return "der" if is_der_key(data) else "openssh" if is_openssh_key(data) else None
 
 
+def _chain(text: str, at: int, lead: str) -> list[tuple[int, int, str]]:
+    """(start, end, characters) of the lines of base64 from `at` on; `lead` is taken off those after the first."""
+    lines = []
+    while run := _RUN.match(text, at):
+        plain = _ESCAPED.sub(lambda m: chr(int(m[1], 16)), run[0]).replace("\\", "")
+        lines.append((*run.span(), plain))
+        gap = _GAP.match(text, run.end())
+        if not gap:
+            break
+        at = gap.end()
+        if lead and text.startswith(lead, at):
+            at += len(lead)
+    return lines
+
+
+def _keys_in_lines(text: str, lines: list, depth: int) -> list[tuple[str, int, int]]:
+    """Keys that begin with a line and end with one, and PEM text anywhere in the lines."""
+    found, joined = [], "".join(line for *_, line in lines)
+    starts = list(itertools.accumulate((len(line) for *_, line in lines), initial=0))
+    ends = {at: i for i, at in enumerate(starts[1:])}
+
+    def padded(end: int) -> int:
+        return end + len(re.compile("={0,2}").match(text, end)[0])
+
+    def decoded(at: int, n_chars: int) -> bytes:
+        part = joined[at:at + n_chars]
+        return _decoded64(part[:len(part) - (len(part) % 4 == 1)]) or b""
+
+    done = 0
+    for i, at in enumerate(starts[:-1]):
+        if at < done:
+            continue
+        if joined.startswith("M", at):
+            end = der_end(decoded(at, 12))
+        elif joined.startswith("b3BlbnNzaC1rZXkt", at):
+            end = openssh_end(decoded(at, len(joined)))
+        else:
+            continue
+        last = ends.get(at + -(-end * 4 // 3)) if end else None
+        if last is not None and (kind := _key_kind(decoded(at, starts[last + 1] - at))):
+            found.append((kind, lines[i][0], padded(lines[last][1])))
+            done = starts[last + 1]
+    if depth == DEPTH:
+        return found
+    groups = sorted(m.start() - k for begin, k in _BEGIN64 for m in re.finditer(re.escape(begin), joined))
+    for at in {at % 4: at for at in reversed(groups) if at >= 0}.values():  # the first place of each alignment
+        inner = decoded(at, len(joined)).decode("latin-1")
+        for kind, begin, end in confirmed_spans(inner, depth + 1):
+            if kind != "jwt":
+                begin = max(inner.rfind("-----BEGIN ", 0, begin), 0)
+                close = inner.find("-----", inner.find("-----END ", end) + 9) + 5
+                first = bisect.bisect(starts, at + begin * 4 // 3) - 1
+                last = bisect.bisect_left(starts, min(at + -(-max(close, end) * 4 // 3), len(joined))) - 1
+                found.append((kind, lines[first][0], padded(lines[last][1])))
+    return found
+
+
+def _wrapped_keys(text: str, depth: int) -> list[tuple[str, int, int]]:
+    found, at = [], 0
+    while start := _RUN_START.search(text, at):
+        at = start.end()
+        if at - start.start(1) < 24:
+            continue
+        begin = start.start(1)
+        lead = _LEAD.search(text[max(0, begin - 60):begin])
+        lines = _chain(text, begin, lead[1] if lead else "")
+        found += _keys_in_lines(text, lines, depth)
+        # A lead may be of base64 characters itself, as in a diff.
+        if (own := re.compile("[+/_-]+").match(text, begin)) and len(own[0]) < 4:
+            found += _keys_in_lines(text, _chain(text, own.end(), own[0]), depth)
+        at = max(at, lines[-1][1])
+    return found
+
+
+def _hex_keys(text: str) -> list[tuple[str, int, int]]:
+    """Keys in hex whose bytes or lines stand apart."""
+    found, done, data, begins, ends = [], 0, b"", {}, []
+    for head in sorted([*_HEX_DER.finditer(text), *_HEX_OPENSSH.finditer(text)], key=re.Match.start):
+        at = head.start()
+        if at < done or not _HEX_BEFORE.search(text[max(0, at - 3):at]):
+            continue
+        if at not in begins:  # all bytes from here on, read once for all heads among them
+            data, begins, ends = bytearray(), {}, []
+            while pair := _HEX_PAIR.match(text, ends[-1] if ends else at):
+                begins[pair.start(1)] = len(data)
+                data += bytes.fromhex(pair[1])
+                ends.append(pair.end())
+        first = begins[at]
+        end = der_end(data[first:first + 6]) if text.startswith("30", at) else openssh_end(bytes(data[first:]))
+        last = first + end - 1 if end else len(data)
+        if last >= len(data) or re.compile("[0-9A-Za-z]").match(text, ends[last]):
+            continue
+        if kind := _key_kind(bytes(data[first:last + 1])):
+            found.append((kind, at, ends[last]))
+            done = ends[last]  # keys within keys are not told
+    return found
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     found = []
     lower = text.lower()
@@ -149,18 +294,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
-    found = []
+def confirmed_spans(text: str, depth: int = 0) -> list[tuple[str, int, int]]:
+    found, long = [], False
     for run in _LONG.finditer(text):
+        long = True
         for m in _JWT.finditer(text, *run.span()):
             if is_signed_token(m[0]):
                 found.append(("jwt", *m.span()))
         for m in _BASE64.finditer(text, *run.span()):
-            if kind := _key_kind(_decoded64(m[0])):
+            if kind := _key_kind(_decoded64(m[0]), depth):
                 found.append((kind, *m.span()))
         for m in _ANY_HEX.finditer(text, *run.span()):
-            if kind := _key_kind(bytes.fromhex(m[0])):
-                found.append((kind, *m.span()))
+            if kind := _key_kind(bytes.fromhex(m[1]), depth):
+                found.append((kind, *m.span(1)))
+    if long:
+        found += _wrapped_keys(text, depth)
+    found += _hex_keys(text)
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
             if kind := _key_kind(_decoded64("".join(m[2].split()))):
