@@ -43,3 +43,14 @@ def test_query(spark, connection, name):
 
 def test_entry(spark):
     assert entry(spark).count() > 0
+
+
+def test_many_partitions_go_beyond_the_old_switch(spark, monkeypatch):
+    """Leading combinations of the first load; its result is compared above."""
+    loaded = []
+    monkeypatch.setattr(curated.Lake, "load", lambda lake, spec, batch, number: loaded.append((spec, batch)))
+    monkeypatch.setattr(curated.Lake, "rows", lambda lake, spec, like=None: like)
+    curated.merge_many_partitions(spark, "/root/testdata/sf0.01")
+    spec, batch = loaded[0]
+    month, priority, _ = spec.target_partition_columns.split(", ")
+    assert batch.select(month, priority).distinct().count() > 200
