@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.compare import differences, duck
-from tidemark.llm import queries as Q
+from tidemark.llm import queries as Q, url_filter
 from tidemark.llm.cap_filters import CapFilters, near_vectors
 from tidemark.llm.common import table
 from tidemark.llm.components import components
@@ -325,6 +325,22 @@ def test_verdicts(spark, keys_per_pass):
     assert url_verdicts(pages.filter("false"), column).collect() == []
 
 
+def test_filters_are_bounded_with_many_other_hosts(spark, monkeypatch):
+    sizes = []
+
+    class Counted(url_filter.BloomLevel):
+        def __init__(self, keys, n_keys, *rest):
+            sizes.append(n_keys)
+            super().__init__(keys, n_keys, *rest)
+
+    monkeypatch.setattr(url_filter, "BloomLevel", Counted)
+    pages = spark.range(40_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), "id", F.lit(".org/")).alias("url"))
+    listed = spark.range(0, 40_000, 200).select(F.concat(F.lit("h"), "id", F.lit(".org")).alias("host"))
+    found = url_verdicts(pages, listed.unionAll(listed), keys_per_pass=200)
+    assert found.filter((F.col("id") % 200 == 0) != (F.col("verdict") == "block")).count() == 0
+    assert found.count() == 40_000 and max(sizes) <= 1.5 * 200
+
+
 def test_cascade_is_exact(spark):
     keys = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
     cascade = Cascade(keys)

@@ -6,8 +6,9 @@ on until none is left. Over the keys it was built from it answers exactly, and
 a row is judged by bit tests alone, without a join.
 
 Everything is DataFrame functions. A filter reaches the tasks as a scalar
-subquery; its size is bounded by `KEYS_PER_PASS`: a longer list is split by key
-hash into passes with a cascade each.
+subquery; its size is bounded by `KEYS_PER_PASS`: a longer list, or one whose first
+filter is expected to let more other keys pass than that, is split by key hash into
+passes with a cascade each.
 
 Defined cases: a NULL url or one without `://` has an empty host and path, which
 no rule fits and which is never listed; repeated rows are judged alike; an empty
@@ -35,6 +36,8 @@ RULES = (
 KEYS_PER_PASS = 1 << 22
 BITS_PER_KEY = 10
 PROBES = 5
+#: Share of other keys that pass a filter.
+PASSING = (1 - math.exp(-PROBES / BITS_PER_KEY)) ** PROBES
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -104,15 +107,21 @@ class Cascade:
 
 def url_verdicts(pages: DataFrame, listed, rules=RULES, id_col: str = "page_id", url: str = "url",
                  keys_per_pass: int = KEYS_PER_PASS) -> DataFrame:
-    """id, host, path, rule, verdict. `listed` gives a Boolean column for a host:
-    it is asked once for each host of the corpus."""
+    """id, host, path, rule, verdict. `listed` gives a Boolean column for a host,
+    asked once for each host of the corpus, or is a table with a column `host`."""
     host, path = host_and_path(F.col("__url"))
     parsed = pages.select(F.col(id_col).alias("id"), F.col(url).alias("__url")).select(
         "id", host.alias("host"), path.alias("path"))
-    hosts = saved(parsed.filter("host <> ''").groupBy("host").agg(F.lit(1).alias("one"))
-                  .select(F.col("host").alias("key"), F.coalesce(listed(F.col("host")), F.lit(False)).alias("listed")),
-                  "hosts")
-    n_passes = max(1, math.ceil(hosts.filter("listed").count() / keys_per_pass))
+    hosts = parsed.filter("host <> ''").groupBy("host").agg(F.lit(1).alias("one"))
+    if isinstance(listed, DataFrame):
+        known = listed.select("host").distinct().withColumn("known", F.lit(True))
+        hosts, is_listed = hosts.join(known, "host", "left"), F.col("known")
+    else:
+        is_listed = listed(F.col("host"))
+    hosts = saved(hosts.select(F.col("host").alias("key"), F.coalesce(is_listed, F.lit(False)).alias("listed")), "hosts")
+    n_listed = hosts.filter("listed").count()
+    n_passing = (hosts.count() - n_listed) * PASSING if n_listed else 0
+    n_passes = max(1, math.ceil(max(n_listed, n_passing) / keys_per_pass))
 
     rule, action = F.lit(None).cast("string"), F.lit(None).cast("string")
     for act, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
