@@ -136,6 +136,14 @@ def test_odd_vectors(spark):
     assert near_vectors(vectors_table(spark, [(1, base)]).filter("false")).collect() == []
 
 
+def test_vectors_of_several_lengths(spark):
+    base = [[1.0, 2.0, 3.0, 4.0], [1.0, 2.0], [5.0, 1.0, 0.0, 0.0, 0.0]]
+    rows = [(10 * k + i, v) for k, v in enumerate(base) for i in range(2)]
+    rows += [(10 * k + 5, [*v[:-1], v[-1] + 0.001]) for k, v in enumerate(base)] + [(40, [1.0] * 7), (41, [1.0] * 7)]
+    found = {r.id: (r.n_links, r.component_id) for r in near_vectors(vectors_table(spark, rows)).collect()}
+    assert found == {**{10 * k + i: (2, 10 * k) for k in range(3) for i in (0, 1, 5)}, 40: (1, 40), 41: (1, 40)}
+
+
 def test_hot_group_of_copies(spark):
     rows = [(i, [1.0, 1.0, 0.5]) for i in range(500)] + [(500 + i, [math.cos(i), math.sin(i), 3.0]) for i in range(3)]
     found = near_vectors(vectors_table(spark, rows))

@@ -17,8 +17,11 @@ block, so no filter is gathered whole. A pair counts only in the smallest filter
 that both vectors share; what leaves a block is a count per vector and a
 spanning forest, never the pairs.
 
-Defined cases: vectors that are NULL, empty, zero, of another length than most,
-or hold a NULL or non-finite number link with nothing; equal vectors are one
+Vectors of one length are compared with each other: each length that two different
+vectors have gets filters of its own.
+
+Defined cases: vectors that are NULL, empty, zero, or hold a NULL or non-finite
+number link with nothing; equal vectors are one
 node, linked with each other; repeated rows count as vectors of their own; an
 empty table gives an empty result; other columns do not matter. Rows without an
 id are linked, but give no component its name.
@@ -138,21 +141,27 @@ def _usable(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return out[good], good
 
 
-def _nodes(vectors: DataFrame, dim: int, number: str) -> DataFrame:
-    """(id, digest, raw): the digest names equal directions and is NULL where nothing can
+def _nodes(vectors: DataFrame, number: str) -> DataFrame:
+    """(id, dim, digest, raw): the digest names equal directions and is NULL where nothing can
     link; `raw` has the numbers as the column's type."""
     id_type = vectors.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, good = _usable(batch.column("vector").to_pylist(), dim)
-            digests, rows = [None] * len(good), [None] * len(good)
-            for i, row, unit in zip(np.flatnonzero(good), found.astype(number), _unit(found) + 0.0):
-                digests[i], rows[i] = hashlib.blake2b(unit.tobytes(), digest_size=16).digest(), row.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary()),
-                                              pa.array(rows, pa.binary())], ["id", "digest", "raw"])
-
-    return vectors.mapInArrow(run, f"id {id_type}, digest binary, raw binary")
+            vectors = batch.column("vector").to_pylist()
+            dims = [len(v or ()) for v in vectors]
+            digests, rows, of_dim = [None] * len(dims), [None] * len(dims), {}
+            for i, dim in enumerate(dims):
+                of_dim.setdefault(dim, []).append(i)
+            for dim in of_dim.keys() - {0}:
+                found, good = _usable([vectors[i] for i in of_dim[dim]], dim)
+                places = np.array(of_dim[dim])[good]
+                for i, row, unit in zip(places, found.astype(number), _unit(found) + 0.0):
+                    digests[i], rows[i] = hashlib.blake2b(unit.tobytes(), digest_size=16).digest(), row.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(dims, pa.int32()), pa.array(digests, pa.binary()),
+                                              pa.array(rows, pa.binary())], ["id", "dim", "digest", "raw"])
+
+    return vectors.mapInArrow(run, f"id {id_type}, dim int, digest binary, raw binary")
 
 
 def _filtered(nodes: DataFrame, filters: CapFilters, number: str) -> DataFrame:
@@ -244,20 +253,8 @@ def _verified(dealt: DataFrame, cosine: float, number: str) -> DataFrame:
     return dealt.mapInArrow(run, "node long, links long, root long")
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector: str = "embedding",
-                 block: int = BLOCK, seed: int = 42) -> DataFrame:
-    """`id`, n_links, component_id, kept."""
-    number = "f4" if vectors.select(vector).dtypes[0][1] == "array<float>" else "f8"
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    usual = (rows.filter("size(vector) > 0").groupBy(F.size("vector").alias("dim")).count()
-             .orderBy(F.desc("count"), "dim").first())
-    dim = usual["dim"] if usual else 1
-    named = saved(_nodes(rows, dim, number), "vectors")
-    nodes = (named.filter("digest IS NOT NULL").groupBy("digest")
-             .agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.first("raw").alias("raw")))
-    nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    filters = CapFilters.plan(nodes.count(), dim, cosine, seed)
-
+def _met_and_verified(nodes: DataFrame, filters: CapFilters, cosine: float, number: str, block: int) -> DataFrame:
+    """(node, links, root) of the nodes of one length."""
     decoded = saved(_filtered(nodes.select("node", "copies", "raw"), filters, number), "filtered")
     names = decoded.select(F.explode("filters").alias("filter"))
     blocks = (names.groupBy("filter").agg(F.count("*").alias("n")).filter("n > 1")
@@ -270,7 +267,23 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
                        F.expr("CASE WHEN own = other THEN 2 WHEN own < other THEN 0 ELSE 1 END").alias("side"),
                        "node", "copies", "raw", "filters")
     dealt = dealt.repartition("filter", "i", "j").sortWithinPartitions("filter", "i", "j")
-    verified = saved(_verified(dealt, cosine, number), "verified")
+    return saved(_verified(dealt, cosine, number), "verified")
+
+
+def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector: str = "embedding",
+                 block: int = BLOCK, seed: int = 42) -> DataFrame:
+    """`id`, n_links, component_id, kept."""
+    number = "f4" if vectors.select(vector).dtypes[0][1] == "array<float>" else "f8"
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    named = saved(_nodes(rows, number), "vectors")
+    nodes = (named.filter("digest IS NOT NULL").groupBy("dim", "digest")
+             .agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.first("raw").alias("raw")))
+    nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    lengths = nodes.groupBy("dim").agg(F.count("*").alias("n")).filter("n > 1").orderBy("dim").collect()
+    verified = nodes.sparkSession.createDataFrame([], "node long, links long, root long")
+    for dim, n in lengths:
+        filters = CapFilters.plan(n, dim, cosine, seed)
+        verified = verified.unionAll(_met_and_verified(nodes.filter(F.col("dim") == dim), filters, cosine, number, block))
 
     classes = saved(components(verified.select(F.col("node").alias("a"), F.col("root").alias("b"))), "components")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
