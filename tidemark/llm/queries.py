@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm.cap_filters import near_vectors
 from tidemark.llm.common import table
+from tidemark.llm.fill_in_middle import fill_in_middle, restored_texts
 from tidemark.llm.knn_quality import fit_neighbours, held_out, quality_scores
 from tidemark.llm.mixing import mix_plan
 from tidemark.llm.ngram_join import similar_documents
@@ -84,6 +85,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.withColumnRenamed("id", "page_id")
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = restored_texts(fill_in_middle(table(spark, sf_dir, "documents")))
+    return rows.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_piece_codec": op2_piece_codec,
@@ -95,6 +102,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_ngram_join": op9_ngram_join,
     "op10_url_filters": op10_url_filters,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 SQL = {
@@ -157,4 +165,29 @@ SQL = {
             WHEN rule IS NOT NULL THEN 'block'
             WHEN regexp_matches(host, '{_LISTED}') THEN 'block' ELSE 'allow' END AS verdict
         FROM ruled""",
+    "op13_fill_in_middle": r"""
+        WITH rows AS (
+            SELECT doc_id, coalesce(text, '') AS text,
+                sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+        drawn AS (
+            SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines,
+                [CAST('0x' || substr(digest, 8 * i + 1, 8) AS BIGINT) FOR i IN [0, 1, 2, 3]] AS h FROM rows),
+        cut AS (
+            SELECT *, len(lines) AS n, least(h[1] % (len(lines) + 1), h[2] % (len(lines) + 1)) AS first,
+                greatest(h[1] % (len(lines) + 1), h[2] % (len(lines) + 1)) AS second,
+                CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                    OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+            FROM drawn),
+        parts AS (
+            SELECT *, array_to_string(list_slice(lines, 1, first), '') AS prefix,
+                array_to_string(list_slice(lines, first + 1, second), '') AS middle,
+                array_to_string(list_slice(lines, second + 1, n), '') AS suffix
+            FROM cut)
+        SELECT doc_id, n::BIGINT AS n, form,
+            CASE WHEN form <> 'plain' THEN len(prefix) END::BIGINT AS prefix_chars,
+            CASE WHEN form <> 'plain' THEN len(middle) END::BIGINT AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM parts""",
 }
