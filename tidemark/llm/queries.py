@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm.cap_filters import near_vectors
 from tidemark.llm.common import table
+from tidemark.llm.divergence import source_divergence
 from tidemark.llm.fill_in_middle import fill_in_middle, restored_texts
 from tidemark.llm.knn_quality import fit_neighbours, held_out, quality_scores
 from tidemark.llm.mixing import mix_plan
@@ -85,6 +86,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.withColumnRenamed("id", "page_id")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = restored_texts(fill_in_middle(table(spark, sf_dir, "documents")))
     return rows.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
@@ -102,6 +107,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_ngram_join": op9_ngram_join,
     "op10_url_filters": op10_url_filters,
+    "op11_source_divergence": op11_source_divergence,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -165,6 +171,43 @@ SQL = {
             WHEN rule IS NOT NULL THEN 'block'
             WHEN regexp_matches(host, '{_LISTED}') THEN 'block' ELSE 'allow' END AS verdict
         FROM ruled""",
+    "op11_source_divergence": r"""
+        WITH docs AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        kept AS (
+            SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM docs)
+            GROUP BY lang, term HAVING count(*) >= 30),
+        counted AS (
+            SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(terms) AS term FROM docs)
+            SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        grid AS (
+            SELECT lang, source, term, coalesce(n, 0)::HUGEINT AS n,
+                coalesce(sum(n) OVER (PARTITION BY lang, source), 0)::HUGEINT AS group_n,
+                coalesce(sum(n) OVER (PARTITION BY lang), 0)::HUGEINT AS lang_n,
+                coalesce(sum(n) OVER (PARTITION BY lang, term), 0)::HUGEINT AS term_n,
+                (SELECT count(*) FROM kept k WHERE k.lang = groups.lang)::HUGEINT AS v
+            FROM groups JOIN kept USING (lang) LEFT JOIN counted USING (lang, source, term)),
+        shares AS (
+            SELECT *, 1 + 1000000000::HUGEINT * (n + 5) // (group_n + 5 * v) AS p,
+                1 + 1000000000::HUGEINT * (term_n + 5) // (lang_n + 5 * v) AS q
+            FROM grid),
+        differences AS (
+            SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN differences d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked
+        WHERE part = 'pair' OR rank <= 50""",
     "op13_fill_in_middle": r"""
         WITH rows AS (
             SELECT doc_id, coalesce(text, '') AS text,
