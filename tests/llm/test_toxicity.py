@@ -1,0 +1,123 @@
+"""Subword toxicity against plain n-grams, a plain gradient, and held-out labels."""
+
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from tidemark.llm import queries as Q, toxicity as X
+from tidemark.llm.toxicity import SubwordModel, bag, fit_toxicity, held_out, toxicity_scores
+
+SF_DIR = "/root/testdata/sf0.01"
+TEXTS = st.text(st.sampled_from("abC \n\té漢.\x00"), max_size=60)
+
+
+def plain_grams(text):
+    """Every n-gram of every word with a space at both ends."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return Counter(g for w in words for n in X.SIZES for g in (f" {w} "[i:i + n] for i in range(len(w) + 3 - n)))
+
+
+@settings(max_examples=200)
+@given(TEXTS)
+def test_bag_has_all_ngrams(text):
+    ids, share = bag(text)
+    grams = plain_grams(text)
+    weight = np.sqrt(list(grams.values())).sum() if grams else 0
+    assert len(ids) == len(set(ids.tolist())) <= len(grams)
+    if len(ids) == len(grams):  # no two in one bucket
+        assert sorted(share.tolist()) == pytest.approx(sorted(
+            np.sqrt(n) / (weight + X.PADDING) for n in grams.values()), rel=1e-5)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text(st.sampled_from("ab é"), max_size=80), st.integers(1, 20))
+def test_pieces_lose_nothing(text, size):
+    whole = bag(text)
+    try:
+        X.PIECE = size
+        parts = bag(text)
+    finally:
+        X.PIECE = 1 << 16
+    assert np.array_equal(whole[0], parts[0]) and np.allclose(whole[1], parts[1])
+
+
+def test_gradient_sums_by_bucket():
+    """One step of the fit moves the layers as the plain derivative says."""
+    rng = np.random.default_rng(0)
+    bags = [(np.sort(rng.choice(50, 9, False)).astype(np.int32), rng.random(9).astype(np.float32)) for _ in range(8)]
+    labels = np.array([0, 1] * 4)
+    vectors, layer, bias = rng.normal(size=(50, 3)), rng.normal(size=(3, 2)), np.zeros(2)
+    average = np.stack([share @ vectors[ids] for ids, share in bags])
+    error = (X._softmax(average @ layer + bias) - np.eye(2)[labels]) / 8
+    met = np.zeros((50, 2))
+    for (ids, share), e in zip(bags, error):
+        met[ids] += np.outer(share, e)
+    assert np.allclose(vectors.T @ met, average.T @ error)
+
+    def loss(v):
+        return -np.log(X._softmax(np.stack([s @ v[i] for i, s in bags]) @ layer + bias)[np.arange(8), labels]).mean()
+    moved = vectors.copy()
+    moved[7, 1] += 1e-6
+    assert (loss(moved) - loss(vectors)) / 1e-6 == pytest.approx((met @ layer.T)[7, 1], abs=1e-4)
+
+
+def test_unseen_misspellings_share_ngrams():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("nrtsdel"), 5)) for _ in range(300)]
+    texts, labels = [], []
+    for i in range(300):
+        text = list(rng.choice(words, 40))
+        if i % 2:
+            text[5:7] = ["worthless", "stupid"]
+        texts.append(" ".join(text))
+        labels.append(i % 2)
+    model = SubwordModel.fit([bag(t) for t in texts], np.array(labels), np.array([0.5, 0.5]))
+    clean, misspelt = " ".join(words[:40]), " ".join([*words[:38], "worthlesss", "stupidd"])
+    low, high = model.scores([clean, misspelt])
+    assert low < 0.3 <= high
+
+
+def test_held_out_labels(spark):
+    rows = (Q.op12_toxicity(spark, "/root/testdata/sf0.1").filter("held_out")
+            .join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").collect())
+    toxic, clean = [r for r in rows if r["toxic"] == 1], [r for r in rows if r["toxic"] == 0]
+    assert len(toxic) > 50 and len(clean) > 500
+    assert np.mean([r["predicted"] for r in toxic]) > 0.8
+    assert np.mean([r["predicted"] for r in clean]) < 0.03
+
+
+def test_held_out_rows_are_not_learned(spark):
+    docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
+    other = labels.withColumn("toxic", F.when(held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (fit_toxicity(docs, x, sample=40, steps=5) for x in (labels, other))
+    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.bias, b.bias)
+    found = spark.range(200).select("id", held_out("id").alias("h")).collect()
+    assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in found)
+
+
+@pytest.mark.parametrize("labels, share", [([], 0.5), ([(1, 0), (2, 0), (5, 1), (5, 0)], 0.25),
+                                           ([(1, None), (None, 1)], 0.5)])
+def test_without_two_classes(spark, odd_documents, labels, share):
+    model = fit_toxicity(odd_documents, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {r["score"] for r in toxicity_scores(odd_documents, model).collect()} == {share}
+
+
+def test_odd_rows(spark, odd_documents):
+    labels = spark.createDataFrame([(1, 1), (5, 1), (7, 0), (8, 0), (3, 0), (4, 1)], "doc_id long, toxic int")
+    model = fit_toxicity(odd_documents, labels, least_texts=1)
+    found = toxicity_scores(odd_documents, model, carry=True).collect()
+    assert len(found) == odd_documents.count() and all(0 <= r["score"] <= 1 for r in found)
+    of_text = {}
+    for r in found:
+        assert of_text.setdefault(r["row"]["text"] or "", r["score"]) == r["score"]
+    assert of_text[""] == of_text[" \t\n\x0b\x0c\r "] == pytest.approx(0.5)  # the share of toxic labels
+
+
+def test_empty_table(documents, spark):
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert toxicity_scores(documents(), fit_toxicity(documents(), labels)).collect() == []

@@ -17,6 +17,7 @@ from tidemark.llm.quality_rules import fit_rules, quality_verdicts
 from tidemark.llm.secret_scan import secret_spans
 from tidemark.llm.sharding import stratified_shards
 from tidemark.llm.token_counts import piece_vocabulary, token_counts
+from tidemark.llm.toxicity import fit_toxicity, held_out as toxicity_held_out, toxicity_scores
 from tidemark.llm.url_filter import url_verdicts
 
 #: Host labels (between dots and dashes) that put a host on the block list.
@@ -26,7 +27,7 @@ _LISTED = rf"(^|[.-])({'|'.join(LISTED_WORDS)})([.-]|$)"
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: A score from here on is predicted as label 1.
-QUALITY_THRESHOLD = 0.3
+QUALITY_THRESHOLD = TOXICITY_THRESHOLD = 0.3
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +91,14 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return toxicity_scores(docs, model).select(
+        F.col("id").alias("doc_id"), toxicity_held_out("id").alias("held_out"), "score",
+        (F.col("score") >= TOXICITY_THRESHOLD).cast("int").alias("predicted"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = restored_texts(fill_in_middle(table(spark, sf_dir, "documents")))
     return rows.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
@@ -108,6 +117,7 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_url_filters": op10_url_filters,
     "op11_source_divergence": op11_source_divergence,
+    "op12_toxicity": op12_toxicity,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
