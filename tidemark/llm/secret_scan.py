@@ -8,14 +8,20 @@ what parses to its last byte is reported, so random text is not.
 Base64 is joined over lines before it is decoded, whether their breaks are real
 or written out (`\\n`, `%0A`, ...) and whatever leads them (`> `, `# `, `// `, the
 `+` of a diff, quotes); the first line must have 24 characters. How far a key
-reaches follows from its own lengths. Hex may be led by 0x and cut into bytes or
-lines. What decodes to text with PEM lines is scanned in turn, twice at most.
+reaches follows from its own lengths, which are read where they stand: a text is decoded
+as a whole only where they fit, so time grows with the text however many candidates it has.
+Hex may be led by 0x and cut into bytes or lines. What decodes to text with PEM lines is
+scanned in turn, `DEPTH` times at most.
+
+Limits of the forms, besides DEPTH: 24 characters of a first line, 40 of a PEM label, 60
+of what leads a line, 64 keys of an OpenSSH file, `MOST_ITEMS` fields of a key.
 
 Spans are in code points, end exclusive, of the whole match. Kinds, in order:
 assign, access, hex (the base), der, openssh, jwt (confirmed).
 
 Defined cases: a NULL text is empty and has no spans; repeated rows give
-repeated results; an empty table gives an empty result; other columns do not matter.
+repeated results; texts of any length are scanned whole; an empty table gives an empty
+result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ import hashlib
 import itertools
 import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
@@ -36,6 +43,8 @@ BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "der", "openssh", "jwt")
 #: How often decoded text is decoded again.
 DEPTH = 2
+#: Fields of one level of a key; the longest form has 9 and a list of further primes.
+MOST_ITEMS = 16
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -45,12 +54,13 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
 _ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?((?:[0-9A-Fa-f]{2}){32,}+)(?![0-9A-Za-z])")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}+")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]*+")
-_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}-----\s*+((?:[A-Za-z0-9-]+: [^\n]*\n)*+)\s*+([A-Za-z0-9+/=\s]+?)\s*-----END ")
+_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}-----\s*+((?:[A-Za-z0-9-]++: (?:(?!-----)[^\n])*+\n)*+)\s*+"
+                  r"((?:[A-Za-z0-9+/=]++\s*+)++)-----END ")
 
 _WRITTEN = r"\\{1,16}(?:[nrt]|u000[aAdD]|x0[aAdD])|&#(?:10|13|x[aAdD]);|%0[aAdD]|<br ?/?>"
 _NOISE = r"(?:[^\w\r\n\\+/=%&<-]|[&<](?!#|br)|\\{1,16}(?=[\"'\s])|\+(?=[\x20\t\r\n]))"
 _RUN = re.compile(r"(?:(?!-----)[A-Za-z0-9+/_-]|\\{1,16}/|\\{1,16}u002[bBfF]|%2[bBfF])++")
-_RUN_START = re.compile(rf"(?:{_WRITTEN}|-----)*+({_RUN.pattern})")
+_RUN_START = re.compile(rf"(?:{_WRITTEN}|-----){{0,8}}+({_RUN.pattern})")
 _GAP = re.compile(rf"(?:=|%3[dD]|\\{{1,16}}u003[dD]){{0,2}}(?:{_NOISE}*+(?:\r|\n|{_WRITTEN}))++{_NOISE}*+")
 _LEAD = re.compile(rf"(?:^|[\r\n]|{_WRITTEN}){_NOISE}*([+/_-][^\w\r\n\\]*)$")
 _ESCAPED = re.compile(r"(?:\\+u00|%)(2[bBfF])")
@@ -75,91 +85,115 @@ def _decoded64(text: str) -> bytes | None:
         return None
 
 
+#: `read(at, n)` gives `n` bytes of a candidate from `at` on, or as many as it has.
+Read = Callable[[int, int], bytes]
+
+
+def _of(data: bytes) -> Read:
+    return lambda at, n: data[at:at + n]
+
+
+def _item(read: Read, at: int) -> tuple[int, int, int] | None:
+    """(tag, start, end) of the content of the DER item at `at`, whether or not it ends in the data."""
+    head = read(at, 6)
+    if len(head) < 2 or head[1] == 0x80 or head[1] > 0x84:
+        return None
+    n = head[1] - 0x80 if head[1] > 0x80 else 0
+    if len(head) < 2 + n:
+        return None
+    start = at + 2 + n
+    return head[0], start, start + (int.from_bytes(head[2:2 + n], "big") if n else head[1])
+
+
+def _items(read: Read, at: int, end: int, most: int = MOST_ITEMS) -> list[tuple[int, int, int]] | None:
+    """The items that fill `at` to `end` exactly; None if they do not, or if there are more than `most`."""
+    found = []
+    while at < end:
+        item = _item(read, at)
+        if item is None or item[2] > end or len(found) == most:
+            return None
+        found.append(item)
+        at = item[2]
+    return found
+
+
 def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     """(tag, content) of the items that fill `data` exactly; None if they do not."""
-    items, at = [], 0
-    while at < len(data):
-        if at + 2 > len(data):
-            return None
-        tag, length, at = data[at], data[at + 1], at + 2
-        if length == 0x80 or length > 0x84:
-            return None
-        if length > 0x80:
-            n = length - 0x80
-            if at + n > len(data):
-                return None
-            length, at = int.from_bytes(data[at:at + n], "big"), at + n
-        if at + length > len(data):
-            return None
-        items.append((tag, data[at:at + length]))
-        at += length
-    return items
+    items = _items(_of(data), 0, len(data), len(data))
+    return None if items is None else [(tag, data[start:end]) for tag, start, end in items]
 
 
-def is_der_key(data: bytes) -> bool:
-    """A private key of PKCS 1, PKCS 8 (plain or encrypted), SEC 1 or traditional DSA."""
-    outer = der_items(data) if data[:1] == b"\x30" else None
-    if not outer or len(outer) != 1:
-        return False
-    items = der_items(outer[0][1])
+def der_key_end(read: Read) -> int | None:
+    """Where a private key of PKCS 1, PKCS 8 (plain or encrypted), SEC 1 or traditional DSA ends, by its
+    lengths; None if the data does not begin with one. Reads field headers only."""
+    outer = _item(read, 0)
+    if outer is None or outer[0] != 0x30:
+        return None
+    items = _items(read, outer[1], outer[2])
     if not items:
-        return False
-    tags = [tag for tag, _ in items]
-    if tags[0] == 2 and items[0][1] in (b"\0", b"\1"):
-        if len(tags) >= 9 and all(tag == 2 for tag in tags[:9]) and all(content for _, content in items[:9]):
-            return True  # modulus, exponents, primes, coefficient
-        if tags == [2] * 6 and items[0][1] == b"\0":
-            p, q, g, y, x = (len(content) for _, content in items[1:])
-            return p > q >= x > 0 and 0 < g <= p >= y > 0  # prime, its divisor, generator, public and private number
-        if tags[1:3] == [0x30, 4]:
-            algorithm = der_items(items[1][1])
-            return bool(algorithm) and algorithm[0][0] == 6 and bool(items[2][1])
-        if len(tags) >= 2 and tags[1] == 4 and len(items[1][1]) >= 16 and items[0][1] == b"\1":
-            return all(tag in (0xA0, 0xA1) and der_items(content) for tag, content in items[2:])
-        return False
-    if tags == [0x30, 4] and len(items[1][1]) >= 16:  # encrypted: algorithm with parameters, then octets
-        algorithm = der_items(items[0][1])
-        return bool(algorithm) and len(algorithm) == 2 and algorithm[0][0] == 6 and algorithm[1][0] == 0x30
-    return False
-
-
-def der_end(data: bytes) -> int | None:
-    """Where the item that `data` begins with ends, by its length."""
-    n = data[1] - 0x80 if len(data) > 1 and data[1] > 0x80 else 0
-    if len(data) < 2 + n or data[1] == 0x80 or n > 4:
         return None
-    return 2 + n + int.from_bytes(data[2:2 + n], "big") if n else 2 + data[1]
+    tags, sizes = [tag for tag, *_ in items], [end - start for _, start, end in items]
+    inside = lambda i: _items(read, *items[i][1:])
+    is_key = False
+    first = read(items[0][1], 1) if sizes[0] == 1 and tags[0] == 2 else b""
+    if first in (b"\0", b"\1") and first:
+        if tags[:9] == [2] * 9:  # modulus, exponents, primes, coefficient
+            is_key = all(sizes[:9])
+        if not is_key and tags == [2] * 6 and first == b"\0":
+            p, q, g, y, x = sizes[1:]
+            is_key = p > q >= x > 0 and 0 < g <= p >= y > 0  # prime, its divisor, generator, public and private number
+        elif not is_key and tags[1:3] == [0x30, 4]:
+            algorithm = inside(1)
+            is_key = bool(algorithm) and algorithm[0][0] == 6 and sizes[2] > 0
+        elif not is_key and len(tags) >= 2 and tags[1] == 4 and sizes[1] >= 16 and first == b"\1":
+            is_key = all(tags[i] in (0xA0, 0xA1) and bool(inside(i)) for i in range(2, len(tags)))
+    elif tags == [0x30, 4] and sizes[1] >= 16:  # encrypted: algorithm with parameters, then octets
+        algorithm = inside(0)
+        is_key = bool(algorithm) and len(algorithm) == 2 and algorithm[0][0] == 6 and algorithm[1][0] == 0x30
+    return outer[2] if is_key else None
+
+
+def is_der_key(data: bytes) -> bool:
+    return der_key_end(_of(data)) == len(data)
 
 
-def openssh_end(data: bytes) -> int | None:
-    """Where the OpenSSH key that `data` begins with ends."""
+def openssh_end(read: Read) -> int | None:
+    """Where the OpenSSH key that the data begins with ends, by its lengths."""
     magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
+    if read(0, len(magic)) != magic:
         return None
-    at, fields = len(magic), []
+    at, sizes = len(magic), []
 
-    def string() -> bytes | None:
-        nonlocal at
-        if at + 4 > len(data):
-            return None
-        end = at + 4 + int.from_bytes(data[at:at + 4], "big")
-        if end > len(data):
-            return None
-        found, at = data[at + 4:end], end
-        return found
+    def number() -> int | None:
+        four = read(at, 4)
+        return int.from_bytes(four, "big") if len(four) == 4 else None
 
     for _ in range(3):  # cipher, key derivation, its options
-        fields.append(string())
-    n_keys = int.from_bytes(data[at:at + 4], "big")
+        if (n := number()) is None:
+            return None
+        sizes.append(n)
+        at += 4 + n
+    n_keys = number()
     at += 4
-    if None in fields or not fields[0] or not 1 <= n_keys <= 64:
+    if not sizes[0] or n_keys is None or not 1 <= n_keys <= 64:
         return None
-    parts = [string() for _ in range(n_keys + 1)]  # public keys, then the private part
-    return at if all(parts) else None
+    for _ in range(n_keys + 1):  # public keys, then the private part
+        if not (n := number()):
+            return None
+        at += 4 + n
+    return at
 
 
 def is_openssh_key(data: bytes) -> bool:
-    return openssh_end(data) == len(data)
+    return openssh_end(_of(data)) == len(data)
+
+
+def key_end(read: Read) -> tuple[str, int] | None:
+    """Kind and end of the key that the data begins with; the end may lie beyond the data."""
+    for kind, end_of in (("der", der_key_end), ("openssh", openssh_end)):
+        if (end := end_of(read)) is not None:
+            return kind, end
+    return None
 
 
 def is_signed_token(text: str) -> bool:
@@ -213,18 +247,19 @@ def _keys_in_lines(text: str, lines: list, depth: int) -> list[tuple[str, int, i
         part = joined[at:at + n_chars]
         return _decoded64(part[:len(part) - (len(part) % 4 == 1)]) or b""
 
+    def reader(start: int) -> Read:
+        def read(at: int, n: int) -> bytes:
+            first = at // 3 * 4
+            return decoded(start + first, -(-(at + n) // 3) * 4 - first)[at % 3:at % 3 + n]
+        return read
+
     done = 0
     for i, at in enumerate(starts[:-1]):
-        if at < done:
-            continue
-        if joined.startswith("M", at):
-            end = der_end(decoded(at, 12))
-        elif joined.startswith("b3BlbnNzaC1rZXkt", at):
-            end = openssh_end(decoded(at, len(joined)))
-        else:
+        if at < done or not joined.startswith(("M", "b3BlbnNzaC1rZXkt"), at):
             continue
-        last = ends.get(at + -(-end * 4 // 3)) if end else None
-        if last is not None and (kind := _key_kind(decoded(at, starts[last + 1] - at))):
+        kind, end = key_end(reader(at)) or (None, 0)
+        last = ends.get(at + -(-end * 4 // 3)) if kind else None
+        if last is not None and _key_kind(decoded(at, starts[last + 1] - at)) == kind:
             found.append((kind, lines[i][0], padded(lines[last][1])))
             done = starts[last + 1]
     if depth == DEPTH:
@@ -273,13 +308,12 @@ def _hex_keys(text: str) -> list[tuple[str, int, int]]:
                 data += bytes.fromhex(pair[1])
                 ends.append(pair.end())
         first = begins[at]
-        end = der_end(data[first:first + 6]) if text.startswith("30", at) else openssh_end(bytes(data[first:]))
-        last = first + end - 1 if end else len(data)
+        kind, end = key_end(lambda start, n: bytes(data[first + start:first + start + n])) or (None, 0)
+        last = first + end - 1 if end >= 24 else len(data)
         if last >= len(data) or re.compile("[0-9A-Za-z]").match(text, ends[last]):
             continue
-        if kind := _key_kind(bytes(data[first:last + 1])):
-            found.append((kind, at, ends[last]))
-            done = ends[last]  # keys within keys are not told
+        found.append((kind, at, ends[last]))
+        done = ends[last]  # keys within keys are not told
     return found
 
 
@@ -313,7 +347,7 @@ def confirmed_spans(text: str, depth: int = 0) -> list[tuple[str, int, int]]:
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
             if kind := _key_kind(_decoded64("".join(m[2].split()))):
-                found.append((kind, *m.span(2)))
+                found.append((kind, m.start(2), m.start(2) + len(m[2].rstrip())))
     return list(dict.fromkeys(found))
 
 
