@@ -18,9 +18,11 @@ threshold admits is lost between different components, so components are exact.
 
 Defined cases: with fewer words than a shingle the whole sequence is the only
 n-gram; a text without words (NULL, empty, white space) has an empty set and is
-linked with nothing; repeated rows have equal sets and share a component; an
-empty table gives an empty result; other columns do not matter. Two n-grams
-with one 64-bit hash count as equal.
+linked with nothing; repeated rows have equal sets and share a component; rows
+without an id link, and link others, like any row, but name no component unless all
+of it lacks ids, whose component_id is NULL; long texts are compared whole; an empty table
+gives an empty result; other columns do not matter. Two n-grams with one 64-bit hash
+count as equal.
 """
 
 from __future__ import annotations
@@ -91,13 +93,13 @@ def merge_counts(hashes: np.ndarray, counts: np.ndarray, keep: int = SUMMARY) ->
 
 
 def _sets_and_summaries(docs: DataFrame) -> DataFrame:
-    """A row per document (id, n, digest), and a row per task with its summary."""
+    """A row per document (id, key, n, digest), and a row per task with its summary."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, waiting, size = WordHashes(), [], 0
         summary = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        names = ["id", "n", "digest", "part", "hashes", "counts"]
+        names = ["id", "key", "n", "digest", "part", "hashes", "counts"]
 
         def absorb():
             fresh, times = np.unique(np.concatenate(waiting), return_counts=True)
@@ -116,17 +118,17 @@ def _sets_and_summaries(docs: DataFrame) -> DataFrame:
                     summary, waiting, size = absorb(), [], 0
             none = [None] * len(ids)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(none, pa.int64()),
+                [ids, batch.column("key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(none, pa.int64()),
                  pa.array(none, pa.binary()), pa.array(none, pa.binary())], names)
         if ids is not None:
             if waiting:
                 summary = absorb()
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, ids.type), pa.array([None], pa.int64()), pa.array([None], pa.binary()),
+                [pa.nulls(1, ids.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
                  pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([summary[0].tobytes()], pa.binary()),
                  pa.array([summary[1].tobytes()], pa.binary())], names)
 
-    return docs.mapInArrow(run, f"id {id_type}, n long, digest binary, part long, hashes binary, counts binary")
+    return docs.mapInArrow(run, f"id {id_type}, key long, n long, digest binary, part long, hashes binary, counts binary")
 
 
 def _merged(summaries: DataFrame, fan_in: int = 32) -> tuple[np.ndarray, np.ndarray]:
@@ -191,10 +193,15 @@ def _prefixes(docs: DataFrame, summary, percent: int) -> DataFrame:
 
 
 def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, fragment, grams): the sets of the wanted (node, id, digest), cut at fixed places of the hash order."""
+    """(node, fragment, grams): the sets of the wanted (node, id, key, digest), cut at fixed places of the hash order."""
     n = wanted.count()
-    near = BloomLevel(wanted.select(F.col("id").cast("string").alias("key")), n, 0, _FILTER_WORDS)
-    rows = docs.filter(near.holds(F.col("id").cast("string"))).join(wanted, "id")
+    near = BloomLevel(wanted.select(F.col("key").cast("string").alias("key")), n, 0, _FILTER_WORDS)
+    near_rows = docs.filter(near.holds(F.col("key").cast("string")))
+    # Of a text that only rows without an id have, one row.
+    nameless = near_rows.filter("id IS NULL").dropDuplicates(["key"])
+    ids = wanted.select("node", F.col("id").alias("wanted_id"), "key", "digest")
+    rows = (near_rows.filter("id IS NOT NULL").unionByName(nameless).join(ids, "key")
+            .filter(F.col("id").eqNullSafe(F.col("wanted_id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -203,7 +210,7 @@ def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for text, node, digest in zip(*(batch.column(c).to_pylist() for c in ("text", "node", "digest"))):
                 found = shingle_set(text, known)
                 if hashlib.blake2b(found.tobytes(), digest_size=16).digest() != digest:
-                    continue  # another text under the same id
+                    continue  # another text with the same hash
                 parts = (found >> 61) + FRAGMENTS // 2
                 for fragment in np.unique(parts).tolist():
                     out["node"].append(node)
@@ -221,7 +228,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -
     """The pairs (a, b) of nodes whose sets are similar enough: partial overlaps by fragment, summed."""
     pairs = saved(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = saved(wanted.join(nodes.select("node", "id", "digest"), "node"), "wanted")
+    wanted = saved(wanted.join(nodes.select("node", "id", "key", "digest"), "node"), "wanted")
     parts = saved(_segments(docs, wanted), "segments")
     of = lambda side: parts.select(F.col("node").alias(side), "fragment", F.col("grams").alias(f"g{side}"))
     overlaps = (pairs.join(of("a"), "a").join(of("b"), ["b", "fragment"])
@@ -256,15 +263,18 @@ def _missing(a: str, b: str, percent: int) -> Column:
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                       percent: int = PERCENT) -> DataFrame:
-    """`id`, n_shingles, component_id (the smallest id reachable by links)."""
+    """`id`, n_shingles, component_id (the smallest id reachable by links), and of the row's
+    text: text_key (its hash), class_key (equal for texts that are linked, NULL without words)."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
+    docs = docs.withColumn("key", F.xxhash64("text"))
     found = saved(_sets_and_summaries(docs), "sets")
-    sets = found.filter("digest IS NOT NULL").select("id", "n", "digest")
+    sets = found.filter("digest IS NOT NULL").select("id", "key", "n", "digest")
     summary = _merged(found.filter("hashes IS NOT NULL").select("part", "hashes", "counts"))
 
     leading = (_prefixes(docs, summary, percent).groupBy("digest")
                .agg(*[F.first(c).alias(c) for c in ("n", "prefix", "last_count", "last_gram")]))
-    least = sets.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "key")).alias("first")
+    least = sets.filter("n > 0").groupBy("digest").agg(first).select("digest", "first.id", "first.key")
     nodes = saved(leading.join(least, "digest").withColumn("node", F.monotonically_increasing_id())
                   .withColumn("rest", F.col("n") - F.size("prefix")), "nodes")
 
@@ -301,7 +311,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
 
     of_node = nodes.select("digest", "node", "id").join(saved(components(links), "components"), "node", "left")
     of_node = of_node.select("digest", "id", F.coalesce("component", "node").alias("component"))
-    names = of_node.groupBy("component").agg(F.min("id").alias("component_id"))
-    classes = of_node.join(names, "component").select("digest", "component_id")
+    names = of_node.groupBy("component").agg(F.min("id").alias("component_id"), F.min("digest").alias("class_key"))
+    classes = of_node.join(names, "component").select("digest", "component_id", "class_key")
     return sets.join(classes, "digest", "left").select(
-        "id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+        "id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
+        F.col("key").alias("text_key"), "class_key")
