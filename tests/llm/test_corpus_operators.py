@@ -280,6 +280,39 @@ def test_similarity_of_odd_rows(odd_documents):
     assert similar_documents(odd_documents.filter("false")).collect() == []
 
 
+def test_links_through_rows_without_an_id(documents):
+    words = [f"w{i}" for i in range(100)]
+    near = lambda *edits: " ".join(f"e{i}" if i in edits else w for i, w in enumerate(words))
+    first, bridge, last = near(), near(20, 21), near(20, 21, 95, 96)
+    rows = [(1, first), (None, bridge), (None, bridge), (3, last), (None, "nobody else has this text at all")]
+    assert {p for *_, p in slow_components([(9, first), (8, last)])} == {8, 9}
+    found = similar_documents(documents(*rows)).collect()
+    assert Counter((r.id, r.component_id) for r in found) == Counter(
+        {(1, 1): 1, (None, 1): 2, (3, 1): 1, (None, None): 1})
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_similar_documents_without_ids(documents, seed):
+    rng = random.Random(seed)
+    rows = []
+    for group in range(10):
+        base = [f"g{group}w{i}" for i in range(rng.choice([40, 80, 150]))]
+        for _ in range(rng.choice([2, 5, 9])):
+            words = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 3])):
+                words[rng.randrange(len(words))] = f"edit{rng.randrange(1000)}"
+            rows.append((len(rows), " ".join(words)))
+    named = [(None if rng.random() < 0.5 else i, text) for i, text in rows]
+    group_of = {rows[i][1]: name for i, (_, _, name) in enumerate(sorted(slow_components(rows)))}
+    found = similar_documents(documents(*named)).collect()
+    least = {}
+    for i, text in named:
+        if i is not None:
+            least[group_of[text]] = min(i, least.get(group_of[text], i))
+    assert Counter((r.id, r.component_id) for r in found) == Counter(
+        (i, least.get(group_of[text])) for i, text in named)
+
+
 def test_one_id_with_two_texts(documents):
     a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
     found = similar_documents(documents((1, a), (1, b), (2, b + " c"), (3, a))).collect()
@@ -300,6 +333,26 @@ def test_frequency_summary_bound():
         assert true - len(stream) / 200 <= counts[value] <= true
 
 
+def test_sources_that_are_null_and_empty_stay_apart(documents):
+    docs = documents((1, "w w w w", None), (1, "w w w w", ""), (1, None, "a"), (1, "", "a"))
+    plan = mix_plan(docs).collect()
+    taken = sum(r.taken * r.copies for r in plan)
+    mixed = mixed_documents(docs).collect()
+    assert len(plan) == 4 and taken == sum(len(r.text.split()) for r in mixed) == 12
+
+
+def test_parts_of_a_key_do_not_run_together(spark):
+    docs = spark.createDataFrame([("1:a", "b", "w w"), ("1", "a:b", "w w"), ("11", "a", "w"), ("1", "1a", "w")],
+                                 "doc_id string, source string, text string")
+    assert mix_plan(docs).select("key").distinct().count() == 4
+
+
+def test_too_many_sources_are_refused(documents, monkeypatch):
+    monkeypatch.setattr("tidemark.llm.mixing.MOST_SOURCES", 2)
+    with pytest.raises(ValueError, match="sources"):
+        mix_plan(documents((1, "a", "x"), (2, "b", "y"), (3, "c", None)))
+
+
 # URL filter
 
 def slow_verdict(url, listed, rules=RULES):

@@ -83,3 +83,17 @@ def test_repeated_rows_leave_one(documents, spark):
     kept = stages.keep_one_of_similar(spark, docs, SF_DIR)
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(
         [(1, a), (None, a), (None, None), (3, None), (4, "")])
+
+
+def test_an_id_with_two_texts_counts_by_text(documents, spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    kept = stages.keep_one_of_similar(spark, documents((1, a), (1, b), (0, b), (5, a)), SF_DIR)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(0, b), (1, a)]
+
+
+def test_survivor_does_not_depend_on_the_order_of_rows(documents, spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    rows = [(1, a, source) for source in ("x", "y", None, "z", "")] + [(1, a + " more", "q"), (2, a, "w")]
+    kept = [stages.keep_one_of_similar(spark, documents(*order).repartition(n), SF_DIR).collect()
+            for order, n in ((rows, 1), (rows[::-1], 3))]
+    assert kept[0] == kept[1] and len(kept[0]) == 1 and kept[0][0].doc_id == 1

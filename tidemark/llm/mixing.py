@@ -1,6 +1,7 @@
 """Mix sources to target weights, exactly to the word.
 
-Rows get hash-random keys. Within each source they are put in key order, a
+Rows get hash-random keys. No task holds a source's rows; one row per source is ranked
+in one task, so more than `MOST_SOURCES` sources are refused. Within each source they are put in key order, a
 distributed prefix sum of their sizes is taken (bucket totals first, then rows
 within a bucket), and the order is cut at the source's budget. A budget above
 the source's size repeats whole epochs before the cut.
@@ -18,13 +19,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.llm.common import bucket_count, n_words, saved
 
 WEIGHTS = (5, 2, 1)
+MOST_SOURCES = 100_000
+
+
+def _part(text: Column) -> Column:
+    """A text led by its length, or `~` for NULL: parts one after the other stay apart."""
+    return F.coalesce(F.concat(F.length(text), F.lit(":"), text), F.lit("~"))
 
 
 def unit_key(seed: int, id_col: str, source: str, text: str) -> Column:
-    """Hash-random and the same in every run; equal rows have equal keys."""
-    parts = [F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")),
-             F.coalesce(F.col(source), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))]
-    return F.md5(F.concat_ws(":", *parts).cast("binary"))
+    """Hash-random and the same in every run; equal rows have equal keys, and no others."""
+    digest = F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("~"))
+    parts = F.concat(F.lit(str(seed)), _part(F.col(id_col).cast("string")), _part(F.col(source).cast("string")), digest)
+    return F.md5(parts.cast("binary"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: int) -> DataFrame:
@@ -63,7 +70,9 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source
              .withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 7), 16, 10).cast("long")
                                                 * F.lit(buckets), 28)))
     totals = units.groupBy("source_key", "source", "bucket").agg(F.sum(F.col("size") * F.col("copies")).alias("words"))
-    sources = totals.groupBy("source_key", "source").agg(F.sum("words").alias("source_size"))
+    sources = saved(totals.groupBy("source_key", "source").agg(F.sum("words").alias("source_size")), "sources")
+    if sources.count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources; mix by a coarser column")
     earlier = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (totals.withColumn("start", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
               .join(source_targets(sources, weights, share, cap), "source_key")

@@ -75,7 +75,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    found = similar_documents(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 def listed_host(host: Column) -> Column:
@@ -125,8 +126,8 @@ SQL = {
     "op6_mixing": r"""
         WITH rows AS (
             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-                md5(concat_ws(':', '42', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(source, ''),
-                    md5(coalesce(text, '')))) AS k
+                md5(concat('42', coalesce(length(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '~'),
+                    coalesce(length(source) || ':' || source, '~'), coalesce(md5(text), '~'))) AS k
             FROM documents),
         sources AS (
             SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
