@@ -1,36 +1,53 @@
 """Writers of a curated table: external, catalogued, optionally partitioned parquet.
 
-Rows that replace stored rows are first written to a staging folder and then
-published from there, so that a stored row is only removed when its successor
-is already durable. An interrupted publication is repeated from staging.
+Rows that replace stored rows are written once, to a fresh folder of their own, and
+published by pointing the catalog at it: each partition (or the table, if it has
+none) is either still the old one or already the new one, and a stored row is only
+removed when its successor is durable and in the catalog. A marker lists what is to be
+swapped, so an interrupted publication is repeated. What partitions a table has and
+where they lie is therefore for the catalog to say, not for the folder.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
-from tidemark.functions.columns import columns_of, conform, fold, resolve
+from tidemark.functions.columns import conform, fold, resolve
 from tidemark.functions.literals import quote, sql_text
 from tidemark.operators.merge import (
-    IN_BATCH, affected_partitions, batch_keys, encode_partitions, key_range, restrict_to_partitions,
-    upsert,
+    affected_partitions, batch_keys, encode_partitions, key_range, restrict_to_partitions, upsert,
 )
 from tidemark.plans.journal import Journal
 from tidemark.sessions import adopt, planned_bytes, private_session, size_shuffles
-from tidemark.storage import delete, delete_uri, exists, folder_bytes, read_marker, write_marker
+from tidemark.storage import (
+    child_names, delete, delete_uri, exists, folder_bytes, qualified, read_marker, write_marker,
+)
 
 
 def ensure_database(spark: SparkSession, name: str, location: str | None = None) -> None:
     where = f" LOCATION {sql_text(location)}" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {quote(name)}{where}")
 
+
 CREATE, APPEND, REPLACE, MERGE = "create", "append", "replace", "merge"
 # An empty text, and the folder name that stands for NULL.
-STORED_AS_NULL = ("", "__HIVE_DEFAULT_PARTITION__")
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+STORED_AS_NULL = ("", NULL_FOLDER)
+#: Partitions named in one statement, and statements or deletions under way at a time.
+AT_ONCE, CALLS = 100, 8
+
+
+def _each(call: Callable, items: Iterable) -> None:
+    """For calls that wait for a catalog or a store; the first error is raised."""
+    with ThreadPoolExecutor(max_workers=CALLS) as pool:
+        list(pool.map(call, items))
 
 
 class CuratedTable:
@@ -46,7 +63,7 @@ class CuratedTable:
             self._take_partitions_of_table()
         self.state = state
         self.journal = Journal(spark, state)
-        self._rows = f"{state}/staging/rows"
+        self._versions = f"{state}/versions"
         self._keys = f"{state}/staging/keys"
         self._ready = f"{state}/staging/ready"
 
@@ -68,6 +85,7 @@ class CuratedTable:
         """First load. Leftovers of an earlier, interrupted one are replaced."""
         self.partitions = resolve(batch, self.partitions)
         batch = self._normalised(adopt(self._session, batch))
+        delete(self.spark, self._versions)
         writer = self._spread(batch).write.mode("overwrite").format("parquet")
         writer = writer.option("path", self.path).option("compression", "snappy")
         if self.partitions:
@@ -83,7 +101,7 @@ class CuratedTable:
     def replace(self, batch: DataFrame, load_id: str | None = None) -> None:
         """Replace all rows of the table, once their successors are staged: a batch
         that cannot be written leaves the table as it is."""
-        self._stage(self._aligned(batch), load_id, whole=True)
+        self._stage(self._aligned(batch), load_id)
         self._publish()
 
     def merge(self, batch: DataFrame, primary_key: Sequence[str], load_id: str | None = None) -> None:
@@ -92,26 +110,23 @@ class CuratedTable:
         batch = self._aligned(batch)
         primary_key = resolve(batch, primary_key)
         keys = self._stage_keys(batch, primary_key)
-        target = self._stored()
-        left = []
+        target, affected = self._stored(), None
         if self.partitions:
-            affected, left = self._affected_by(keys, primary_key)
+            affected = self._affected_by(keys, primary_key)
             target = restrict_to_partitions(target, affected, self.partitions)
         self._size_shuffles(target, batch)
-        self._stage(upsert(target, batch, primary_key, keys), load_id, left)
+        self._stage(upsert(target, batch, primary_key, keys), load_id, affected)
         self._publish()
 
     def purge(self, condition: Column | None = None) -> None:
         """Remove whole partitions, those for which `condition` on partition
         columns holds, or every row if there is no condition."""
-        if condition is None:
-            nothing = self._session.createDataFrame([], self._stored().schema)
-            self._insert_overwrite(nothing, "static")
+        if condition is None and not self.partitions:
+            self.replace(self._session.createDataFrame([], self._stored().schema))
             return
         if not self.partitions:
             raise ValueError("a table without partitions can only be purged as a whole")
-        present = self._stored().select(*self.partitions).distinct()
-        self._empty(self._values(present.filter(condition)))
+        self._empty(self._folders(self._stored() if condition is None else self._stored().filter(condition)))
         self._refresh()
 
     def recover(self) -> None:
@@ -122,7 +137,9 @@ class CuratedTable:
             self._refresh()  # whoever wrote last may have been another session
         if exists(self.spark, self._ready):
             self._publish()
-        mode = self.journal.interrupted()
+        mode, load_id = self.journal.interrupted()
+        if load_id is not None:
+            delete(self.spark, f"{self._versions}/{load_id}")  # written, but not to be published
         if mode == APPEND and self.exists():
             self._undo_append()
         elif mode == CREATE and self.exists():
@@ -191,7 +208,9 @@ class CuratedTable:
     def _size_shuffles(self, *inputs: DataFrame) -> None:
         sizes = [planned_bytes(df) for df in inputs]
         if None in sizes:
-            sizes = [folder_bytes(self.spark, self.path) if s is None else s for s in sizes]
+            folders = [f for f in (self.path, self._versions) if exists(self.spark, f)]
+            stored = sum(folder_bytes(self.spark, folder) for folder in folders)
+            sizes = [stored if s is None else s for s in sizes]
         size_shuffles(self._session, self.spark.conf.get("spark.sql.shuffle.partitions"), sum(sizes))
 
     def _stage_keys(self, batch: DataFrame, primary_key: Sequence[str]) -> DataFrame:
@@ -202,14 +221,14 @@ class CuratedTable:
         keys.write.mode("overwrite").parquet(self._keys)
         return self._session.read.schema(keys.schema).parquet(self._keys)
 
-    def _affected_by(self, keys: DataFrame, primary_key: Sequence[str]) -> tuple[list[Row], list[Row]]:
-        """Affected partitions, and those of them that only lose rows; as text,
-        and bounded by the number of partitions."""
+    def _affected_by(self, keys: DataFrame, primary_key: Sequence[str]) -> list[Row]:
+        """Affected partitions, those included that only lose rows; as text, and
+        bounded by the number of partitions."""
         target = self._stored()
         fixed = [p for p in self.partitions if p in primary_key]
         if fixed == self.partitions:
             # The key decides the partition: no stored row can be elsewhere.
-            return self._values(keys.select(*self.partitions).distinct()), []
+            return encode_partitions(keys.select(*self.partitions).distinct(), self.partitions).collect()
         if fixed:
             # Stored matches agree with the batch in these columns: read no more.
             reachable = encode_partitions(keys, fixed).distinct().collect()
@@ -219,69 +238,94 @@ class CuratedTable:
             target = target.filter(bounds)
         self._size_shuffles(target.select(*primary_key, *self.partitions), keys)
         affected = affected_partitions(target, keys, primary_key, self.partitions)
-        rows = encode_partitions(affected, self.partitions, IN_BATCH).collect()
-        return rows, [row for row in rows if not row[IN_BATCH]]
+        return encode_partitions(affected, self.partitions).collect()
 
-    def _values(self, partitions: DataFrame) -> list[Row]:
-        return encode_partitions(partitions, self.partitions).collect()
-
-    def _stage(self, rows: DataFrame, load_id: str | None, left: list[Row] = (), whole: bool = False) -> None:
-        """Write the new rows, then the marker that says they may be published:
-        the load they belong to, the partitions that may have none, and whether
-        they are all rows of the table."""
+    def _folders(self, rows: DataFrame) -> dict[str, str]:
+        """The partition folders that hold the given rows, by the part of their path that names the
+        partition. One job that reads footers only; its result is bounded by the number of partitions."""
+        folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_folder")
+        found = [row["_folder"] for row in rows.select(folder).distinct().collect()]
+        return {"/".join(unquote(f).split("/")[-len(self.partitions):]): f for f in found}
+
+    def _named(self, tail: str) -> str:
+        """A partition in SQL, from the end of its folder's path."""
+        values = [unquote(part.partition("=")[2]) for part in tail.split("/")]
+        return "PARTITION (" + ", ".join(
+            f"{quote(p)} = {sql_text(None if v == NULL_FOLDER else v)}" for p, v in zip(self.partitions, values)) + ")"
+
+    def _alter(self, what: str, clauses: list[str], joint: str = " ") -> None:
+        """One statement for every `AT_ONCE` partitions."""
+        for at in range(0, len(clauses), AT_ONCE):
+            self.spark.sql(f"ALTER TABLE {self.name} {what} {joint.join(clauses[at:at + AT_ONCE])}")
+
+    def _stage(self, rows: DataFrame, load_id: str | None, affected: list[Row] | None = None) -> None:
+        """Write the new rows to a folder of their own, then the marker that says they may be
+        published: where each partition is to be, and which folders it takes the place of.
+        `affected` are the (encoded) partitions that the rows replace, by default all."""
+        load_id = load_id or uuid.uuid4().hex
+        version = f"{self._versions}/{load_id}"
         writer = self._spread(rows).write.mode("overwrite").option("compression", "snappy")
         if self.partitions:
             writer = writer.partitionBy(*self.partitions)
-        writer.parquet(self._rows)
-        left = [[row[p] for p in self.partitions] for row in left]
-        write_marker(self.spark, self._ready, json.dumps({"load_id": load_id, "left": left, "whole": whole}))
+        writer.parquet(version)
+        ready = {"load_id": load_id, "version": qualified(self.spark, version), "old": {}, "new": {}}
+        if self.partitions:
+            stored = self._stored()
+            if affected is not None:
+                stored = restrict_to_partitions(stored, affected, self.partitions)
+            ready["old"] = self._folders(stored)
+            ready["new"] = self._folders(self._session.read.schema(self.read().schema).parquet(version))
+        write_marker(self.spark, self._ready, json.dumps(ready))
 
     def _publish(self) -> None:
-        """Overwrite the table, or only the partitions a merge has staged, from staging.
-
-        Staging is laid out like the table, so this copies without a shuffle.
-        """
+        """Point the catalog at the new folders, then delete those they replace."""
         ready = json.loads(read_marker(self.spark, self._ready))
-        staged = self._session.read.schema(self.read().schema).parquet(self._rows)
-        mode = "dynamic" if self.partitions and not ready["whole"] else "static"
-        self._insert_overwrite(staged.select(*columns_of(self.read())), mode)
-        if ready["left"]:
-            # A dynamic overwrite leaves alone what it has no row for.
-            left = [Row(*self.partitions)(*values) for values in ready["left"]]
-            among = restrict_to_partitions(staged.select(*self.partitions), left, self.partitions)
-            filled = set(self._values(among.distinct()))
-            self._empty([row for row in left if row not in filled])
-            self._refresh()
-        if ready["load_id"] is not None:
-            self.journal.finish(ready["load_id"])
+        old, new = ready["old"], ready["new"]
+        if self.partitions:
+            place = {tail: sql_text(unquote(folder)) for tail, folder in new.items()}
+            # A partition without files may be in the catalog or not.
+            self._alter("ADD IF NOT EXISTS", [f"{self._named(tail)} LOCATION {place[tail]}"
+                                              for tail in sorted(new.keys() - old.keys())])
+            _each(lambda tail: self.spark.sql(
+                f"ALTER TABLE {self.name} {self._named(tail)} SET LOCATION {place[tail]}"), sorted(new))
+            emptied = {tail: folder for tail, folder in old.items() if tail not in new}
+            if emptied:
+                self._empty(emptied)
+            _each(lambda tail: self._delete_folder(old[tail]),
+                  [tail for tail in sorted(old) if tail in new and old[tail] != new[tail]])
+        else:
+            self.spark.sql(f"ALTER TABLE {self.name} SET LOCATION {sql_text(ready['version'])}")
+            self._delete_others(ready["version"])
+        self._refresh()
+        self.journal.finish(ready["load_id"])
         delete(self.spark, self._ready)
         delete(self.spark, f"{self.state}/staging")
 
-    def _insert_overwrite(self, rows: DataFrame, mode: str) -> None:
-        # For a catalog table only the session setting makes an overwrite dynamic.
-        self._session.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
-        rows.write.mode("overwrite").insertInto(self.name)
-        self._refresh()
+    def _delete_folder(self, uri: str) -> None:
+        delete_uri(self.spark, uri)
+
+    def _delete_others(self, version: str) -> None:
+        """All files of a table without partitions but those of the given version."""
+        kept = version.rsplit("/", 1)[1]
+        folders = [self.path, *(f"{self._versions}/{name}" for name in child_names(self.spark, self._versions)
+                                if name != kept)]
+        _each(lambda folder: delete(self.spark, folder), folders)
 
     def _undo_append(self) -> None:
         """Delete the files that an interrupted append has added. They are looked
-        for by path, since it may not have come to register new partitions."""
-        files = self._session.read.schema(self.read().schema).parquet(self.path)
-        added = files.filter(self.journal.written_since()).select(F.col("_metadata.file_path").alias("file"))
-        for row in added.distinct().collect():
-            delete_uri(self.spark, row["file"])
+        for by path as well, since it may not have come to register new partitions."""
+        sources = [self._stored()]
+        if self.partitions and exists(self.spark, self.path):
+            sources.append(self._session.read.schema(self.read().schema).parquet(self.path))
+        added = set()
+        for files in sources:
+            found = files.filter(self.journal.written_since()).select(F.col("_metadata.file_path").alias("file"))
+            added |= {row["file"] for row in found.distinct().collect()}
+        _each(lambda file: delete_uri(self.spark, file), sorted(added))
         self._refresh()
 
-    def _empty(self, partitions: list[Row]) -> None:
-        """Remove the folders of partitions that are to have no rows.
-
-        Dropping the partitions would leave the files of an external table
-        behind, to come back with the next append. One job finds the folders of
-        all of them, reading footers only; their catalog entries stay, empty.
-        """
-        if not partitions:
-            return
-        folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_folder")
-        stored = restrict_to_partitions(self._stored().select(*self.partitions, folder), partitions, self.partitions)
-        for row in stored.select("_folder").distinct().collect():
-            delete_uri(self.spark, row["_folder"])
+    def _empty(self, folders: dict[str, str]) -> None:
+        """Partitions that are to have no rows leave the catalog, then their files go: those of an
+        external table would stay behind, to come back with the next append."""
+        self._alter("DROP IF EXISTS", [self._named(tail) for tail in sorted(folders)], ", ")
+        _each(lambda tail: self._delete_folder(folders[tail]), sorted(folders))

@@ -33,11 +33,13 @@ class Journal:
     def finished(self, load_id: str) -> bool:
         return exists(self.spark, f"{self._finished}/{load_id}")
 
-    def interrupted(self) -> str | None:
-        """The mode of a load that was started and neither finished nor undone."""
+    def interrupted(self) -> tuple[str | None, str | None]:
+        """Mode and id of a load that was started and neither finished nor undone."""
         text = read_marker(self.spark, self._current)
         current = json.loads(text) if text else None
-        return current["mode"] if current and not self.finished(current["load_id"]) else None
+        if current is None or self.finished(current["load_id"]):
+            return None, None
+        return current["mode"], current["load_id"]
 
     def clear(self) -> None:
         delete(self.spark, self._current)

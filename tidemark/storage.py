@@ -30,6 +30,12 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(hadoop_path, True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and authority of its store."""
+    fs, hadoop_path = _resolve(spark, path)
+    return fs.makeQualified(hadoop_path).toString()
+
+
 def delete_uri(spark: SparkSession, uri: str) -> None:
     """As `delete`, for the encoded form that `_metadata.file_path` has."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri))
