@@ -1,0 +1,107 @@
+"""Merges and replacements are published by location: written once, swapped one by one."""
+
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.test_crash import APPENDED, BATCH, MERGED, SCHEMA, STORED, Crash, crash_after, prepared
+from tidemark.plans import curated
+from tidemark.plans.journal import Journal
+
+
+def bytes_written(spark):
+    """By all file systems of this JVM, which in a local session is every task's too."""
+    return sum(s.getBytesWritten() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+
+
+def folder(path):
+    return Path(path.removeprefix("file:"))
+
+
+def test_a_merge_writes_the_affected_partitions_once(spark, lake):
+    spec = lake.mutable("p")
+    rows = spark.range(40_000).select(F.col("id").cast("int").alias("id"), F.md5(F.col("id").cast("string")).alias("v"),
+                                      F.concat(F.lit("p"), F.col("id") % 4).alias("p"))
+    lake.load(spec, rows, "1")
+    stored = sum(f.stat().st_size for f in folder(lake.layout.curated(spec)).rglob("*.parquet"))
+    before, files = bytes_written(spark), lake.files(spec)
+    lake.load(spec, rows.filter("id % 40 = 4").withColumn("v", F.lit("new")), "2")
+    written = bytes_written(spark) - before
+    assert written < stored / 4 * 1.3  # one of four partitions, and the keys
+    assert {f for f in files if not f.startswith("p=p0/")} == set(lake.files(spec))  # the others stay where they are
+    assert lake.table(spec).read().filter("v = 'new'").count() == 1000 and lake.table(spec).read().count() == 40_000
+
+
+@pytest.mark.parametrize("action", ["merge", "replace"])
+@pytest.mark.parametrize("call", [1, 2, 3])
+def test_a_crash_between_two_swaps(spark, lake, monkeypatch, action, call):
+    spec = lake.mutable("p") if action == "merge" else lake.spec(target_partition_columns="p")
+    batch = prepared(spark, lake, spec)
+    calls = []
+
+    def half(do, items):
+        calls.append(1)
+        for i, item in enumerate(items):
+            if len(calls) == call and i:
+                raise Crash
+            do(item)
+        if len(calls) == call:
+            raise Crash
+
+    with monkeypatch.context() as patch, pytest.raises(Crash):
+        patch.setattr(curated, "_each", half)
+        lake.load(spec, batch, "2")
+    # Each partition is the old one or the new one, never half of either.
+    seen = {(r.id, r.v, r.p) for r in lake.table(spec).read().collect()}
+    wanted = MERGED if action == "merge" else sorted(BATCH, key=repr)
+    assert seen <= set(STORED) | set(wanted)
+    for _ in range(2):
+        lake.load(spec, batch, "2")
+        assert lake.rows(spec, "id", "v", "p") == wanted
+
+
+def test_a_version_that_was_not_published_is_deleted(spark, lake, monkeypatch):
+    spec = lake.mutable("p")
+    batch = prepared(spark, lake, spec)
+    versions = folder(lake.layout.state(spec)) / "versions"
+    with monkeypatch.context() as patch, pytest.raises(Crash):
+        patch.setattr(curated, "write_marker", lambda *_: (_ for _ in ()).throw(Crash()))
+        lake.load(spec, batch, "2")
+    assert (versions / "2").exists() and lake.rows(spec, "id", "v", "p") == sorted(STORED, key=repr)
+    lake.load(spec, spark.createDataFrame([(9, "i", "p9")], SCHEMA), "3")
+    assert not (versions / "2").exists()
+    assert lake.rows(spec, "id", "v", "p") == sorted([*STORED, (9, "i", "p9")], key=repr)
+
+
+@pytest.mark.parametrize("partitions", ["p", "None"])
+def test_appends_to_moved_partitions_and_their_undoing(spark, lake, monkeypatch, partitions):
+    mutable = lake.mutable(partitions)
+    prepared(spark, lake, mutable)
+    lake.load(mutable, spark.createDataFrame(STORED, SCHEMA), "m")  # all of it now lies in a version
+    spec = lake.spec(nature_of_data="immutable", type_of_pull="incremental", bookmark_key="id",
+                     bookmark_key_order="asc", target_partition_columns=partitions)
+    batch = spark.createDataFrame(BATCH, SCHEMA)
+    crash_after(monkeypatch, Journal, "finish", before=True)
+    with pytest.raises(Crash):
+        lake.load(spec, batch, "2")
+    assert lake.rows(spec, "id", "v", "p") == APPENDED
+    lake.load(spec, batch, "2")
+    assert lake.rows(spec, "id", "v", "p") == APPENDED
+    lake.table(spec).purge()
+    assert lake.rows(spec) == []
+    lake.load(spec, batch, "4")
+    assert lake.rows(spec, "id", "v", "p") == sorted(BATCH, key=repr)
+
+
+def test_odd_names_in_locations(spark, lake):
+    spec = lake.mutable("p,q")
+    schema = "id int, p string, q string"
+    values = ["o'k", "a b", "50%", "x/y=z", "é\\\\", None, "a:b", "%2F"]
+    rows = [(i, p, q) for i, (p, q) in enumerate(zip(values, values[::-1]))]
+    lake.load(spec, spark.createDataFrame(rows, schema))
+    for shift in (10, 20):
+        lake.load(spec, spark.createDataFrame([(i, p, q) for i, p, q in rows] +
+                                              [(i + shift, p, q) for i, p, q in rows], schema))
+    wanted = [(i + shift, p, q) for i, p, q in rows for shift in (0, 10, 20)]
+    assert lake.rows(spec, "id", "p", "q") == sorted(wanted, key=repr)
