@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks.lake import Lake, order_changes
+from tidemark.operators.latest import latest_by
 from tidemark.operators.merge import (
     affected_partitions, batch_keys, encode_partitions, matched_key_partitions,
     restrict_to_partitions,
@@ -53,6 +54,29 @@ def merge_two_partition_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake.rows(spec, orders)
 
 
+def merge_new_struct_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch brings a field that a struct of the table lacks; stored rows read NULL in it."""
+    lake = Lake(spark, sf_dir)
+    orders = lake.table("orders")
+    spec = lake.spec("orders", **KEY, **BY_STATUS)
+    lake.load(spec, orders.withColumn("detail", F.struct("o_orderpriority")), "1")
+    lake.load(spec, order_changes(orders).withColumn("detail", F.struct("o_totalprice", "o_orderpriority")), "2")
+    return lake.rows(spec).select("o_orderkey", "o_orderstatus", F.col("detail.o_orderpriority").alias("priority"),
+                                  F.col("detail.o_totalprice").alias("price"))
+
+
+def merge_latest_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table with one row per user, kept at the user's last event: every batch has many events of a user."""
+    lake = Lake(spark, sf_dir)
+    events = lake.table("events")
+    spec = lake.spec("events", type_of_pull="incremental", bookmark_key="ts,event_id", bookmark_key_order="asc",
+                     primary_key="user_id", target_partition_columns="event_type")
+    middle = "timestamp_ntz'2024-01-15 00:00:00'"
+    for batch_id, batch in (("1", events.filter(f"ts <= {middle}")), ("2", events.filter(f"ts > {middle}"))):
+        lake.load(spec, latest_by(batch, spec.primary_keys, spec.bookmark_keys), batch_id)
+    return lake.rows(spec, events)
+
+
 def merge_unpartitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake, spec, orders = _merged_orders(spark, sf_dir)
     return lake.rows(spec, orders)
@@ -299,6 +323,8 @@ QUERIES = {
     "merge_two_partition_columns": merge_two_partition_columns,
     "merge_unpartitioned": merge_unpartitioned,
     "merge_moved_rows": merge_moved_rows,
+    "merge_new_struct_field": merge_new_struct_field,
+    "merge_latest_by": merge_latest_by,
     "merge_null_partition": merge_null_partition,
     "merge_key_in_partition": merge_key_in_partition,
     "merge_composite_key": merge_composite_key,
@@ -334,6 +360,11 @@ FROM orders, (VALUES ('plain'), ('parted')) AS t (layout)""",
     "merge_partitioned": f"WITH {MERGED} SELECT * FROM merged",
     "merge_two_partition_columns": f"WITH {MERGED} SELECT * FROM merged",
     "merge_unpartitioned": f"WITH {MERGED} SELECT * FROM merged",
+    "merge_new_struct_field": f"""WITH {MERGED}
+SELECT o_orderkey, o_orderstatus, o_orderpriority AS priority,
+  CASE WHEN o_orderkey IN (SELECT o_orderkey FROM changes) THEN o_totalprice END AS price FROM merged""",
+    "merge_latest_by": """SELECT * FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
     "merge_moved_rows": f"WITH {MERGED} SELECT o_orderstatus, count(*) AS n FROM merged GROUP BY o_orderstatus",
     "merge_null_partition": f"""WITH {MERGED}
 SELECT * REPLACE (CASE WHEN o_orderpriority <> '3-MEDIUM' THEN o_orderstatus END AS o_orderstatus)

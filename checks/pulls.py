@@ -138,6 +138,22 @@ def raw_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_raw(spark, path).select(*items.columns, "channel")
 
 
+def raw_scan_widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches whose types have drifted, at the top and inside a struct, read back as one."""
+    lake = Lake(spark, sf_dir)
+    items = lake.table("lineitem")
+    path = lake.layout.raw(lake.spec("lineitem"))
+    old = items.filter("l_linestatus = 'O'").select(
+        "l_orderkey", "l_linenumber", F.col("l_partkey").cast("int"), F.col("l_quantity").cast("int"),
+        F.struct(F.col("l_suppkey").cast("int").alias("supplier"), "l_returnflag").alias("detail"))
+    new = items.filter("l_linestatus <> 'O'").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
+        F.struct("l_tax", F.col("l_suppkey").alias("Supplier")).alias("detail"))
+    land(old, path, "000000000001")
+    land(new, path, "000000000002")
+    return scan_raw(spark, path).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "detail.*")
+
+
 def raw_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per landed batch; the second batch is landed twice, as by a retry."""
     lake = Lake(spark, sf_dir)
@@ -240,6 +256,7 @@ QUERIES = {
     "jdbc_hash_pull": jdbc_hash_pull,
     "hash_bucket_counts": hash_bucket_counts,
     "raw_scan": raw_scan,
+    "raw_scan_widened": raw_scan_widened,
     "raw_batches": raw_batches,
     "stream_new_files_once": stream_new_files_once,
     "stream_merge": stream_merge,
@@ -283,6 +300,9 @@ FROM orders ORDER BY 2 DESC, 3 DESC LIMIT 1""",
     "jdbc_hash_pull": "SELECT * FROM orders",
     "hash_bucket_counts": "SELECT o_orderkey % 3 AS bucket, count(*) AS n FROM orders GROUP BY 1",
     "raw_scan": """SELECT *, CASE WHEN l_linestatus <> 'O' THEN 'web' END AS channel FROM lineitem""",
+    "raw_scan_widened": """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_suppkey AS supplier,
+  CASE WHEN l_linestatus = 'O' THEN l_returnflag END AS l_returnflag,
+  CASE WHEN l_linestatus <> 'O' THEN l_tax END AS l_tax FROM lineitem""",
     "raw_batches": """SELECT CASE WHEN ts <= TIMESTAMP '2024-01-15 00:00:00' THEN '20240115000000'
   ELSE '20240131000000' END AS batch_id, count(*) AS n FROM events GROUP BY 1""",
     "stream_new_files_once": "SELECT * FROM events",

@@ -1,0 +1,125 @@
+"""Common types of drifting schemas, in scans and in tables."""
+
+from decimal import Decimal
+
+import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F, types as T
+
+from tidemark.functions.columns import conform
+from tidemark.functions.lattice import common_schema, common_type, extended
+from tidemark.sources.raw import append_files, batches, land, raw_scan
+
+
+@pytest.fixture(autouse=True)
+def _session(spark):
+    """Types are parsed by a session."""
+
+
+def kind(text):
+    return T.StructType.fromDDL(f"x {text}")["x"].dataType
+
+
+ORDERED = [("tinyint", "smallint", "smallint"), ("int", "bigint", "bigint"), ("int", "decimal(12,2)", "decimal(12,2)"),
+           ("bigint", "decimal(12,2)", "decimal(21,2)"), ("decimal(10,4)", "decimal(12,2)", "decimal(14,4)"),
+           ("decimal(38,0)", "decimal(10,4)", "double"), ("bigint", "float", "double"), ("float", "double", "double"),
+           ("decimal(5,1)", "double", "double"), ("date", "timestamp", "timestamp"),
+           ("date", "timestamp_ntz", "timestamp_ntz"), ("void", "date", "date"),
+           ("array<int>", "array<bigint>", "array<bigint>"), ("map<int,int>", "map<bigint,date>", None),
+           ("struct<a:int,b:struct<c:int>>", "struct<B:struct<d:date,c:double>,e:int>",
+            "struct<a:int,b:struct<c:double,d:date>,e:int>"),
+           ("timestamp", "timestamp_ntz", None), ("string", "int", None), ("struct<a:int>", "int", None)]
+
+
+@pytest.mark.parametrize("a, b, wanted", ORDERED)
+def test_common_type(a, b, wanted):
+    for left, right in ((a, b), (b, a)):
+        if wanted is None:
+            with pytest.raises(ValueError, match="no common type"):
+                common_type(kind(left), kind(right))
+        elif "struct" in a:
+            found = common_type(kind(left), kind(right))
+            assert {f.name.lower() for f in found.fields} == {"a", "b", "e"} and found[found.names[1]] is not None
+        else:
+            assert common_type(kind(left), kind(right)) == kind(wanted)
+    if wanted and "struct" in a:
+        assert common_type(kind(a), kind(b)) == kind(wanted)
+
+
+NUMBERS = st.sampled_from(["tinyint", "smallint", "int", "bigint", "decimal(7,3)", "decimal(20,0)", "float", "double"])
+
+
+@settings(suppress_health_check=[HealthCheck.function_scoped_fixture], deadline=None)
+@given(NUMBERS, NUMBERS, NUMBERS)
+def test_the_order_of_numbers_does_not_matter(a, b, c):
+    a, b, c = kind(a), kind(b), kind(c)
+    assert common_type(a, b) == common_type(b, a)
+    assert common_type(a, a) == a
+    assert common_type(common_type(a, b), b) == common_type(a, b)
+    assert common_type(common_type(a, b), c) == common_type(a, common_type(b, c))
+
+
+def test_names_that_differ_in_case():
+    with pytest.raises(ValueError, match="differ in case only"):
+        common_schema([T.StructType.fromDDL("a int"), T.StructType.fromDDL("b int, B int")])
+    exact = common_schema([T.StructType.fromDDL("a int"), T.StructType.fromDDL("A bigint")], lambda n: n)
+    assert exact == T.StructType.fromDDL("a int, A bigint")
+
+
+def test_fields_that_differ_in_case_are_not_lost(spark):
+    """Where names are case-sensitive both are kept, elsewhere they are refused."""
+    given_type, wanted = kind("struct<a:int,A:int>"), kind("struct<A:int,a:int,b:int>")
+    row = spark.range(1).select(F.struct(F.lit(1).alias("a"), F.lit(2).alias("A")).alias("s"))
+    with pytest.raises(ValueError, match="differ in case only"):
+        conform(F.col("s"), given_type, wanted)
+    try:
+        spark.conf.set("spark.sql.caseSensitive", "true")
+        found = row.select(conform(F.col("s"), given_type, wanted, "s", lambda n: n).alias("s")).first().s
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+    assert tuple(found) == (2, 1, None)
+
+
+def test_extended_keeps_types():
+    stored, new = kind("struct<a:int,l:array<struct<b:int>>>"), kind("struct<A:bigint,l:array<struct<c:int>>,z:map<string,int>>")
+    assert extended(stored, new) == kind("struct<a:int,l:array<struct<b:int,c:int>>,z:map<string,int>>")
+
+
+def test_raw_scan_widens(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    land(spark.createDataFrame([(1, (1, "x"), [1])], "id int, s struct<a:int,b:string>, l array<int>"), path, "1")
+    land(spark.createDataFrame([(1 << 40, (1 << 41, 2.5), [Decimal("1.50")])],
+                               "id bigint, s struct<a:bigint,c:double>, l array<decimal(5,2)>"), path, "2")
+    land(spark.createDataFrame([(7, None)], "ID int, extra date"), path, "3")
+    found = raw_scan(spark, path)
+    assert found.schema == T.StructType.fromDDL(
+        "id bigint, s struct<a:bigint,b:string,c:double>, l array<decimal(12,2)>, extra date")
+    assert {r.id: r.s for r in found.collect()} == {1: (1, "x", None), 1 << 40: (1 << 41, None, 2.5), 7: None}
+    assert {(r.id, r.batch_id) for r in batches(spark, path).collect()} == {(1, "1"), (1 << 40, "2"), (7, "3")}
+    assert batches(spark, path).columns == [*found.columns, "batch_id"]
+
+
+def test_plain_files_are_widened(spark, tmp_path):
+    path = str(tmp_path / "plain")
+    append_files(spark.createDataFrame([(1,)], "id int"), path)
+    append_files(spark.createDataFrame([(1 << 40,)], "id bigint"), path)
+    assert sorted(r.id for r in raw_scan(spark, path).collect()) == [1, 1 << 40]
+    append_files(spark.createDataFrame([("x",)], "id string"), path)
+    with pytest.raises(ValueError, match="id is .* no common type"):
+        raw_scan(spark, path)
+
+
+@pytest.mark.parametrize("partitions", ["p", "None"])
+@pytest.mark.parametrize("nature", ["mutable", "immutable"])
+def test_new_fields_enter_the_table(spark, lake, partitions, nature):
+    spec = lake.mutable(partitions, nature_of_data=nature)
+    lake.load(spec, spark.createDataFrame([(1, (1,), [(1,)], "p"), (2, None, None, "q")],
+                                          "id int, s struct<a:int>, l array<struct<a:int>>, p string"))
+    lake.load(spec, spark.createDataFrame([(3, ((5, "x"), 2), [(None, 1)], "p", "new")],
+                                          "id int, s struct<n:struct<x:int,y:string>,A:int>, "
+                                          "l array<struct<b:int,a:int>>, p string, top string"))
+    rows = {r.id: r for r in lake.table(spec).read().collect()}
+    assert rows[1].s == (1, None) and rows[2].s is None and rows[3].s == (2, (5, "x"))
+    assert rows[1].l == [(1, None)] and rows[3].l == [(1, None)] and rows[3].top == "new" and rows[1].top is None
+    lake.load(spec, spark.createDataFrame([(4, (9,), "q")], "id int, s struct<a:int>, p string"))
+    assert {r.id: r.s for r in lake.table(spec).read().collect()}[4] == (9, None)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from tidemark.functions.columns import columns_of
-from tidemark.functions.literals import decode, encode
+from tidemark.functions.literals import decode, encode, quote
 
 IN_BATCH = "in_batch"
 
@@ -97,14 +97,44 @@ def partition_predicate(values: Sequence[Row], schema: T.StructType,
                         partitions: Sequence[str]) -> Column:
     """Whether a row is in one of the given partitions.
 
-    `values` are encoded (`encode_partitions`). The partition columns are
-    written as one text and looked up in a set of literals: one test whatever the number
-    of partitions, exact for every combination, and made before anything is
-    listed or read, since it names partition columns only.
+    `values` are encoded (`encode_partitions`). The set is written as a tree over the
+    columns, equal subtrees once: conditions `p IN (…)` on the columns themselves, joined by
+    AND and OR. That is exact for every combination, a catalog can filter its list
+    of partitions by it, and it is decided before any file is listed or read.
     """
     types = {f.name: f.dataType for f in schema.fields}
-    names = [_named(encode(F.col(p), types[p])) for p in partitions]
-    return F.concat(*names).isin(sorted({"".join(_name(v[p]) for p in partitions) for v in values}))
+    tuples = {tuple(v[p] for p in partitions) for v in values}
+    if not tuples:
+        return F.lit(False)
+    return _among(tuples, list(partitions), types)
+
+
+def _among(tuples: set[tuple], partitions: list[str], types: Mapping[str, T.DataType]) -> Column:
+    """The tuples as conditions on the columns; the first column's values that go with the same
+    further ones share a condition. As deep as there are columns, whatever the number of tuples."""
+    name, rest = partitions[0], partitions[1:]
+    if not rest:
+        return _in({t[0] for t in tuples}, name, types[name])
+    followed: dict[str | None, set[tuple]] = {}
+    for value, *others in tuples:
+        followed.setdefault(value, set()).add(tuple(others))
+    alike: dict[frozenset, set] = {}
+    for value, others in followed.items():
+        alike.setdefault(frozenset(others), set()).add(value)
+    branches = [_in(held, name, types[name]) & _among(set(others), rest, types)
+                for others, held in sorted(alike.items(), key=lambda item: sorted(map(str, item[1])))]
+    while len(branches) > 1:  # in pairs, so that the expression stays shallow
+        branches = [reduce(or_, branches[i:i + 2]) for i in range(0, len(branches), 2)]
+    return branches[0]
+
+
+def _in(values: set[str | None], name: str, data_type: T.DataType) -> Column:
+    column = F.col(quote(name))
+    texts = sorted(v for v in values if v is not None)
+    known = column.isin([decode(v, data_type) for v in texts]) if texts else None
+    if None not in values:
+        return known
+    return column.isNull() if known is None else column.isNull() | known
 
 
 def restrict_to_partitions(df: DataFrame, values: Sequence[Row],
@@ -113,12 +143,3 @@ def restrict_to_partitions(df: DataFrame, values: Sequence[Row],
     if not values:
         return df.filter(F.lit(False))
     return df.filter(partition_predicate(values, df.schema, partitions))
-
-
-def _named(text: Column) -> Column:
-    """Texts one after the other stay apart: each is led by its length."""
-    return F.coalesce(F.concat(F.length(text), F.lit(":"), text), F.lit("~"))
-
-
-def _name(text: str | None) -> str:
-    return "~" if text is None else f"{len(text)}:{text}"

@@ -14,12 +14,13 @@ import json
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from functools import cached_property
+from functools import cached_property, partial
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from tidemark.functions.columns import conform, fold, resolve
+from tidemark.functions.lattice import extended
 from tidemark.functions.literals import quote, sql_text
 from tidemark.operators.merge import (
     affected_partitions, batch_keys, encode_partitions, key_range, restrict_to_partitions, upsert,
@@ -149,15 +150,28 @@ class CuratedTable:
     # ---------------------------------------------------- schema evolution
 
     def evolve(self, schema: T.StructType) -> list[str]:
-        """Add the columns the table lacks; stored rows read NULL in them."""
-        known = {fold(self.spark, c) for c in self.read().columns}
-        added = [T.StructField(f.name, f.dataType, True) for f in schema.fields
-                 if fold(self.spark, f.name) not in known]
-        if added:
+        """Add the columns, and the fields of structs at any depth, that the table lacks;
+        stored rows read NULL in them. Types of known columns and fields stay."""
+        stored, folded = self.read().schema, partial(fold, self.spark)
+        known = {folded(c) for c in stored.names}
+        wanted = extended(stored, schema, folded)
+        added = [f for f in wanted.fields if folded(f.name) not in known]
+        if any(f.dataType != wanted[f.name].dataType for f in stored.fields):
+            self._redefine(wanted)
+        elif added:
             self.spark.sql(f"ALTER TABLE {self.name} ADD COLUMNS ({T.StructType(added).toDDL()})")
+        if wanted != stored:
             self._refresh()
         return [f.name for f in added]
 
+    def _redefine(self, schema: T.StructType) -> None:
+        """Give the table other columns over the same files, in one change of its catalog entry: SQL
+        adds columns, but no fields to those that are there."""
+        data = T.StructType([f for f in schema.fields if f.name not in self.partitions])
+        state = self.spark._jsparkSession.sessionState()
+        state.catalog().alterTableDataSchema(state.sqlParser().parseTableIdentifier(self.name),
+                                             self.spark._jsparkSession.parseDataType(data.json()))
+
     # ------------------------------------------------------------- helpers
 
     def _take_partitions_of_table(self) -> None:
@@ -196,7 +210,8 @@ class CuratedTable:
             if given is None:
                 column = F.lit(None).cast(wanted.dataType)
             else:
-                column = conform(F.col(quote(given.name)), given.dataType, wanted.dataType)
+                column = conform(F.col(quote(given.name)), given.dataType, wanted.dataType, given.name,
+                                 partial(fold, self.spark))
             columns.append(column.alias(wanted.name))
         return batch.select(*columns)
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+from tidemark.operators.latest import latest_by
 from tidemark.plans.bookmarks import LOG_SCHEMA
 from tidemark.plans.load import curated_table, load_batch
 from tidemark.sources.raw import BATCH, read_batches
@@ -40,8 +41,8 @@ def load_new_files(spark: SparkSession, spec: TableSpec, layout: Layout,
     """Load the files that have appeared in the raw folder since the last run.
 
     For a folder without batches, and for increments: files do not say which of them
-    belong to one full pull. All new files form one load, so of a mutable row
-    that several of them hold all versions stay; land such files as batches.
+    belong to one full pull. All new files form one load; of a mutable row that
+    several of them hold, the version that is last by the bookmark key is loaded.
     Deleting the checkpoint folder makes every file new again.
     """
     if spec.type_of_pull == "full":
@@ -54,7 +55,10 @@ def load_new_files(spark: SparkSession, spec: TableSpec, layout: Layout,
         write_marker(spark, f"{checkpoint}/id", stream_id)
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        load_batch(batch.drop(BATCH), spec, layout, load_id=f"{stream_id}-{epoch}")
+        rows = batch.drop(BATCH)
+        if spec.nature_of_data == "mutable":
+            rows = latest_by(rows, spec.primary_keys, spec.bookmark_keys, spec.bookmark_key_order)
+        load_batch(rows, spec, layout, load_id=f"{stream_id}-{epoch}")
 
     run_available(new_files(spark, layout.raw(spec), schema), f"{checkpoint}/stream", apply)
     _refresh(spark, spec, layout)
