@@ -13,6 +13,9 @@ from tidemark.functions.literals import decode, encode, quote
 
 IN_BATCH = "in_batch"
 
+#: Key values that a scan is asked for one by one, and ranges beyond that.
+MOST_VALUES, KEY_GROUPS = 200, 32
+
 _RANGE_TYPES = (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -47,6 +50,43 @@ def key_range(keys: DataFrame, primary_key: Sequence[str]) -> Column | None:
     ])
 
 
+def key_filter(keys: DataFrame, primary_key: Sequence[str], most: int = MOST_VALUES,
+               groups: int = KEY_GROUPS) -> Column | None:
+    """A condition on each key column that all keys of the batch meet, as literals that reach the scan.
+
+    At most `most` different values are named; more are covered by the ranges of up to
+    `groups` groups of neighbours, so that keys from far apart do not open what lies
+    between them. In files that are sorted by key, only the pages (and by
+    their Bloom filters only the row groups) that can hold a key are then read. One pass over the
+    keys measures them, another names values or ranges; both results are bounded.
+    """
+    types = {f.name: f.dataType for f in keys.schema.fields}
+    columns = [k for k in primary_key if isinstance(types[k], _RANGE_TYPES)]
+    if not columns:
+        return None
+    ranked = [k for k in columns if not isinstance(types[k], T.StringType)]
+    cuts = [F.percentile_approx(quote(k), [i / groups for i in range(1, groups)]).alias(f"cuts_{columns.index(k)}")
+            for k in ranked]
+    measured = keys.agg(*(F.approx_count_distinct(quote(k), 0.02).alias(f"n_{i}") for i, k in enumerate(columns)), *cuts)
+    sizes = measured.select(*(f"n_{i}" for i in range(len(columns)))).first()
+    conditions = []
+    for i, k in enumerate(columns):
+        column, text = F.col(quote(k)), encode(F.col(quote(k)), types[k])
+        if sizes[f"n_{i}"] <= most:
+            values = [row[0] for row in keys.filter(column.isNotNull()).select(text).distinct().collect()]
+            conditions.append(column.isin([decode(v, types[k]) for v in sorted(values)]) if values else F.lit(False))
+        elif k not in ranked:
+            conditions.append(key_range(keys, [k]))
+        else:
+            group = F.expr(f"size(filter(cuts_{i}, c -> c < {quote(k)}))")
+            ranges = (keys.filter(column.isNotNull()).crossJoin(F.broadcast(measured.select(f"cuts_{i}")))  # one row
+                      .groupBy(group.alias("group")).agg(F.min(quote(k)).alias("lo"), F.max(quote(k)).alias("hi")))
+            spans = ranges.select(*(encode(F.col(c), types[k]).alias(c) for c in ("lo", "hi"))).collect()
+            conditions.append(reduce(or_, (column.between(decode(r["lo"], types[k]), decode(r["hi"], types[k]))
+                                           for r in sorted(spans))))
+    return reduce(and_, conditions)
+
+
 def matched_key_partitions(target: DataFrame, keys: DataFrame, primary_key: Sequence[str],
                            partitions: Sequence[str]) -> DataFrame:
     """Key and *stored* partition of every target row that the batch touches.

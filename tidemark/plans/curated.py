@@ -17,13 +17,13 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, partial
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Row, SparkSession, functions as F, types as T
 
 from tidemark.functions.columns import conform, fold, resolve
 from tidemark.functions.lattice import extended
 from tidemark.functions.literals import quote, sql_text
 from tidemark.operators.merge import (
-    affected_partitions, batch_keys, encode_partitions, key_range, restrict_to_partitions, upsert,
+    affected_partitions, batch_keys, encode_partitions, key_filter, restrict_to_partitions, upsert,
 )
 from tidemark.plans.journal import Journal
 from tidemark.sessions import adopt, planned_bytes, private_session, size_shuffles
@@ -55,11 +55,12 @@ class CuratedTable:
     """One curated table. All its writes run in a session of its own."""
 
     def __init__(self, spark: SparkSession, database: str, table: str, path: str,
-                 partitions: Sequence[str], state: str) -> None:
+                 partitions: Sequence[str], state: str, clustered_by: Sequence[str] = ()) -> None:
         self.spark = spark
         self.name = quote(database, table)
         self.path = path
         self.partitions = list(partitions)
+        self.clustered_by = list(clustered_by)
         if self.exists():
             self._take_partitions_of_table()
         self.state = state
@@ -87,16 +88,13 @@ class CuratedTable:
         self.partitions = resolve(batch, self.partitions)
         batch = self._normalised(adopt(self._session, batch))
         delete(self.spark, self._versions)
-        writer = self._spread(batch).write.mode("overwrite").format("parquet")
-        writer = writer.option("path", self.path).option("compression", "snappy")
-        if self.partitions:
-            writer = writer.partitionBy(*self.partitions)
-        writer.saveAsTable(self.name)
+        # The options stay with the table and hold for later appends as well.
+        self._writer(batch).format("parquet").option("path", self.path).saveAsTable(self.name)
         self._refresh()
 
     def append(self, batch: DataFrame) -> None:
         """Add the batch; the stored rows are neither read nor touched."""
-        self._spread(self._aligned(batch)).write.mode("append").insertInto(self.name)
+        self._clustered(self._aligned(batch)).write.mode("append").insertInto(self.name)
         self._refresh()
 
     def replace(self, batch: DataFrame, load_id: str | None = None) -> None:
@@ -220,6 +218,28 @@ class CuratedTable:
         adaptive execution splits a partition that holds much of the data."""
         return df.hint("rebalance", *self.partitions) if self.partitions else df
 
+    def _keys_of(self, df: DataFrame) -> list[str]:
+        """The key columns as `df` spells them, those it lacks left out."""
+        present = {fold(self.spark, c): c for c in df.columns}
+        return [present[fold(self.spark, k)] for k in self.clustered_by if fold(self.spark, k) in present]
+
+    def _clustered(self, df: DataFrame) -> DataFrame:
+        """Spread, and within each task in order of the key: a page of a file then holds a short range of
+        keys, so that looking for a few of them opens a few pages."""
+        keys = [k for k in self._keys_of(df) if k not in self.partitions]
+        if not keys:
+            return self._spread(df)
+        return self._spread(df).sortWithinPartitions(*(quote(c) for c in [*self.partitions, *keys]))
+
+    def _writer(self, df: DataFrame) -> DataFrameWriter:
+        """Overwrites with clustered rows, a Bloom filter for each key column and row group, sized to its values."""
+        writer = self._clustered(df).write.mode("overwrite").option("compression", "snappy")
+        for key in self._keys_of(df):
+            if key not in self.partitions and "." not in key and not isinstance(df.schema[key].dataType, T.BooleanType):
+                writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
+        return writer.partitionBy(*self.partitions) if self.partitions else writer
+
     def _size_shuffles(self, *inputs: DataFrame) -> None:
         sizes = [planned_bytes(df) for df in inputs]
         if None in sizes:
@@ -248,9 +268,9 @@ class CuratedTable:
             # Stored matches agree with the batch in these columns: read no more.
             reachable = encode_partitions(keys, fixed).distinct().collect()
             target = restrict_to_partitions(target, reachable, fixed)
-        bounds = key_range(keys, primary_key)
-        if bounds is not None:
-            target = target.filter(bounds)
+        wanted = key_filter(keys, primary_key)
+        if wanted is not None:
+            target = target.filter(wanted)
         self._size_shuffles(target.select(*primary_key, *self.partitions), keys)
         affected = affected_partitions(target, keys, primary_key, self.partitions)
         return encode_partitions(affected, self.partitions).collect()
@@ -279,10 +299,7 @@ class CuratedTable:
         `affected` are the (encoded) partitions that the rows replace, by default all."""
         load_id = load_id or uuid.uuid4().hex
         version = f"{self._versions}/{load_id}"
-        writer = self._spread(rows).write.mode("overwrite").option("compression", "snappy")
-        if self.partitions:
-            writer = writer.partitionBy(*self.partitions)
-        writer.parquet(version)
+        self._writer(rows).parquet(version)
         ready = {"load_id": load_id, "version": qualified(self.spark, version), "old": {}, "new": {}}
         if self.partitions:
             stored = self._stored()

@@ -25,7 +25,8 @@ def choose_mode(table_exists: bool, nature_of_data: str, type_of_pull: str) -> s
 
 def curated_table(spark, spec: TableSpec, layout: Layout) -> CuratedTable:
     return CuratedTable(spark, spec.database, spec.table, layout.curated(spec),
-                        spec.partitions, layout.state(spec))
+                        spec.partitions, layout.state(spec),
+                        spec.primary_keys if spec.nature_of_data == "mutable" else ())
 
 
 def load_batch(batch: DataFrame, spec: TableSpec, layout: Layout, load_id: str | None = None,

@@ -26,6 +26,8 @@ _REQUIRED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "static",
+    # Up to as many key values reach the statistics and Bloom filters of files one by one.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "256",
     # A value that does not fit the table's type must fail, not become NULL.
     "spark.sql.ansi.enabled": "true",
     "spark.sql.storeAssignmentPolicy": "ANSI",
