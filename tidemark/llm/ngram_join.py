@@ -195,8 +195,10 @@ def _prefixes(docs: DataFrame, summary, percent: int) -> DataFrame:
 def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, fragment, grams): the sets of the wanted (node, id, key, digest), cut at fixed places of the hash order."""
     n = wanted.count()
-    near = BloomLevel(wanted.select(F.col("key").cast("string").alias("key")), n, 0, _FILTER_WORDS)
-    near_rows = docs.filter(near.holds(F.col("key").cast("string")))
+    # Of equal texts only the row that was chosen passes, so copies stay out of the shuffle.
+    row = F.concat_ws(":", "key", F.coalesce(F.col("id").cast("string"), F.lit("~")))
+    near = BloomLevel(wanted.select(row.alias("key")), n, 0, _FILTER_WORDS)
+    near_rows = docs.filter(near.holds(row))
     # Of a text that only rows without an id have, one row.
     nameless = near_rows.filter("id IS NULL").dropDuplicates(["key"])
     ids = wanted.select("node", F.col("id").alias("wanted_id"), "key", "digest")
