@@ -10,7 +10,7 @@ from tidemark.operators.counts import row_counts as count_rows
 from tidemark.operators.marks import high_water, low_water
 from tidemark.plans.bookmarks import bookmark_state as saved_state
 from tidemark.plans.chain import pull, pull_to_raw, run_all, run_table
-from tidemark.sources.jdbc import hash_predicates, pull_table
+from tidemark.sources.jdbc import hash_predicates, pull_table, range_predicates
 from tidemark.sources.raw import append_files, batch_counts, land, raw_scan as scan_raw
 from tidemark.spec import TableSpec
 from tidemark.storage import delete
@@ -119,6 +119,13 @@ def jdbc_hash_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pull_table(spark, source, "app.orders", predicates)
 
 
+def jdbc_range_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices of about equal counts by a key that has many rows for each value."""
+    source = relational(spark, sf_dir, "orders")
+    predicates = range_predicates(spark, source, "app.orders", "o_custkey", 4)
+    return pull_table(spark, source, "app.orders", predicates)
+
+
 def hash_bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that each of three connections pulls."""
     source = relational(spark, sf_dir, "orders")
@@ -254,6 +261,7 @@ QUERIES = {
     "bookmark_state": bookmark_state,
     "jdbc_full_pull": jdbc_full_pull,
     "jdbc_hash_pull": jdbc_hash_pull,
+    "jdbc_range_pull": jdbc_range_pull,
     "hash_bucket_counts": hash_bucket_counts,
     "raw_scan": raw_scan,
     "raw_scan_widened": raw_scan_widened,
@@ -298,6 +306,7 @@ WHERE o.o_orderdate > m.o_orderdate
 FROM orders ORDER BY 2 DESC, 3 DESC LIMIT 1""",
     "jdbc_full_pull": "SELECT * FROM customer",
     "jdbc_hash_pull": "SELECT * FROM orders",
+    "jdbc_range_pull": "SELECT * FROM orders",
     "hash_bucket_counts": "SELECT o_orderkey % 3 AS bucket, count(*) AS n FROM orders GROUP BY 1",
     "raw_scan": """SELECT *, CASE WHEN l_linestatus <> 'O' THEN 'web' END AS channel FROM lineitem""",
     "raw_scan_widened": """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_suppkey AS supplier,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import fields
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.rules import Rule, allowed, not_blank, positive, requires, violation
 from tidemark.functions.text import is_blank
@@ -96,18 +96,21 @@ def validate_specs(specs: DataFrame) -> DataFrame:
     """`(source_schema_name, source_table_name, Errors)` of the failing specs.
 
     Besides the rules for one spec, no two may have the same target table, or the same
-    source, whose name is that of their folders. This is what shuffles the specs.
+    source, whose name is that of their folders. Only these names are shuffled, counted within
+    tasks first, and only those that occur twice are joined back.
     """
     def name(*columns: Column) -> Column:
         return F.lower(F.concat_ws(".", *(F.regexp_replace(F.trim(c), "[^A-Za-z0-9_]", "_") for c in columns)))
 
     table = F.when(is_blank("target_table_name"), F.col("source_table_name")).otherwise(F.col("target_table_name"))
     source = F.lower(F.concat_ws(".", "source_schema_name", "source_table_name"))
-    counted = specs.withColumns({
-        "_same_target": F.count("*").over(Window.partitionBy(name(F.col("target_db_name"), table))),
-        "_same_source": F.count("*").over(Window.partitionBy(source)),
-    })
+    named = specs.withColumns({"_target": name(F.col("target_db_name"), table), "_source": source})
+
+    def twice(key: str) -> DataFrame:
+        return named.groupBy(key).count().filter("count > 1").select(key, F.lit(True).alias(f"{key}_twice"))
+
+    counted = named.join(twice("_target"), "_target", "left").join(twice("_source"), "_source", "left")
     rules = [*spec_rules(),
-             violation(F.col("_same_target") > 1, "another spec has the same target table"),
-             violation(F.col("_same_source") > 1, "another spec has the same source table")]
+             violation(F.col("_target_twice").isNotNull(), "another spec has the same target table"),
+             violation(F.col("_source_twice").isNotNull(), "another spec has the same source table")]
     return validate(counted, ["source_schema_name", "source_table_name"], rules, errors="Errors")
