@@ -12,8 +12,8 @@ in hash order, so what is broadcast has a fixed bound.
 
 Defined cases: a NULL or empty text has no terms and gets the sample's mean
 label; labels that contradict each other for one id are not used; without
-labelled rows every score is 0.5; repeated rows give repeated results; other
-columns do not matter.
+labelled rows every score is 0.5; repeated rows give repeated results; texts of any
+length are read whole; an empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations

@@ -103,7 +103,8 @@ def _sets_and_summaries(docs: DataFrame) -> DataFrame:
 
         def absorb():
             fresh, times = np.unique(np.concatenate(waiting), return_counts=True)
-            return merge_counts(np.concatenate([summary[0], fresh]), np.concatenate([summary[1], times]))
+            # Twice the entries until the task ends, so that its many small cuts cost little accuracy.
+            return merge_counts(np.concatenate([summary[0], fresh]), np.concatenate([summary[1], times]), 2 * SUMMARY)
 
         ids = None
         for batch in batches:
@@ -123,6 +124,7 @@ def _sets_and_summaries(docs: DataFrame) -> DataFrame:
         if ids is not None:
             if waiting:
                 summary = absorb()
+            summary = merge_counts(*summary)
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(1, ids.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
                  pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([summary[0].tobytes()], pa.binary()),
@@ -194,16 +196,18 @@ def _prefixes(docs: DataFrame, summary, percent: int) -> DataFrame:
 
 def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, fragment, grams): the sets of the wanted (node, id, key, digest), cut at fixed places of the hash order."""
-    n = wanted.count()
-    # Of equal texts only the row that was chosen passes, so copies stay out of the shuffle.
-    row = F.concat_ws(":", "key", F.coalesce(F.col("id").cast("string"), F.lit("~")))
-    near = BloomLevel(wanted.select(row.alias("key")), n, 0, _FILTER_WORDS)
-    near_rows = docs.filter(near.holds(row))
-    # Of a text that only rows without an id have, one row.
-    nameless = near_rows.filter("id IS NULL").dropDuplicates(["key"])
-    ids = wanted.select("node", F.col("id").alias("wanted_id"), "key", "digest")
-    rows = (near_rows.filter("id IS NOT NULL").unionByName(nameless).join(ids, "key")
-            .filter(F.col("id").eqNullSafe(F.col("wanted_id"))))
+    columns = ("text", "node", "digest")
+
+    def fetched(rows: DataFrame, some: DataFrame, by: str) -> DataFrame:
+        near = BloomLevel(some.select(F.col(by).cast("string").alias("key")), some.count(), 0, _FILTER_WORDS)
+        return rows.filter(near.holds(F.col(by).cast("string")))
+
+    named, nameless = wanted.filter("id IS NOT NULL"), wanted.filter("id IS NULL")
+    rows = fetched(docs, named, "id").join(named.select("node", "id", "digest"), "id").select(*columns)
+    if not nameless.isEmpty():
+        # Texts that only rows without an id have are fetched by their hash, each once.
+        others = fetched(docs.filter("id IS NULL"), nameless, "key").dropDuplicates(["key"])
+        rows = rows.unionAll(others.join(nameless.select("node", "key", "digest"), "key").select(*columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -212,7 +216,7 @@ def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for text, node, digest in zip(*(batch.column(c).to_pylist() for c in ("text", "node", "digest"))):
                 found = shingle_set(text, known)
                 if hashlib.blake2b(found.tobytes(), digest_size=16).digest() != digest:
-                    continue  # another text with the same hash
+                    continue  # another text under the same id or hash
                 parts = (found >> 61) + FRAGMENTS // 2
                 for fragment in np.unique(parts).tolist():
                     out["node"].append(node)

@@ -157,6 +157,26 @@ SQL = {
         SELECT doc_id, size::BIGINT AS size, source_size, target,
             (epochs * size + greatest(0, least(size, floor(target) - epochs * source_size - start)))::BIGINT AS taken
         FROM placed""",
+    "op9_ngram_join": r"""
+        WITH RECURSIVE docs AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+            FROM documents),
+        sets AS MATERIALIZED (
+            SELECT r, doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5
+                THEN [array_to_string(words, ' ')]
+                ELSE [array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)] END) AS grams
+            FROM docs),
+        grams AS MATERIALIZED (SELECT r, len(grams) AS n, unnest(grams) AS gram FROM sets),
+        links AS MATERIALIZED (
+            SELECT a.r AS a, b.r AS b FROM grams a JOIN grams b ON a.gram = b.gram AND a.r <> b.r
+            GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        reached AS (
+            SELECT r, r AS other FROM sets
+            UNION SELECT reached.r, links.b FROM reached JOIN links ON links.a = reached.other)
+        SELECT s.doc_id, len(s.grams)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+        FROM sets s JOIN reached ON reached.r = s.r JOIN sets o ON o.r = reached.other
+        GROUP BY s.r, s.doc_id, s.grams""",
     "op10_url_filters": rf"""
         WITH parts AS (
             SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest

@@ -11,7 +11,8 @@ filter is expected to let more other keys pass than that, is split by key hash i
 passes with a cascade each.
 
 Defined cases: a NULL url or one without `://` has an empty host and path, which
-no rule fits and which is never listed; repeated rows are judged alike; an empty
+no rule fits and which is never listed; of two fitting rules of one length the one that is later in the
+list holds; long urls are read whole; repeated rows are judged alike; an empty
 table gives an empty result; other columns do not matter.
 """
 
