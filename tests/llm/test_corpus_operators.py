@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from checks.compare import differences, duck
 from tidemark.llm import queries as Q, url_filter
-from tidemark.llm.cap_filters import CapFilters, near_vectors
+from tidemark.llm.cap_filters import CapFilters, _most_signs, _pairs_at, _sketches, near_vectors
 from tidemark.llm.common import table
 from tidemark.llm.components import components
 from tidemark.llm.mixing import mix_plan, mixed_documents
@@ -97,6 +97,38 @@ def test_links_by_brute_force(spark, block):
     assert found_links >= 0.95 * all_links > 0
 
 
+@pytest.mark.parametrize("block", [100, 1024])
+def test_pairs_planted_into_the_given_table(spark, block):
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas().sort_values("vec_id")
+    x = np.array(given["embedding"].tolist(), np.float32)
+    rng = np.random.default_rng(11)
+    of = np.repeat(np.arange(0, 400, 4), 3)  # three near copies of each of a hundred vectors
+    off = rng.standard_normal((len(of), x.shape[1]))
+    size = np.linalg.norm(x[of], axis=1, keepdims=True) * 0.15 / np.linalg.norm(off, axis=1, keepdims=True)
+    x = np.concatenate([x, (x[of] + off * size).astype(np.float32)])
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    names = roots(np.argwhere(near).tolist(), range(len(x)))
+    rows = near_vectors(vectors_table(spark, enumerate(x)), block=block).orderBy("id").collect()
+    assert near.sum() >= 600
+    assert sum(r.n_links for r in rows) >= 0.97 * near.sum() and all(r.n_links <= near[r.id].sum() for r in rows)
+    assert np.mean([r.component_id == names[r.id] for r in rows]) > 0.99
+
+
+def test_sketches_lose_no_pair_at_the_cosine():
+    a, b = _pairs_at(0.95, 64, 20_000, 3)
+    signs = [_sketches(v, 44) for v in (a, b)]
+    assert np.bitwise_count(signs[0] ^ signs[1]).sum(axis=1).max() <= _most_signs(0.95) < 40
+
+
+@pytest.mark.parametrize("n", [10 ** 6, 10 ** 8])
+def test_filters_of_a_vector_grow_slowly(n):
+    filters = CapFilters.plan(n, 64, 0.95)
+    x, _ = _pairs_at(0.95, 64, 200, 9)
+    assert np.mean([len(names) for names in filters.decode(x, filters.prepared())]) < 100
+
+
 @pytest.mark.parametrize("n", [2_000, 50_000])
 def test_recall_at_the_threshold(n):
     rng = np.random.default_rng(7)

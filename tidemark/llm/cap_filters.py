@@ -12,10 +12,18 @@ simulated pairs share one; after the rotation every pair is as random as these,
 that is the chance to find a pair just at the wanted cosine, whatever the data.
 Closer pairs are found more often.
 
-A filter's vectors are dealt over blocks of `BLOCK` rows and compared block by
-block, so no filter is gathered whole. A pair counts only in the smallest filter
-that both vectors share; what leaves a block is a count per vector and a
-spanning forest, never the pairs.
+Two rounds keep vectors out of the wide shuffle. The first joins on filters with a
+vector's number and a sketch of `SKETCH_BITS` signs of random projections: pairs whose
+signs differ more than six standard deviations beyond what the wanted cosine
+lets expect are too far. What is left of a filter falls into groups of
+vectors that sketches connect, and a group is named by its smallest vector, so that the
+many filters a near pair shares leave one group. The second round fetches the vectors of these
+groups, once a group, and verifies in double precision.
+
+A filter's or group's vectors are dealt over blocks of `BLOCK` rows and compared block by
+block, so none is gathered whole; a filter larger than a block is a group as it is.
+A pair counts only in the smallest group that both vectors share; what leaves a
+block is a count per vector and a spanning forest, never the pairs.
 
 Vectors of one length are compared with each other: each length that two different
 vectors have gets filters of its own.
@@ -38,16 +46,18 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import saved
 from tidemark.llm.components import components
 
-OCCUPANCY = 24
+OCCUPANCY = 192
 RECALL = 0.95
 BLOCK = 1024
+SKETCH_BITS = 128
 _TRIALS = 600
-_LARGEST_CODE = 2048
+_LARGEST_CODE = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -77,10 +87,10 @@ class CapFilters:
             names = zip(plan.decode(first, prepared), plan.decode(second, prepared))
             if np.mean([len(np.intersect1d(a, b)) > 0 for a, b in names]) >= RECALL:
                 return plan
-            if step < 8:
-                n_filters *= 1.4
-            else:  # more filters alone do not help
-                z *= 0.8
+            if step % 3 == 2:  # more filters alone do not help for ever
+                z *= 0.96
+            else:
+                n_filters *= 1.3
 
     def prepared(self):
         rng = np.random.default_rng(self.seed)
@@ -129,16 +139,15 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _usable(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors that can link, and which of the input they are."""
-    out = np.zeros((len(vectors), dim))
-    good = np.zeros(len(vectors), bool)
-    for i, v in enumerate(vectors):
-        if v is not None and len(v) == dim:
-            out[i] = [math.nan if x is None else x for x in v]
-            with np.errstate(over="ignore"):
-                good[i] = np.isfinite(out[i]).all() and bool(out[i].any())
-    return out[good], good
+def _usable(vectors: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length, the vectors that can link and their places."""
+    lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    for dim in np.unique(lengths[lengths > 0]):
+        places = np.flatnonzero(lengths == dim)
+        found = vectors.take(pa.array(places)).flatten().to_numpy(zero_copy_only=False)  # NULL comes as NaN
+        found = found.astype(np.float64).reshape(-1, dim)
+        good = np.isfinite(found).all(axis=1) & found.any(axis=1)
+        yield found[good], places[good]
 
 
 def _nodes(vectors: DataFrame, number: str) -> DataFrame:
@@ -148,24 +157,32 @@ def _nodes(vectors: DataFrame, number: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column("vector").to_pylist()
-            dims = [len(v or ()) for v in vectors]
-            digests, rows, of_dim = [None] * len(dims), [None] * len(dims), {}
-            for i, dim in enumerate(dims):
-                of_dim.setdefault(dim, []).append(i)
-            for dim in of_dim.keys() - {0}:
-                found, good = _usable([vectors[i] for i in of_dim[dim]], dim)
-                places = np.array(of_dim[dim])[good]
+            vectors = batch.column("vector")
+            dims = pc.fill_null(pc.list_value_length(vectors), 0)
+            digests, rows = [None] * len(vectors), [None] * len(vectors)
+            for found, places in _usable(vectors):
                 for i, row, unit in zip(places, found.astype(number), _unit(found) + 0.0):
                     digests[i], rows[i] = hashlib.blake2b(unit.tobytes(), digest_size=16).digest(), row.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(dims, pa.int32()), pa.array(digests, pa.binary()),
+            yield pa.RecordBatch.from_arrays([batch.column("id"), dims.cast(pa.int32()), pa.array(digests, pa.binary()),
                                               pa.array(rows, pa.binary())], ["id", "dim", "digest", "raw"])
 
     return vectors.mapInArrow(run, f"id {id_type}, dim int, digest binary, raw binary")
 
 
+def _sketches(units: np.ndarray, seed: int) -> np.ndarray:
+    """Two 64-bit words of signs for each vector."""
+    planes = np.random.default_rng(seed).standard_normal((units.shape[1], SKETCH_BITS))
+    return np.packbits(units @ planes > 0, axis=1).view(np.int64)
+
+
+def _most_signs(cosine: float) -> int:
+    """Signs in which a pair at this cosine may differ, six standard deviations beyond the mean."""
+    p = math.acos(min(1.0, cosine)) / math.pi
+    return math.ceil(SKETCH_BITS * p + 6 * math.sqrt(SKETCH_BITS * p * (1 - p))) + 2
+
+
 def _filtered(nodes: DataFrame, filters: CapFilters, number: str) -> DataFrame:
-    """(node, copies, raw, filters)"""
+    """(node, s0, s1, filters)"""
     small = filters.code_size ** filters.n_blocks < 1 << 31
     kind, name = (pa.int32(), "int") if small else (pa.int64(), "long")
 
@@ -173,11 +190,65 @@ def _filtered(nodes: DataFrame, filters: CapFilters, number: str) -> DataFrame:
         prepared = filters.prepared()
         for batch in batches:
             raw = np.frombuffer(b"".join(batch.column("raw").to_pylist()), number).reshape(-1, filters.dim)
-            names = [n.tolist() for n in filters.decode(_unit(raw), prepared)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "copies", "raw")),
-                                              pa.array(names, pa.list_(kind))], ["node", "copies", "raw", "filters"])
-
-    return nodes.mapInArrow(run, f"node long, copies long, raw binary, filters array<{name}>")
+            units = _unit(raw)
+            names = [n.tolist() for n in filters.decode(units, prepared)]
+            signs = _sketches(units, filters.seed + 2)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(signs[:, 0]), pa.array(signs[:, 1]),
+                                              pa.array(names, pa.list_(kind))], ["node", "s0", "s1", "filters"])
+
+    return nodes.mapInArrow(run, f"node long, s0 long, s1 long, filters array<{name}>")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """Runs of equal `place`, also across batches; one run is in memory at a time."""
+    held: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        if held is not None:
+            now = {c: np.concatenate([held[c], now[c]]) for c in now}
+        place = now["place"]
+        cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist()]
+        for start, end in zip(cuts, cuts[1:]):
+            if end - start > 1:
+                yield int(place[start]), {c: v[start:end] for c, v in now.items()}
+        held = {c: v[cuts[-1]:] for c, v in now.items()}
+    if held is not None and len(held["place"]) > 1:
+        yield int(held["place"][0]), held
+
+
+def _sketched(entries: DataFrame, most: int) -> DataFrame:
+    """(group, node) from (place, node, s0, s1), places together: who is near someone by sketch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roots, nodes = [], []
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(roots)), pa.array(np.concatenate(nodes))],
+                                             ["group", "node"])
+            roots.clear(), nodes.clear()
+            return out
+
+        for _, run_of in _groups(batches):
+            node, s0, s1 = (run_of[c] for c in ("node", "s0", "s1"))
+            differ = np.bitwise_count(s0[:, None] ^ s0) + np.bitwise_count(s1[:, None] ^ s1)
+            near = differ <= most
+            met = near.sum(axis=1) > 1  # the vector itself is one
+            if not met.any():
+                continue
+            node, near = node[met], near[np.ix_(met, met)]
+            root, far = node.copy(), np.iinfo(np.int64).max
+            while True:
+                new = np.where(near, root, far).min(axis=1)
+                if (new == root).all():
+                    break
+                root = new
+            roots.append(root)
+            nodes.append(node)
+            if len(roots) >= 1000:
+                yield flush()
+        if roots:
+            yield flush()
+
+    return entries.mapInArrow(run, "group long, node long")
 
 
 def _shares_earlier(name: int, left: list, right: list) -> np.ndarray | None:
@@ -253,19 +324,41 @@ def _verified(dealt: DataFrame, cosine: float, number: str) -> DataFrame:
     return dealt.mapInArrow(run, "node long, links long, root long")
 
 
+def _hot(entries: DataFrame, key: str, block: int, label: str) -> DataFrame:
+    """Keys with more entries than a block, and over how many blocks they are dealt."""
+    counts = entries.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    return saved(counts.select(key, F.ceil(F.col("n") / block).cast("int").alias("blocks")), label)
+
+
+def _met(nodes: DataFrame, filters: CapFilters, cosine: float, number: str, block: int) -> DataFrame:
+    """(group, node): a pair that shares a filter and whose sketches are near shares a group."""
+    decoded = saved(_filtered(nodes.select("node", "raw"), filters, number), "filtered")
+    names = decoded.select(F.explode("filters").alias("place"))
+    hot = _hot(names, "place", block, "hot_filters")
+    entries = decoded.select(F.explode("filters").alias("place"), "node", "s0", "s1")
+    cold = entries.join(hot, "place", "left_anti")
+    # Together with what precedes it in the sort of its task, a place is whole.
+    cold = cold.repartition("place").sortWithinPartitions("place")
+    whole = entries.select("place", "node").join(hot, "place", "left_semi")
+    return saved(_sketched(cold, _most_signs(cosine)).distinct().unionAll(
+        whole.select((-1 - F.col("place").cast("long")).alias("group"), "node")), "met")
+
+
 def _met_and_verified(nodes: DataFrame, filters: CapFilters, cosine: float, number: str, block: int) -> DataFrame:
     """(node, links, root) of the nodes of one length."""
-    decoded = saved(_filtered(nodes.select("node", "copies", "raw"), filters, number), "filtered")
-    names = decoded.select(F.explode("filters").alias("filter"))
-    blocks = (names.groupBy("filter").agg(F.count("*").alias("n")).filter("n > 1")
-              .select("filter", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    met = (decoded.withColumn("filter", F.explode("filters")).join(blocks, "filter")
-           .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-           .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    met = _met(nodes, filters, cosine, number, block)
+    hot = _hot(met, "group", block, "hot_groups")
+    # At most a group per filter of a vector, so the list is bounded.
+    lists = met.groupBy("node").agg(F.collect_list("group").alias("filters"))
+    rows = lists.join(nodes.select("node", "copies", "raw"), "node").withColumn("filter", F.explode("filters"))
+    dealt = (rows.join(hot.withColumnRenamed("group", "filter"), "filter", "left")
+             .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+             .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     # Side 2: both blocks are the same one.
-    dealt = met.select("filter", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                       F.expr("CASE WHEN own = other THEN 2 WHEN own < other THEN 0 ELSE 1 END").alias("side"),
-                       "node", "copies", "raw", "filters")
+    dealt = dealt.select("filter", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                         F.expr("CASE WHEN own = other THEN 2 WHEN own < other THEN 0 ELSE 1 END").alias("side"),
+                         "node", "copies", "raw", "filters")
     dealt = dealt.repartition("filter", "i", "j").sortWithinPartitions("filter", "i", "j")
     return saved(_verified(dealt, cosine, number), "verified")
 
