@@ -118,7 +118,7 @@ def test_pairs_planted_into_the_given_table(spark, block):
 
 def test_sketches_lose_no_pair_at_the_cosine():
     a, b = _pairs_at(0.95, 64, 20_000, 3)
-    signs = [_sketches(v, 44) for v in (a, b)]
+    signs = [_sketches(v, 44).view(np.uint64) for v in (a, b)]
     assert np.bitwise_count(signs[0] ^ signs[1]).sum(axis=1).max() <= _most_signs(0.95) < 40
 
 

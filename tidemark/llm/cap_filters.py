@@ -228,7 +228,8 @@ def _sketched(entries: DataFrame, most: int) -> DataFrame:
             return out
 
         for _, run_of in _groups(batches):
-            node, s0, s1 = (run_of[c] for c in ("node", "s0", "s1"))
+            # Unsigned, as numpy counts the bits of absolute values.
+            node, s0, s1 = run_of["node"], run_of["s0"].view(np.uint64), run_of["s1"].view(np.uint64)
             differ = np.bitwise_count(s0[:, None] ^ s0) + np.bitwise_count(s1[:, None] ^ s1)
             near = differ <= most
             met = near.sum(axis=1) > 1  # the vector itself is one
