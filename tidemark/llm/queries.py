@@ -157,6 +157,34 @@ SQL = {
         SELECT doc_id, size::BIGINT AS size, source_size, target,
             (epochs * size + greatest(0, least(size, floor(target) - epochs * source_size - start)))::BIGINT AS taken
         FROM placed""",
+    "op8_sharding": r"""
+        WITH bits AS MATERIALIZED (
+            SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b::BIGINT, range(8)),
+                lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS of_byte),
+        bytes AS (
+            SELECT *, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+                lambda h: CAST('0x' || h AS BIGINT)) AS bytes
+            FROM documents),
+        rows AS (
+            SELECT doc_id, coalesce('=' || source, '~') AS source_key, 1 + len(bytes) AS size,
+                xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes),
+                    lambda c, b: xor(c >> 8, of_byte[xor(c, b) % 256 + 1]))) AS text_crc32,
+                CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '~') || ':' ||
+                    coalesce(md5(text), '~')), 1, 15) AS BIGINT) AS key
+            FROM bytes, bits),
+        placed AS (
+            SELECT *, (row_number() OVER (PARTITION BY source_key ORDER BY key, doc_id NULLS FIRST, size, text_crc32) - 1
+                + CAST('0x' || substr(md5('42:' || source_key), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496::DOUBLE)
+                / (count(*) OVER (PARTITION BY source_key))::DOUBLE AS place
+            FROM rows),
+        ordered AS (
+            SELECT *, count(*) OVER () AS total, row_number() OVER (
+                ORDER BY place, source_key, key, doc_id NULLS FIRST, size, text_crc32) - 1 AS position
+            FROM placed)
+        SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law,
+            (position * 8 // total)::INT AS shard,
+            (position - ((position * 8 // total) * total + 7) // 8)::BIGINT AS slot, NULL::INT AS grown_shard
+        FROM ordered""",
     "op9_ngram_join": r"""
         WITH RECURSIVE docs AS (
             SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
