@@ -116,6 +116,15 @@ def test_a_private_session_splits_skew_whatever_the_caller_has_set(spark):
     assert caller.conf.get("spark.sql.adaptive.enabled") == "false"
 
 
+def test_a_task_of_a_private_session_sorts_and_scans_little(spark):
+    session = private_session(spark)
+    assert session.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "64MB"
+    assert session.conf.get("spark.sql.files.maxPartitionBytes") == "32MB"
+    caller = spark.newSession()
+    caller.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200MB")
+    assert private_session(caller).conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "200MB"
+
+
 def test_shuffles_grow_with_the_input(spark):
     session = private_session(spark)
     for n_bytes, expected in ((0, "7"), (64 << 30, "1025"), (100 << 40, "1638401")):
