@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -15,7 +16,7 @@ from tidemark.llm.cap_filters import CapFilters, _most_signs, _pairs_at, _sketch
 from tidemark.llm.common import table
 from tidemark.llm.components import components
 from tidemark.llm.mixing import mix_plan, mixed_documents
-from tidemark.llm.ngram_join import merge_counts, similar_documents
+from tidemark.llm.ngram_join import absorb, merge_counts, similar_documents
 from tidemark.llm.sharding import stratified_shards
 from tidemark.llm.url_filter import RULES, Cascade, url_verdicts
 
@@ -444,3 +445,28 @@ def test_cascade_is_exact(spark):
 def test_cascade_without_listed_keys(spark):
     keys = spark.range(5).select(F.col("id").cast("string").alias("key"), F.lit(False).alias("listed"))
     assert keys.filter(Cascade(keys).listed(F.col("key"))).count() == 0
+
+
+# Summary of frequent n-grams
+
+def test_absorbed_grams_are_merged_counts():
+    rng = np.random.default_rng(1)
+    for keep in (5, 50, 10 ** 6):
+        found = expected = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for _ in range(6):
+            grams = [rng.integers(-60, 60, k) for k in (0, 30, 90)]
+            fresh, times = np.unique(np.concatenate(grams), return_counts=True)
+            expected = merge_counts(np.concatenate([expected[0], fresh]), np.concatenate([expected[1], times]), keep)
+            found = absorb(grams, found, keep)
+            assert not grams and all(np.array_equal(*pair) for pair in zip(found, expected))
+
+
+def test_absorbing_holds_few_copies_of_the_grams():
+    rng = np.random.default_rng(2)
+    grams = [rng.integers(-1 << 62, 1 << 62, 4096) for _ in range(256)]
+    size = sum(g.nbytes for g in grams)
+    tracemalloc.start()
+    absorb(grams, (np.zeros(0, np.int64), np.zeros(0, np.int64)), 1 << 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak <= 4 * size

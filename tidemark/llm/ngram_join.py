@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.common import saved
 from tidemark.llm.components import components
+from tidemark.llm.text_map import SLICE
 from tidemark.llm.url_filter import BloomLevel
 
 WORDS = 5
@@ -92,6 +93,43 @@ def merge_counts(hashes: np.ndarray, counts: np.ndarray, keep: int = SUMMARY) ->
     return hashes, counts
 
 
+def absorb(waiting: list[np.ndarray], summary: tuple[np.ndarray, np.ndarray], keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """`merge_counts` of a sorted summary and n-grams, which it takes out of `waiting`; at its
+    peak it holds about three times the n-grams."""
+    found = np.concatenate(waiting)
+    waiting.clear()
+    found.sort()
+    starts = np.flatnonzero(np.append(True, found[1:] != found[:-1])).astype(np.int32)
+    times = np.diff(starts, append=np.int32(len(found)))
+    fresh = found[starts]
+    del found, starts
+    hashes, counts = summary[0], summary[1].copy()
+    at = np.searchsorted(fresh, hashes)
+    at[at == len(fresh)] = 0
+    known = fresh[at] == hashes
+    counts[known] += times[at[known]]
+    new = np.ones(len(fresh), bool)
+    new[at[known]] = False
+    cut, n = 0, len(hashes) + int(new.sum())
+    if n > keep:
+        every = np.concatenate([counts, times[new]])
+        every.partition(n - keep - 1)
+        cut = every[n - keep - 1]
+        del every
+    new &= times > cut
+    hashes, counts = hashes[counts > cut], counts[counts > cut]
+    hashes, counts = np.concatenate([hashes, fresh[new]]), np.concatenate([counts, times[new]]) - cut
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a task makes of a batch at a time stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _sets_and_summaries(docs: DataFrame) -> DataFrame:
     """A row per document (id, key, n, digest), and a row per task with its summary."""
     id_type = docs.schema["id"].dataType.simpleString()
@@ -101,13 +139,8 @@ def _sets_and_summaries(docs: DataFrame) -> DataFrame:
         summary = (np.zeros(0, np.int64), np.zeros(0, np.int64))
         names = ["id", "key", "n", "digest", "part", "hashes", "counts"]
 
-        def absorb():
-            fresh, times = np.unique(np.concatenate(waiting), return_counts=True)
-            # Twice the entries until the task ends, so that its many small cuts cost little accuracy.
-            return merge_counts(np.concatenate([summary[0], fresh]), np.concatenate([summary[1], times]), 2 * SUMMARY)
-
-        ids = None
-        for batch in batches:
+        id_kind = None
+        for batch in _slices(batches):
             ids, sizes, digests = batch.column("id"), [], []
             for text in batch.column("text").to_pylist():
                 found = shingle_set(text, known)
@@ -116,17 +149,18 @@ def _sets_and_summaries(docs: DataFrame) -> DataFrame:
                 waiting.append(found)
                 size += len(found)
                 if size > _BUFFER:
-                    summary, waiting, size = absorb(), [], 0
-            none = [None] * len(ids)
+                    # Twice the entries until the task ends, so that its many small cuts cost little accuracy.
+                    summary, size = absorb(waiting, summary, 2 * SUMMARY), 0
+            id_kind, none = ids.type, [None] * len(ids)
             yield pa.RecordBatch.from_arrays(
                 [ids, batch.column("key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(none, pa.int64()),
                  pa.array(none, pa.binary()), pa.array(none, pa.binary())], names)
-        if ids is not None:
-            if waiting:
-                summary = absorb()
+        if id_kind is not None:
+            if size:
+                summary = absorb(waiting, summary, 2 * SUMMARY)
             summary = merge_counts(*summary)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, ids.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+                [pa.nulls(1, id_kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
                  pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([summary[0].tobytes()], pa.binary()),
                  pa.array([summary[1].tobytes()], pa.binary())], names)
 
@@ -169,7 +203,7 @@ def _prefixes(docs: DataFrame, summary, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (hashes, counts) = WordHashes(), shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, digests, prefixes, lasts, grams = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingle_set(text, known)
@@ -211,7 +245,7 @@ def _segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in batches:
+        for batch in _slices(batches):
             out = {"node": [], "fragment": [], "grams": []}
             for text, node, digest in zip(*(batch.column(c).to_pylist() for c in ("text", "node", "digest"))):
                 found = shingle_set(text, known)
